@@ -42,5 +42,15 @@ def p9_packing(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumnRenamed("first_unit", "first_token").withColumnRenamed("units", "tokens")
 
 
+def p10_stats(spark: SparkSession, d: str) -> DataFrame:
+    from .quality import quality_statistics
+
+    return quality_statistics(table(spark, d, "documents"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_stats(spark, d).where("kind in ('list', 'table', 'junk')").select("doc_id", "kind")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}
