@@ -20,5 +20,14 @@ SELECT DISTINCT chunk_id, CAST(-1 AS INTEGER) FROM big WHERE chunk_id NOT IN (SE
 """
 
 
+_P3 = r"""
+WITH one AS (SELECT DISTINCT chunk_id, nfc_normalize(text) AS t FROM chunks WHERE text IS NOT NULL),
+words AS (SELECT chunk_id, unnest(regexp_extract_all(lower(t), '[\p{Latin}\p{Cyrillic}]{5,}')) AS term FROM one),
+tf AS (SELECT chunk_id, term, count(*) AS n FROM words GROUP BY ALL),
+df AS (SELECT term, count(*) AS d FROM tf GROUP BY ALL)
+SELECT chunk_id, term FROM tf JOIN df USING (term) WHERE n >= 3 AND d <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p7_found": _P7}
+    return {"p3_found": _P3, "p7_found": _P7}

@@ -10,6 +10,27 @@ from pyspark.sql import functions as F
 from ..session import table
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    from .distinctive import score_terms
+
+    scores = score_terms(table(spark, d, "chunks"), min_letters=5, wide=False, min_tf=3, max_df=5)
+    return scores.where("score >= 0.5").select("chunk_id", "term")
+
+
+def p3_scores(spark: SparkSession, d: str) -> DataFrame:
+    from .distinctive import score_terms
+
+    return score_terms(table(spark, d, "chunks"))
+
+
+def p3_keywords(spark: SparkSession, d: str) -> DataFrame:
+    from .distinctive import group_keywords, score_terms
+
+    member = table(spark, d, "vectors").select(F.col("vec_id").alias("chunk_id"), "cluster_id")
+    words = group_keywords(score_terms(table(spark, d, "chunks"), min_letters=4), member, "chunk_id", "cluster_id")
+    return table(spark, d, "map_clusters").select("cluster_id").join(F.broadcast(words), "cluster_id", "left")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     from .splitting import split_oversized
 
