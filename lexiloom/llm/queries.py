@@ -10,6 +10,19 @@ from pyspark.sql import functions as F
 from ..session import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    from .turns import speaker_turns
+
+    turns = speaker_turns(table(spark, d, "transcript_segments"), with_text=False)
+    return turns.where("part = 0").select("media_id", "first_segment_id", "last_segment_id")
+
+
+def p1_turns(spark: SparkSession, d: str) -> DataFrame:
+    from .turns import speaker_turns
+
+    return speaker_turns(table(spark, d, "transcript_segments"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     from .distinctive import score_terms
 
