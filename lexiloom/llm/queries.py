@@ -44,6 +44,26 @@ def p3_keywords(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "map_clusters").select("cluster_id").join(F.broadcast(words), "cluster_id", "left")
 
 
+def _language_records(spark: SparkSession, d: str) -> DataFrame:
+    gaps = table(spark, d, "gap_records").select(F.lit("gap_records").alias("tbl"), F.col("gap_id").alias("record_id"), F.lit(None).cast("string").alias("host"), F.col("lang").alias("label"), F.col("query_text").alias("text"))
+    turns = table(spark, d, "turn_insights").select(F.lit("turn_insights"), "turn_id", F.col("session_id").cast("string"), "lang", F.array_join("queries", "\n"))
+    texts = table(spark, d, "transcripts").select(F.lit("transcripts"), "transcript_id", "media_id", "lang", "text")
+    return gaps.union(turns).union(texts).where("record_id is not null")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    from .languages import found_cases, language_parts
+
+    return found_cases(language_parts(_language_records(spark, d)))
+
+
+def p6_parts(spark: SparkSession, d: str) -> DataFrame:
+    from .languages import language_parts
+
+    out = language_parts(_language_records(spark, d))
+    return out.select("tbl", "record_id", "lang", "confidence", "mixed", F.explode_outer("parts").alias("p")).select("tbl", "record_id", "lang", "confidence", "mixed", F.col("p.start").alias("part_start"), F.col("p.end").alias("part_end"), F.col("p.lang").alias("part_lang"), F.col("p.confidence").alias("part_confidence"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     from .splitting import split_oversized
 
