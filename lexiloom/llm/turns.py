@@ -117,8 +117,8 @@ def label_key_is_speaker(s: str) -> bool:
     return k is not None and k[0] != "x"
 
 
-def read_segment(text: str | None) -> tuple[str, str | None, float | None]:
-    """(spoken words, label key in the text, seconds of the first time mark)."""
+def read_segment(text: str | None, with_text: bool = True) -> tuple[str, str | None, float | None]:
+    """(spoken words, label key in the text, seconds of the first time mark); without fillers only ``with_text``."""
     if not text:
         return "", None, None
     t, key, at = text.translate(_DIGITS) if not text.isascii() else text, None, None
@@ -144,9 +144,10 @@ def read_segment(text: str | None) -> tuple[str, str | None, float | None]:
             if at is None and (m := _TIME_ANY.search(t)):
                 at = seconds(re.search(_TIME, m[0])[0])
             t = _TIME_ANY.sub(" ", t)
-    words = _WORD.findall(t.lower())
-    if not words or all(w in FILLERS for w in words):
+    if all(m[0].lower() in FILLERS for m in _WORD.finditer(t)):
         return "", key, at
+    if not with_text:
+        return t, key, at
     spoken = _DROP_PLAIN.sub("", _DROP_PAUSED.sub(" ", t))
     spoken = re.sub(r"\s+([,.;!?…])", r"\1", re.sub(r"\s+", " ", spoken)).strip(" –—-…").lstrip(",、，")
     spoken = _DROP_FIRST.sub("", spoken).strip()
@@ -204,7 +205,7 @@ def clean_segments(segments: DataFrame, with_text: bool = True) -> DataFrame:
         for p in batches:
             out = []
             for media, sid, start, end, text, label in zip(p["media_id"], p["segment_id"], p["start_sec"].tolist(), p["end_sec"].tolist(), p["text"], p["speaker"]):
-                words, key, at = read_segment(text)
+                words, key, at = read_segment(text, with_text)
                 if not words:
                     continue
                 pos = start
