@@ -36,7 +36,7 @@ COMMON = frozenset(
     है और के का की में को से पर नहीं यह तो भी एक हैं लिए आप इस कर ने हो""".split()
 )
 _CJK_COMMON = re.compile("[的了是在和不有您我们会后の はがをにでとものますです]")
-_LINES = re.compile(r"\r\n|[\n\r\x0b\x0c\x85  ]")
+_LINES = re.compile(r"\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
 _BULLET = re.compile(r"\s*(?:[-–—*•·▪◦‣●○■□➤►✓☐☑+~]+[ \t　]+|\[[ xX✓]?\][ \t]*|\(?\d{1,3}[.)）、][ \t　]*(?=\D)|\(?[a-zA-Zа-яА-Я][.)][ \t]+|[•·▪◦‣●○■□☐☑・])")
 _ENDS = re.compile(r"[.!?。！？।॥…．][\"'”’»）)\]」』*_\s]*$")
 _INSIDE = re.compile(r"[^\d\s.][.!?][\"'”’»)]*\s+\S|[。！？।]\s*\S|\S[,;:] \S|[，、；]")

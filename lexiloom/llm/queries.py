@@ -44,6 +44,23 @@ def p3_keywords(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "map_clusters").select("cluster_id").join(F.broadcast(words), "cluster_id", "left")
 
 
+def _scans(spark: SparkSession, d: str) -> DataFrame:
+    frames = table(spark, d, "keyframes").select(F.lit("keyframes").alias("tbl"), F.col("keyframe_id").alias("record_id"), F.col("media_id").alias("grp"), F.col("ocr_text").alias("text"))
+    return frames.union(table(spark, d, "citations").select(F.lit("citations"), "citation_id", "source_name", "text"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    from .scans import defects, repair_scans
+
+    return defects(repair_scans(_scans(spark, d), with_text=False))
+
+
+def p4_text(spark: SparkSession, d: str) -> DataFrame:
+    from .scans import repair_scans
+
+    return repair_scans(_scans(spark, d)).select("tbl", "record_id", "text")
+
+
 def _language_records(spark: SparkSession, d: str) -> DataFrame:
     gaps = table(spark, d, "gap_records").select(F.lit("gap_records").alias("tbl"), F.col("gap_id").alias("record_id"), F.lit(None).cast("string").alias("host"), F.col("lang").alias("label"), F.col("query_text").alias("text"))
     turns = table(spark, d, "turn_insights").select(F.lit("turn_insights"), "turn_id", F.col("session_id").cast("string"), "lang", F.array_join("queries", "\n"))
