@@ -23,6 +23,18 @@ def p1_turns(spark: SparkSession, d: str) -> DataFrame:
     return speaker_turns(table(spark, d, "transcript_segments"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    from .neighbours import mutual_pairs, near_pairs
+
+    return mutual_pairs(near_pairs(table(spark, d, "vectors"), least=0.92, k=10), k=10)
+
+
+def p2_knn(spark: SparkSession, d: str) -> DataFrame:
+    from .neighbours import query_neighbours
+
+    return query_neighbours(table(spark, d, "vectors"), lambda i: i % 100 == 0)
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     from .distinctive import score_terms
 
