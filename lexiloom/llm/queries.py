@@ -73,6 +73,25 @@ def p4_text(spark: SparkSession, d: str) -> DataFrame:
     return repair_scans(_scans(spark, d)).select("tbl", "record_id", "text")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    from .grouping import group_vectors, wrong_members
+
+    return wrong_members(group_vectors(table(spark, d, "vectors")))
+
+
+def p5_points(spark: SparkSession, d: str) -> DataFrame:
+    from .grouping import group_ids, group_vectors
+
+    g = group_vectors(table(spark, d, "vectors"))
+    return g.join(F.broadcast(group_ids(g)), "grp", "left").select(F.col("id").alias("vec_id"), "grp", "cluster_id", "closeness")
+
+
+def p5_clusters(spark: SparkSession, d: str) -> DataFrame:
+    from .grouping import describe_groups, group_vectors
+
+    return describe_groups(group_vectors(table(spark, d, "vectors")))
+
+
 def _language_records(spark: SparkSession, d: str) -> DataFrame:
     gaps = table(spark, d, "gap_records").select(F.lit("gap_records").alias("tbl"), F.col("gap_id").alias("record_id"), F.lit(None).cast("string").alias("host"), F.col("lang").alias("label"), F.col("query_text").alias("text"))
     turns = table(spark, d, "turn_insights").select(F.lit("turn_insights"), "turn_id", F.col("session_id").cast("string"), "lang", F.array_join("queries", "\n"))
