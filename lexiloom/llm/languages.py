@@ -92,7 +92,7 @@ class TextModel:
         counts = {c: Counter() for c in LATIN}
         for c, words in SEED.items():
             for w in words.split():
-                counts[c].update(trigrams(w) * 3)
+                counts[c].update(trigrams(w) * 20)
         for text, code in rows:
             if code in counts and not _HAN.search(text) and not _KANA.search(text) and not _CYRILLIC.search(text) and not _DEVANAGARI.search(text):
                 counts[code].update(trigrams(text))

@@ -1,0 +1,300 @@
+"""Each operator against brute force, a round trip or hand-made cases."""
+
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lexiloom.llm import distinctive, encoding, grouping, languages, neighbours, packing, quality, scans, splitting, turns
+
+# -- 1 --------------------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(("label", "key"), [
+    ("Speaker 1", "n:1"), ("SPEAKER_01", "n:1"), ("spk-1", "n:1"), ("S1", "n:1"), ("Speaker #1", "n:1"), ("Speaker １", "n:1"), ("Hablante 1:", "n:1"), ("说话人1", "n:1"), ("वक्ता 1", "n:1"),
+    ("speaker-B", "l:b"), (" Speaker  B ", "l:b"), ("HOST -", "r:host"), ("Gastgeber", "r:host"), ("", None), (None, None), ("Anna Schmidt", "x:anna schmidt"),
+])
+def test_labels_are_one_speaker_in_any_spelling(label, key):
+    assert turns.label_key(label) == key
+
+
+@pytest.mark.parametrize(("text", "words", "key", "at"), [
+    ("[00:02:21] Speaker 1: Hello there.", "Hello there.", "n:1", 141.0), ("(0:01:53) - Spk B: Yes", "Yes", "l:b", 113.0), (">> [Host] Äh, gut.", "gut.", "r:host", None),
+    ("♪ music 00:01:17 ♪", "", None, None), ("<crosstalk> Um... er", "", None, None), ("(see section 5) applies", "(see section 5) applies", None, None), ("01:25", "", None, 85.0), (None, "", None, None), ("…", "", None, None),
+    ("Wichtig: Bitte warten.", "Wichtig: Bitte warten.", None, None),
+])
+def test_segments_are_read(text, words, key, at):
+    assert turns.read_segment(text) == (words, key, at)
+
+
+def test_names_cluster_by_initials_and_similarity():
+    c = turns.cluster_names(["anna schmidt", "a schmidt", "ana schmidt", "bob jones", "anna meyer"])
+    assert c["a schmidt"] == c["anna schmidt"] == c["ana schmidt"] and c["bob jones"] == "bob jones" and c["anna meyer"] == "anna meyer"
+
+
+def test_a_recording_over_many_partitions_is_stitched(spark, monkeypatch):
+    monkeypatch.setattr(turns, "PARTITION_ROWS", 40)
+    rng = random.Random(1)
+    rows = [(i, "m" if i % 10 else f"x{i % 3}", float(i), i + 0.5, "word", rng.choice(["Speaker 1", "s1", "Speaker 2", None, None, None])) for i in range(1, 1500)]
+    df = spark.createDataFrame(rows + rows[:50], "segment_id bigint, media_id string, start_sec double, end_sec double, text string, speaker string")
+    got = {(r.media_id, r.first_segment_id, r.last_segment_id) for r in turns.speaker_turns(df, with_text=False).where("part = 0").collect()}
+    want = []
+    for i, m, *_, s in sorted(rows, key=lambda r: (r[1], r[2])):
+        k = turns.label_key(s)
+        if want and want[-1][0] == m and (k is None or k == want[-1][3]):
+            want[-1][2] = i
+        else:
+            want.append([m, i, i, k])
+    assert got == {tuple(w[:3]) for w in want}
+    text = turns.speaker_turns(df).agg(F.sum("segments")).first()[0]
+    assert text == len(rows)
+
+
+# -- 2 --------------------------------------------------------------------------------------------------------------------
+
+
+def _pairs(spark, x, **kw):
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id bigint, embedding array<float>")
+    return neighbours.near_pairs(df, **kw), df
+
+
+def test_near_pairs_reach_brute_force(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1500, 64))
+    x[500:900] = x[100:500] + rng.normal(size=(400, 64)) * 0.25
+    x[900:905] = x[0] * 3  # copies in another length
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(i, j) for i, j in zip(*np.where(np.triu(u @ u.T, 1) >= 0.92))}
+    got, _ = _pairs(spark, x)
+    got = {(r.a, r.b) for r in got.collect()}
+    assert got <= want and len(got) >= 0.95 * len(want)
+    assert {(0, 900), (900, 901), (903, 904)} <= got
+
+
+def test_hot_buckets_are_hashed_again(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=64)
+    x = base + rng.normal(size=(1200, 64)) * 0.02  # one dense heap: every bucket is hot
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    got, _ = _pairs(spark, x)
+    best = Counter()
+    top = np.argsort(-(u @ u.T) + 2 * np.eye(len(u)), axis=1)[:, :1]
+    rows = {(r.a, r.b) for r in got.collect()}
+    hit = sum((min(i, int(j)), max(i, int(j))) in rows for i, (j,) in enumerate(top))
+    assert hit >= 0.9 * len(x), best
+
+
+def test_equal_vectors_pair_up_only_among_the_lowest_ids(spark):
+    x = np.tile(np.arange(1, 65), (40, 1))
+    got, _ = _pairs(spark, x)
+    found = neighbours.mutual_pairs(got).collect()
+    assert {(r.vec_a, r.vec_b) for r in found} == {(a, b) for b in range(11) for a in range(b)}
+
+
+def test_bucket_entries_survive_the_round_trip():
+    rng = np.random.default_rng(5)
+    keys, ids = np.sort(rng.integers(-(2**62), 2**62, 5000).view(np.uint64)).view(np.int64), rng.integers(-5, 10**12, 5000)
+    k, i = neighbours.unpack_entries(*neighbours.pack_entries(keys, ids))
+    assert (i == ids).all() and (np.diff(k) >= 0).all() and (k == (keys.view(np.uint64) >> np.uint64(24)).astype(np.int64)).all()
+
+
+def test_query_neighbours_recall(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/vectors.parquet")
+    got = neighbours.query_neighbours(df, lambda i: i % 20 == 0).toPandas()
+    u = neighbours.unit_vectors(df).select("id", "unit").dropDuplicates(["id"]).toPandas().sort_values("id")
+    x, ids = np.stack(u["unit"]), u["id"].to_numpy()
+    q = np.flatnonzero(ids % 20 == 0)
+    s = x[q] @ x.T
+    s[np.arange(len(q)), q] = -2
+    top = np.argsort(-s, axis=1)[:, :10]
+    hit = sum(len(set(got[got.query_id == ids[i]].id) & set(ids[t])) for i, t in zip(q, top))
+    assert hit >= 0.9 * 10 * len(q)
+
+
+# -- 3 --------------------------------------------------------------------------------------------------------------------
+
+
+def test_mixture_tells_the_elite_from_passing_mentions():
+    tf, n = np.array([[1.0, 2.0, 8.0, 9.0]]), np.array([[300.0, 40.0, 10.0, 10.0]])
+    low, high, share = distinctive.fit_two_poisson(tf, n, 2000)
+    p = distinctive._posterior(np.array([[0.0, 1.0, 8.0]]), low, high, share)[0]
+    assert low[0] < 1 < 6 < high[0] and p[0] < 0.01 and p[1] < 0.2 and p[2] > 0.95
+
+
+def test_terms_are_normalised_runs():
+    found = distinctive.terms_of("Rückfall RÜCKFALL naïve abc12345 Тариф́ов", distinctive.term_pattern(5, False))
+    assert found == ["rückfall", "rückfall", "naïve", "тариф"]
+
+
+# -- 4 --------------------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(("seen", "meant"), [("vicleo", "video"), ("w0rker", "worker"), ("siipport", "support"), ("snapsliot", "snapshot"), ("müsscn", "müssen"), ("хранuлища", "хранилища"), ("программнblй", "программный"), ("desl<", "desk"), ("vorla:ufig", "vorläufig")])
+def test_confusions_are_cheap_and_found_by_the_delete_index(seen, meant):
+    assert scans.misread_distance(seen, meant) <= 0.5
+    assert scans.delete_keys(seen) & scans.delete_keys(meant)
+
+
+def test_pages_are_repaired(spark):
+    word = "The worker keeps every support record for the whole region."
+    pages = [f"ACME Manual – Draft\nNumber {i}. {word} It ends with {i}.\nPage {i}" for i in range(60)]
+    pages[5] = "Acme  manual - draft | 5\nThe w0rker keeps every sup-\nport record in read-\nonly mode for the whole region."
+    pages += [f"All is read-only here, read-only there, {i}.\nThe end of it, {i}." for i in range(8)]
+    df = spark.createDataFrame([("t", i, "g", p) for i, p in enumerate(pages)] + [("t", 900, "g", None), ("t", 901, None, " ")], "tbl string, record_id bigint, grp string, text string")
+    got = {r.record_id: r for r in scans.repair_scans(df).collect()}
+    r = got[5]
+    assert (r.hyphen, r.glyph, r.header, r.page_no) == (True, True, True, True)
+    assert r.text == "The worker keeps every support record in read-only mode for the whole region."
+    assert (got[7].header, got[7].page_no, got[7].text) == (True, True, f"Number 7. {word} It ends with 7.")
+    assert got[900].text is None and not got[900].header and not got[901].page_no
+
+
+# -- 5 --------------------------------------------------------------------------------------------------------------------
+
+
+def test_groups_sizes_and_wrong_ids(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(4, 64))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    sizes = (900, 400, 120, 40)
+    x = np.concatenate([c + rng.normal(size=(n, 64)) * 0.1 for c, n in zip(centres, sizes)] + [rng.normal(size=(60, 64))])
+    true = np.repeat([10, 20, 30, 40, -1], [*sizes, 60])
+    stored = [None if t < 0 else 77 if i % 20 == 0 else int(t) for i, t in enumerate(true)]
+    df = spark.createDataFrame([(i, [float(v) for v in r], s) for i, (r, s) in enumerate(zip(x, stored))], "vec_id bigint, embedding array<float>, cluster_id int")
+    g = grouping.group_vectors(df)
+    got = {r.vec_id: r.cluster_id for r in grouping.wrong_members(g).collect()}
+    assert got == {i: int(t) for i, t in enumerate(true) if t > 0 and i % 20 == 0}
+    assert sorted(r.size for r in grouping.describe_groups(g).collect()) == sorted(sizes)
+
+
+# -- 6 --------------------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(("label", "named"), [("en", "en"), (" de", "de"), ("pt-BR", None), ("zh-TW", "zh"), ("Russian", "ru"), ("jpn", "ja"), ("??", None), (None, None), ("", None)])
+def test_notations_of_a_language(label, named):
+    assert languages.declared(label)[0] == named
+
+
+def test_records_and_parts_get_languages(spark):
+    rows = [
+        (1, "en", "What happens to the status page after 55 days?"), (2, "fr", "Wann ist die Warteschlange wieder da?"), (3, None, "Какой предел действует?"), (4, "en", "Is there a limit of 6 for the list? Comment puis-je modifier la langue ?"),
+        (5, "de", "Was bedeutet „the sign-in page“ in dieser Liste?"), (6, "xx", "0xFF"), (7, None, None), (8, "english", "Who is allowed to reset the password?"), (9, "ja", "15天以后开放接口会怎么样？"),
+    ]
+    df = spark.createDataFrame([("t", i, None, x, t) for i, x, t in rows], "tbl string, record_id bigint, host string, label string, text string")
+    got = {(r.record_id, r.lang) for r in languages.found_cases(languages.language_parts(df)).collect()}
+    assert got == {(2, "de"), (3, "ru"), (4, "en"), (4, "fr"), (9, "zh")}
+
+
+# -- 7 --------------------------------------------------------------------------------------------------------------------
+
+
+def test_pieces_cover_the_text_and_keep_the_limit():
+    rng = random.Random(2)
+    for _ in range(300):
+        text = "".join(rng.choice(["word ", "Satz. ", "\n\n", "# Head\n", "- item\n", "x" * rng.randint(1, 90), "，", "é", "क्ष "]) for _ in range(rng.randint(1, 80)))
+        limit, overlap = rng.choice([(40, 10), (100, 20), (30, 0)])
+        got = splitting.split_item(text, limit, overlap)
+        if len(text) <= limit:
+            assert got == []
+            continue
+        assert got[0][0] == 0 and got[-1][1] == len(text)
+        assert all(0 < b - a <= limit for a, b in got)
+        assert all(a2 <= b1 and b1 - a2 <= overlap and b2 > b1 for (_, b1), (a2, b2) in zip(got, got[1:]))
+
+
+def test_paragraphs_stay_whole_where_they_fit():
+    text = "a" * 30 + "\n\n" + "b" * 30 + "\n\n" + "c" * 30
+    assert [text[a:b].strip() for a, b in splitting.split_item(text, 40, 0)] == ["a" * 30, "b" * 30, "c" * 30]
+
+
+def test_hard_stretches():
+    assert splitting.stretches("ab " + "x" * 11 + "." + "y" * 12, 10) == [3, 15]
+
+
+# -- 8 --------------------------------------------------------------------------------------------------------------------
+
+
+def test_ids_equal_the_plain_tokenizer():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(encoding.VOCABULARY.replace(".tiktoken", ".json"))
+    t.encode_special_tokens = True
+    rng = random.Random(3)
+    alphabet = list("ab'sdtlrevm  \n\t\r.,!?12é中文日。　\x85 अंА😀’") + ["'s", "'ll", "don't", "<|endoftext|>", "\n\n"]
+    texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 60))) for _ in range(3000)] + ["", " ", "a" * 5000]
+    flat, n = encoding.FragmentEncoder(remembered=50).encode(texts)
+    at = 0
+    for text, k in zip(texts, n):
+        assert flat[at : at + k].tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
+        at += k
+
+
+def test_null_and_empty_texts_have_no_ids(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "Hello")], "doc_id bigint, text string")
+    assert {r.doc_id: r.ids for r in encoding.encode_corpus(df).collect()} == {1: [], 2: [], 3: [15496]}
+
+
+# -- 9 --------------------------------------------------------------------------------------------------------------------
+
+
+def test_best_fit_never_overfills():
+    rng = np.random.default_rng(7)
+    sizes = rng.integers(0, 101, 3000)
+    bins = packing.best_fit(sizes, 100)
+    assert sorted(i for b in bins for i in b) == list(range(3000)) and all(sizes[b].sum() <= 100 for b in bins)
+    assert len(bins) <= 1.02 * -(-sizes.sum() // 100) + 1
+
+
+def test_packing_in_rounds_places_every_piece_once(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_ITEMS", 60)
+    rng = random.Random(4)
+    rows = [(i, rng.choice([0, 5, 30, 50, 99, 250])) for i in range(900)]
+    df = spark.createDataFrame(rows + rows[:20] + [(1000, None)], "doc_id bigint, tokens bigint")
+    got = packing.pack(df, [(1, 100), (2, 0), (3, None)], "doc_id", "tokens").toPandas()
+    assert set(got.capacity_id) == {1} and not got.duplicated(["doc_id", "piece"]).any()
+    assert got.groupby("doc_id").units.sum().to_dict() == dict(rows) | {1000: 0}
+    fill = got.groupby("container_id").units.sum()
+    assert fill.max() <= 100 and len(fill) <= 1.03 * sum(n for _, n in rows) / 100
+    whole = got[got.doc_id.isin([i for i, n in rows if n <= 100])]
+    assert (whole.piece == 0).all()
+
+
+# -- 10 -------------------------------------------------------------------------------------------------------------------
+
+
+def test_kinds_of_documents(spark):
+    prose = "The worker keeps every record. It is ready, and nobody waits for it."
+    docs = {
+        1: (prose + "\n") * 4, 2: "\n".join(f"- item number {i}" for i in range(12)), 3: "\n".join(f"name\t{i}\tx{i}\t-" for i in range(10)), 4: "\n".join("~#%&*[]{}<>" * 3 for _ in range(8)),
+        5: "Home » Back Home » Back Home » Back Home » Back Home » Back", 6: prose + "\n- one\n- two\n" + prose + "\na | b\nc | d\n" + prose, 7: None, 8: " \n", 9: "\n".join("* " + prose for _ in range(5)),
+        10: "使用套餐时您可以随时下载发票大型团队每小时最多可以发送17,352次请求我们在春天重新设计了上传队列现在加载更快了" * 3, 11: "\n".join("0x882ba7f8 e3a382602ef7:936 0fb69a 578a7a" for _ in range(6)),
+    }
+    got = {r.doc_id: r.kind for r in quality.quality_statistics(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")).collect()}
+    assert got == {1: "prose", 2: "list", 3: "table", 4: "junk", 5: "junk", 6: "prose", 7: None, 8: None, 9: "prose", 10: "prose", 11: "junk"}
+
+
+def test_forward_backward_agrees_with_enumeration():
+    model = quality.starting_model()
+    seq = np.array([0, 5, 6, 7], np.int8)
+    from itertools import product
+
+    start, moves, emit = model
+    total = np.zeros(20 + 4 * len(quality.OBSERVED))
+    mass, best = 0.0, (0, None)
+    for path in product(range(4), repeat=4):
+        p = start[path[0]] * emit[path[0], seq[0]]
+        for t in range(1, 4):
+            p *= moves[path[t - 1], path[t]] * emit[path[t], seq[t]]
+        mass += p
+        best = max(best, (p, path))
+        one = np.zeros_like(total)
+        one[path[0]] += 1
+        for t in range(1, 4):
+            one[4 + path[t - 1] * 4 + path[t]] += 1
+        for t in range(4):
+            one[20 + path[t] * len(quality.OBSERVED) + seq[t]] += 1
+        total += p * one
+    assert np.allclose(quality.expected_counts([seq, np.array([], np.int8)], model), total / mass)
+    assert tuple(quality.viterbi([seq], model)[0]) == best[1]
