@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +46,7 @@ _CJK = re.compile("[぀-ヿ㐀-䶿一-鿿豈-﫿]")
 _CONSONANTS = re.compile(r"[bcdfghjklmnpqrstvwxzßçñ]{4,}", re.I)
 _VOWEL = re.compile(r"[aeiouyáàâäãåæéèêëíìîïóòôöõøœúùûüýаеёиоуыэюяіїє]", re.I)
 _MOJIBAKE = re.compile("[ÃÂÐÑâï][\u0080-¿‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ€]|�")
+_SYMBOL = re.compile(r"[^\w\s\u0900-\u0963\u0970-\u097f]|_")
 _GAPS = re.compile(r"\S(?: {2,}|　{2,})(?=\S)")
 _TIGHT = re.compile(r"[^\s,;][,;](?=[^\s,;])|[,;](?=[,;]|$)")
 _THOUSANDS = re.compile(r"\d,\d{3}(?!\d)")
@@ -75,59 +77,70 @@ def cells(s: str) -> int:
     return n
 
 
-def look(line: str) -> int:
-    """The kind of look of one line that isn't blank."""
-    s = line.strip()
-    n = len(s)
-    spaces = s.count(" ") + s.count("　") + s.count("\t")
-    letters = sum(map(str.isalnum, s))
-    # marks of Indic scripts belong to letters
-    marks = sum(1 for c in s if "ऀ" <= c <= "๿" and not c.isalnum() and c not in "।॥") if not s.isascii() else 0
-    solid = n - spaces
-    cjk = len(_CJK.findall(s)) if not s.isascii() else 0
-    if (letters + marks) < 0.5 * solid and not (n < 12 and letters):
-        return _O["symbols"] if "|" not in s or letters == 0 else _O["cells"]
-    if _MOJIBAKE.search(s) and len(_MOJIBAKE.findall(s)) >= max(2, 0.04 * n):
-        return _O["mash"]
-    words = s.split()
-    if not cjk and s.isascii() and letters > 20:
-        strange = [w for w in words if len(w) > 2 and (_CONSONANTS.search(w) or not _VOWEL.search(w)) and w.isalpha() or ";" in w[1:-1]]
-        if len(strange) > 0.4 * len(words) and "\t" not in s:
-            return _O["mash"]
-    if len(words) >= 8 and len(set(words)) <= max(3, 0.34 * len(words)) and not _ENDS.search(s):
-        return _O["mash"]
-    if len(words) == 1 and n >= 40 and s.isascii():
-        return _O["mash"]
-    if len(words) > 2 and s.isascii() and "\t" not in s and "|" not in s:
-        codes = [w for w in words if _HEX.fullmatch(w)]
-        if len(codes) >= 0.5 * len(words) and sum(1 for w in codes if not w.isdigit()) >= max(2, 0.3 * len(codes)) and sum(map(len, codes)) > 0.5 * solid:
-            return _O["mash"]
-    ends = bool(_ENDS.search(s))
-    c = cells(line)
-    if c >= 2 and not (ends and c < 4) and not (_SENTENCE_BREAK.search(s) and c < 4):
-        return _O["cells"]
-    m = _BULLET.match(line)
-    body = line[m.end():].strip() if m else s
-    units = len(body.split()) if not cjk else max(len(body.split()), cjk / 2)
-    if s.startswith("#"):
-        return _O["heading"]
-    if ends and units >= 4:
+class Line:
+    """One line that isn't blank: its kind of look and the counts the document's statistics need."""
+
+    __slots__ = ("look", "size", "symbols", "words", "word_chars", "common", "ends")
+
+    def __init__(self, line: str):
+        s = line.strip()
+        words = s.lower().split()
+        ascii_ = s.isascii()
+        self.size = n = len(s)
+        self.word_chars = solid = sum(map(len, words))
+        # marks of Indic scripts belong to letters, not to symbols
+        self.symbols = len(_SYMBOL.findall(s))
+        self.ends = bool(_ENDS.search(s, max(0, n - 12)))
+        cjk = 0 if ascii_ else len(_CJK.findall(s))
+        self.common = sum(map(COMMON.__contains__, words))
+        self.words = len(words)
+        if cjk:
+            self.words = cjk // 2 + sum(1 for w in words if not _CJK.search(w))
+            self.common = min(self.words, self.common + len(_CJK_COMMON.findall(s)))
+        self.look = _O[self._kind(line, s, words, ascii_, n, solid, cjk)]
+
+    def _kind(self, line: str, s: str, words: list[str], ascii_: bool, n: int, solid: int, cjk: int) -> str:
+        letters = solid - self.symbols
+        if letters < 0.5 * solid and not (n < 12 and letters):
+            return "symbols" if "|" not in s or letters == 0 else "cells"
+        if not ascii_ and len(_MOJIBAKE.findall(s)) >= max(2, 0.04 * n):
+            return "mash"
+        many = len(words)
+        plain = self.common >= 2 and self.common >= 0.05 * many  # running language: no need to look for what isn't
+        if not plain:
+            if ascii_ and letters > 20 and not cjk:
+                strange = [w for w in words if len(w) > 2 and w.isalpha() and (_CONSONANTS.search(w) or not _VOWEL.search(w)) or ";" in w[1:-1]]
+                if len(strange) > 0.4 * many and "\t" not in s:
+                    return "mash"
+            if many == 1 and n >= 40 and ascii_:
+                return "mash"
+        if many > 2 and ascii_ and not (plain and words[0].isalpha()) and "\t" not in s and "|" not in s:
+            codes = [w for w in words if _HEX.fullmatch(w)]
+            if len(codes) >= 0.5 * many and sum(1 for w in codes if not w.isdigit()) >= max(2, 0.3 * len(codes)) and sum(map(len, codes)) > 0.5 * solid:
+                return "mash"
+        if many >= 8 and not self.ends and len(set(words)) <= max(3, 0.34 * many):
+            return "mash"
+        c = cells(line)
+        if c >= 2 and not (c < 4 and (self.ends or _SENTENCE_BREAK.search(s))):
+            return "cells"
+        m = _BULLET.match(line)
+        body = line[m.end() :].strip() if m else s
+        units = max(many - bool(m), cjk / 2)
+        if s[0] == "#":
+            return "heading"
+        if self.ends and units >= 4:
+            return "item_sentence" if m else "sentences" if _SENTENCE_BREAK.search(body) else "sentence"
         if m:
-            return _O["item_sentence"]
-        return _O["sentences"] if _SENTENCE_BREAK.search(body) else _O["sentence"]
-    if m:
-        return _O["item_sentence"] if units > 12 or _INSIDE.search(body.rstrip(";；,，")) else _O["item"]
-    if s[-1] in ":：" and units <= 6:
-        return _O["heading"]
-    if not any(map(str.isalpha, s)):
-        return _O["number"]
-    if _INSIDE.search(s.rstrip(";；,，")):
-        return _O["sentences"] if units > 6 else _O["running"]
-    if ends:
-        return _O["short_end"]
-    if units >= 9:
-        return _O["running"]
-    return _O["medium"] if units >= 6 else _O["short"]
+            return "item_sentence" if units > 12 or _INSIDE.search(body.rstrip(";；,，")) else "item"
+        if s[-1] in ":：" and units <= 6:
+            return "heading"
+        if not any(map(str.isalpha, s)):
+            return "number"
+        if _INSIDE.search(s.rstrip(";；,，")):
+            return "sentences" if units > 6 else "running"
+        if self.ends:
+            return "short_end"
+        return "running" if units >= 9 else "medium" if units >= 6 else "short"
 
 
 _ROW = "id bigint, n_lines int, n_words bigint, word_chars bigint, n_chars bigint, symbols bigint, ended int, common bigint, looks array<tinyint>, sizes array<int>"
@@ -136,25 +149,21 @@ _ROW = "id bigint, n_lines int, n_words bigint, word_chars bigint, n_chars bigin
 def line_table(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Counts and the looks and sizes of the lines of every text, in one narrow Arrow pass."""
     def one(t: str | None) -> tuple:
-        t = (t or "").replace("﻿", "")
-        lines = [x for x in _LINES.split(t) if x.strip()]
-        words = t.split()
-        n_words, word_chars, common = len(words), sum(map(len, words)), 0
-        if not t.isascii() and _CJK.search(t):
-            cj = len(_CJK.findall(t))
-            n_words = cj // 2 + sum(1 for w in words if not _CJK.search(w))
-            common = len(_CJK_COMMON.findall(t))
-        common += sum(1 for w in words if w.lower().strip(".,;:!?()\"'“”«»।") in COMMON)
-        alnum = sum(map(str.isalnum, t))
-        blank = sum(map(str.isspace, t))
-        marks = 0 if t.isascii() else sum(1 for c in t if "ऀ" <= c <= "๿" and not c.isalnum() and c not in "।॥")
-        return (len(lines), n_words, word_chars, len(t), len(t) - alnum - blank - marks, sum(1 for x in lines if _ENDS.search(x)), min(common, n_words), [look(x) for x in lines], [len(x.strip()) for x in lines])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame([(i, *one(t)) for i, t in zip(pdf.iloc[:, 0], pdf.iloc[:, 1])], columns=[c.split()[0] for c in _ROW.split(", ")])
-
-    return df.select(df[id_col].cast("bigint").alias("id"), df[text_col].alias("t")).mapInPandas(run, _ROW)
+        t = t or ""
+        if "\ufeff" in t:
+            t = t.replace("\ufeff", "")
+        lines = [Line(x) for x in _LINES.split(t) if x and not x.isspace()]
+        total = lambda c: sum(getattr(x, c) for x in lines)
+        return (len(lines), total("words"), total("word_chars"), len(t), total("symbols"), total("ends"), total("common"), [x.look for x in lines], [x.size for x in lines])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [one(t) for t in b.column(1).to_pylist()]
+            cols = list(zip(*rows)) if rows else [()] * 9
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int8()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], [c.split()[0] for c in _ROW.split(", ")])
+
+    return df.select(df[id_col].cast("bigint").alias("id"), df[text_col].alias("t")).mapInArrow(run, _ROW)
 
 
 def starting_model() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
