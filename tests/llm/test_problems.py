@@ -209,6 +209,21 @@ def test_paragraphs_stay_whole_where_they_fit():
     assert [text[a:b].strip() for a, b in splitting.split_item(text, 40, 0)] == ["a" * 30, "b" * 30, "c" * 30]
 
 
+def test_pieces_find_their_place_in_the_document(spark):
+    body = "Anfang. " + "Ein Satz steht hier. " * 12
+    chunk = body[8:8 + 21 * 8]
+    rows = [(1, 7, "a.md", chunk, 8), (2, 7, "a.md", chunk, None), (3, 7, "a.md", chunk, 30), (4, 99, None, chunk, 8), (5, 7, "a.md", "short", 0), (6, None, "a.md", chunk, 8), (7, 7, "a.md", chunk + "?", 8)]
+    chunks = spark.createDataFrame([*rows, rows[0]], "chunk_id bigint, doc_id bigint, source_name string, text string, start_char int")
+    limits = spark.createDataFrame([("md", 100, 20), ("default", 100, 20)], "suffix string, max_chars int, overlap_chars int")
+    docs = spark.createDataFrame([(7, body)], "doc_id bigint, text string")
+    got = splitting.place_in_documents(splitting.split_oversized(chunks, limits), docs).toPandas()
+    assert set(got.chunk_id) == {1, 2, 3, 4, 6, 7} and not got.duplicated(["chunk_id", "piece"]).any()
+    first = got[got.piece == 0].set_index("chunk_id").start
+    assert first[1] == 8 and first[2] == 8 and first[3] == 29 and all(first[[4, 6, 7]].isna())
+    for r in got[got.start.notna()].itertuples():
+        assert body[int(r.start):int(r.end)] == r.text and len(r.text) <= 100
+
+
 def test_hard_stretches():
     assert splitting.stretches("ab " + "x" * 11 + "." + "y" * 12, 10) == [3, 15]
 
