@@ -92,3 +92,38 @@ def latest_revision(log: DataFrame) -> DataFrame:
     """log (run_id, revision, ...): the row of the highest revision of each run; a revision written twice counts once."""
     w = W.partitionBy("run_id").orderBy(F.desc("revision"))
     return log.dropDuplicates(["run_id", "revision"]).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def argument_errors(schema: dict):
+    """A column function (JSON text) -> null if the arguments fit the tool's JSON schema, else what is wrong; a boolean is no integer."""
+    kinds = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict}
+
+    @F.pandas_udf(T.StringType())
+    def check(raw: pd.Series) -> pd.Series:
+        import json
+
+        def one(text):
+            try:
+                given = json.loads(text or "{}")
+            except ValueError:
+                return "not JSON"
+            if not isinstance(given, dict):
+                return "not an object"
+            for name in schema.get("required", []):
+                if name not in given:
+                    return f"missing argument {name!r}"
+            for name, value in given.items():
+                kind = schema.get("properties", {}).get(name, {}).get("type")
+                if kind and (not isinstance(value, kinds[kind]) or isinstance(value, bool) and kind in ("integer", "number")):
+                    return f"argument {name!r} must be {kind}"
+            return None
+
+        return raw.map(one)
+
+    return check
+
+
+def checked_append(log: DataFrame, new: DataFrame) -> DataFrame:
+    """Rows of ``new`` (run_id, revision, ...) that follow the last revision of their run; others would overwrite someone's work."""
+    last = log.groupBy("run_id").agg(F.max("revision").alias("_last"))
+    return new.join(last, "run_id", "left").where(F.col("revision") == F.coalesce("_last", F.lit(0)) + 1).drop("_last")

@@ -148,3 +148,29 @@ def merged_gaps(gaps: DataFrame, similarity: float = 0.6) -> DataFrame:
 def ranked_gaps(gaps: DataFrame, limit: int = 20) -> DataFrame:
     """The most frequent, then latest, gaps."""
     return gaps.orderBy(F.desc("count"), F.desc("last_seen"), "query").limit(max(1, min(200, limit)))
+
+
+def keep_most(gaps: DataFrame, most: int = 200) -> DataFrame:
+    """The most frequent, then latest, gaps; the rest are forgotten, as the record is bounded by design."""
+    return gaps.orderBy(F.desc("count"), F.desc("last_seen"), "query").limit(most)
+
+
+def resolve(gaps: DataFrame, answered: DataFrame) -> DataFrame:
+    """Gaps without those whose query has been answered (answered(query))."""
+    return gaps.join(answered.select("query").distinct(), "query", "left_anti")
+
+
+def turn_insight(questions: DataFrame, hits: DataFrame, threshold: float = 0.3, least_share: float = 0.1) -> DataFrame:
+    """questions (query_id, query_text), hits (query_id, rank, id, source, score, vector_score, text, query_text) -> one row a question.
+
+    (query_id, language, confidence, level, gap, sources): hits far below the best aren't evidence; a gap shows no sources at all.
+    """
+    from .retrieval import relative_cut
+
+    used = relative_cut(hits, least_share)
+    conf = retrieval_confidence(used)
+    listed = used.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "source"))), lambda s: s["source"]).alias("sources"))
+    out = questions.join(conf, "query_id", "left").join(listed, "query_id", "left").withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
+    gap = F.col("confidence") < threshold
+    none = F.array().cast("array<string>")
+    return out.select("query_id", X.language(F.coalesce("query_text", F.lit(""))).alias("language"), "confidence", X.confidence_level(F.col("confidence")).alias("level"), gap.alias("gap"), F.when(gap, none).otherwise(F.coalesce("sources", none)).alias("sources"))

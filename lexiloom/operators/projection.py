@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 
 from ..functions import text as X
 from ..functions.vectors import matrix
+from ..session import materialise
 
 
 def covariance(vectors: DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -50,11 +51,9 @@ def principal_plane(mean: np.ndarray, cov: np.ndarray) -> tuple[np.ndarray, tupl
     return comp, (share[0], share[1])
 
 
-def pca_map(vectors: DataFrame, dim: int, id_col: str = "id", vec_col: str = "v") -> DataFrame:
-    """(id, x, y): coordinates scaled so that the fitted rows lie in [-1, 1], rounded to 4 places."""
-    mean, cov, n = covariance(vectors.select(vec_col), dim)
-    comp, _ = principal_plane(mean, cov)
-    shared = vectors.sparkSession.sparkContext.broadcast((mean, comp))
+def project(vectors: DataFrame, mean: np.ndarray, components: np.ndarray, scale: float, id_col: str = "id", vec_col: str = "v") -> DataFrame:
+    """(id, x, y) of further vectors, questions for instance, on a map fitted before."""
+    shared = vectors.sparkSession.sparkContext.broadcast((mean, components / (scale or 1.0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mean, comp = shared.value
@@ -63,7 +62,14 @@ def pca_map(vectors: DataFrame, dim: int, id_col: str = "id", vec_col: str = "v"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p[:, 0]), pa.array(p[:, 1])], ["id", "x", "y"])
 
     kind = vectors.schema[id_col].dataType.simpleString()
-    raw = vectors.select(id_col, vec_col).mapInArrow(run, f"id {kind}, x double, y double")
+    return vectors.select(id_col, vec_col).mapInArrow(run, f"id {kind}, x double, y double")
+
+
+def pca_map(vectors: DataFrame, dim: int, id_col: str = "id", vec_col: str = "v") -> DataFrame:
+    """(id, x, y): coordinates scaled so that the fitted rows lie in [-1, 1], rounded to 4 places."""
+    mean, cov, n = covariance(vectors.select(vec_col), dim)
+    comp, _ = principal_plane(mean, cov)
+    raw = project(vectors, mean, comp, 1.0, id_col, vec_col)
     top = raw.agg(F.max(F.greatest(F.abs("x"), F.abs("y")))).first()[0] or 0.0
     scale = top if top > 1e-12 else 1.0
     return raw.select("id", F.round(F.col("x") / scale, 4).alias("x"), F.round(F.col("y") / scale, 4).alias("y"))
@@ -122,7 +128,6 @@ def silhouette(x: np.ndarray, labels: np.ndarray) -> float:
 def silhouette_of(points: DataFrame, block: int = 2048) -> DataFrame:
     """points (id, v, label) -> (silhouette), over all rows: blocks of bounded size are broadcast, and every row adds up its distances
     to each label's members there. The work is quadratic by definition; take a sample where that is enough."""
-    from ..session import materialise
 
     rows = materialise(points.select("id", "v", "label"), "silhouette")
     spark, n = rows.sparkSession, rows.count()
@@ -205,12 +210,12 @@ def class_keywords(df: DataFrame, label: str, text: str, top: int = 3) -> DataFr
     """
     candidates = 50 * top
     terms = df.where(F.col(label).isNotNull()).select(label, F.explode(X.content_tokens(F.col(text))).alias("term")).where(~F.col("term").rlike("^\\p{Nd}+$"))
-    n = terms.groupBy(label, "term").agg(F.count(F.lit(1)).alias("n"))
+    n = materialise(terms.groupBy(label, "term").agg(F.count(F.lit(1)).alias("n")), "class-terms")
     total = n.groupBy(label).agg(F.sum("n").alias("total"))
     overall = n.groupBy("term").agg(F.sum("n").alias("all_n"), F.count(F.lit(1)).alias("classes"))
-    const = total.agg(F.avg("total").alias("words"), F.count(F.lit(1)).alias("labels"))
-    s = n.join(overall, "term").join(F.broadcast(total), label).crossJoin(F.broadcast(const))
-    s = s.withColumn("score", F.col("n") / F.col("total") * F.log(1 + F.col("words") / F.col("all_n"))).withColumn("common", (F.col("classes") == F.col("labels")) & (F.col("labels") > 1))
+    words, labels = total.agg(F.avg("total"), F.count(F.lit(1))).first()
+    s = n.join(overall, "term").join(F.broadcast(total), label)
+    s = s.withColumn("score", F.col("n") / F.col("total") * F.log(1 + F.lit(words) / F.col("all_n"))).withColumn("common", (F.col("classes") == labels) & F.lit(labels > 1))
     order = [F.col("common").asc(), F.desc(F.round("score", 12)), F.col("term").asc()]
     s = s.withColumn("r", F.row_number().over(W.partitionBy(label).orderBy(*order))).where(F.col("r") <= candidates)
 

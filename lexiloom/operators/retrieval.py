@@ -51,8 +51,8 @@ def inverse_frequencies(post: DataFrame, n: int) -> DataFrame:
     """(term, df, idf): log odds, with negative ones replaced by a quarter of the mean."""
     df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     raw = df.withColumn("raw", F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    mean = raw.agg(F.avg("raw")).first()[0] or 0.0
+    return raw.select("term", "df", F.when(F.col("raw") < 0, FLOOR * mean).otherwise(F.col("raw")).alias("idf"))
 
 
 def bm25_scores(corpus: DataFrame, queries: DataFrame, id_col: str, text_col: str, analyser: str = "tokens", query_id: str = "query_id", query_text: str = "query_text") -> DataFrame:

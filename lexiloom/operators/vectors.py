@@ -26,23 +26,27 @@ def finite(df: DataFrame, vec: str, dim: int) -> DataFrame:
     return df.where(F.coalesce((F.size(vec) == dim) & ok, F.lit(False)))
 
 
-class _Best:
-    """Running best k of each query over batches."""
+class BestK:
+    """Running best k of each query over batches: by score, ties to the lower id. Only scores that can still enter are sorted."""
 
     def __init__(self, queries: int, k: int):
         self.k = k
         self.score, self.id = np.full((queries, k), -np.inf), np.full((queries, k), np.iinfo(np.int64).max)
 
     def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
-        s = np.concatenate([self.score, scores], 1)
-        i = np.concatenate([self.id, np.broadcast_to(ids, scores.shape)], 1)
-        if s.shape[1] > 4 * self.k:  # a cheap cut first that keeps all ties of the k-th score
-            kth = -np.partition(-s, self.k - 1, axis=1)[:, self.k - 1]
-            width = int((s >= kth[:, None]).sum(1).max())
-            pick = np.argpartition(-s, min(width, s.shape[1] - 1), axis=1)[:, :width]
-            s, i = np.take_along_axis(s, pick, 1), np.take_along_axis(i, pick, 1)
-        o = np.lexsort((i, -s), axis=1)[:, : self.k]
-        self.score, self.id = np.take_along_axis(s, o, 1), np.take_along_axis(i, o, 1)
+        """scores [queries, rows]; -inf marks a row that isn't a candidate."""
+        q, r = np.nonzero((scores >= self.score[:, -1:]) & (scores > -np.inf))
+        if not len(q):
+            return
+        k, touched = self.k, np.unique(q)
+        q_all = np.concatenate([np.repeat(touched, k), q])
+        s_all = np.concatenate([self.score[touched].ravel(), scores[q, r]])
+        i_all = np.concatenate([self.id[touched].ravel(), ids[r]])
+        o = np.lexsort((i_all, -s_all, q_all))
+        q_all = q_all[o]
+        first = np.searchsorted(q_all, touched)
+        at = (first[:, None] + np.arange(k)).ravel()
+        self.score[touched], self.id[touched] = s_all[o][at].reshape(-1, k), i_all[o][at].reshape(-1, k)
 
     def batch(self, query_ids: np.ndarray) -> pa.RecordBatch:
         some = np.isfinite(self.score)
@@ -64,7 +68,7 @@ def scan(rows: DataFrame, queries: DataFrame, k: int, scorer: Callable[[pa.Recor
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, q = shared.value
-            best = _Best(len(ids), k)
+            best = BestK(len(ids), k)
             for batch in batches:
                 for s in range(0, batch.num_rows, 2048):
                     part = batch.slice(s, 2048)
@@ -307,3 +311,31 @@ def knn_graph(vectors: DataFrame, queries: DataFrame, k: int, dim: int, m: int =
 
     hits = rows.repartition(parts, F.xxhash64("id")).mapInArrow(run, _HITS)
     return hits.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+
+
+def graph_edges(vectors: DataFrame, dim: int, m: int = 16, build: int = 100, rows_each: int = 20_000) -> DataFrame:
+    """(part, src, dst): the links of every partition's graph as a table, the form in which an index is kept."""
+    rows = finite(vectors.toDF("id", "v"), "v", dim).select(F.col("id").cast("bigint").alias("id"), "v")
+    parts = max(1, -(-rows.count() // rows_each))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        held = [b for b in batches if b.num_rows]
+        if held:
+            ids = np.concatenate([np.asarray(b.column(0)) for b in held])
+            graph = SmallWorld(unit_rows(np.concatenate([matrix(b.column(1)) for b in held])), m, build)
+            src = np.repeat(ids, [len(x) for x in graph.links])
+            dst = ids[np.array([j for x in graph.links for j in x], int)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(src), TaskContext.get().partitionId(), np.int32)), pa.array(src), pa.array(dst)], ["part", "src", "dst"])
+
+    return rows.repartition(parts, F.xxhash64("id")).mapInArrow(run, "part int, src bigint, dst bigint")
+
+
+def graph_faults(edges: DataFrame, vectors: DataFrame, m: int = 16) -> DataFrame:
+    """(fault, src, dst): links to rows that aren't there, links to oneself, and rows with more than 2m links."""
+    ids = vectors.toDF("id", "v").select(F.col("id").alias("dst"))
+    dangling = edges.join(ids, "dst", "left_anti").select(F.lit("dangling").alias("fault"), "src", "dst")
+    own = edges.where("src = dst").select(F.lit("self"), "src", "dst")
+    many = edges.groupBy("src").count().where(F.col("count") > 2 * m).select(F.lit("degree"), "src", F.lit(None).cast("bigint"))
+    return dangling.union(own).union(many)

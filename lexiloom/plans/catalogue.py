@@ -195,6 +195,11 @@ def gated_hits(spark, d):
     return retrieval.confidence_gate(a, insight.retrieval_confidence(a), 0.3).select("query_id", "id", "rank", "score")
 
 
+@query
+def turn_insight(spark, d):
+    return insight.turn_insight(_questions(spark, d), _answered(spark, d))
+
+
 # -- vectors ----------------------------------------------------------------------------------------------------------------------
 
 
@@ -243,6 +248,12 @@ def knn_graph(spark, d):
     return ann.knn_graph(v, _vector_queries(v), 10, DIM, rows_each=4000).select("query_id", "id", "rank", "score")
 
 
+@query
+def graph_faults(spark, d):
+    v = _vectors(spark, d)
+    return ann.graph_faults(materialise(ann.graph_edges(v, DIM, rows_each=4000), "graph"), v)
+
+
 # -- map and topics -----------------------------------------------------------------------------------------------------------------
 
 

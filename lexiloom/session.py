@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -27,29 +29,57 @@ def build_session(app: str = "lexiloom", master: str | None = None, **conf: str)
     return b.getOrCreate()
 
 
+_MADE: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a fresh temporary one only where it is unset (local tests)."""
+    """The folder of ``spark.checkpoint.dir``. Where it is unset, a temporary folder serves local sessions only; a cluster must name one."""
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = os.environ.get("LEXILOOM_LOCAL_SCRATCH")
-        if not d:
-            d = tempfile.mkdtemp(prefix="lexiloom-")
-            os.environ["LEXILOOM_LOCAL_SCRATCH"] = d
-        d = "file://" + d
-    return d.rstrip("/")
+    if d:
+        return d.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if not _MADE:
+        d = tempfile.mkdtemp(prefix="lexiloom-")
+        _MADE.append(f"file://{d}")
+    return _MADE[0]
+
+
+_TABLES: list[str] = []
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
-    This cuts the lineage in a way that survives the loss of any executor, and the column
-    pruning of later reads still works.
+    This cuts the lineage in a way that survives the loss of any executor, and the column pruning of later reads still works.
+    The tables stay until ``release`` or the end of the process, since results may still be read from them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexiloom/{name}-{uuid.uuid4().hex[:12]}"
     df.write.option("compression", "zstd").parquet(path)
+    _TABLES.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Deletes all tables ``materialise`` wrote in this process; results not yet read are lost with them."""
+    gateway = SparkContext._gateway
+    try:
+        if gateway is not None and _TABLES:
+            conf = gateway.jvm.org.apache.hadoop.conf.Configuration()
+            for t in _TABLES:
+                path = gateway.jvm.org.apache.hadoop.fs.Path(t)
+                path.getFileSystem(conf).delete(path, True)
+    except Exception:  # the JVM may be gone by now
+        pass
+    _TABLES.clear()
+    for d in _MADE:
+        shutil.rmtree(d.removeprefix("file://"), ignore_errors=True)
+    _MADE.clear()
+
+
+atexit.register(release)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")

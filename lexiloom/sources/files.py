@@ -122,3 +122,36 @@ def publish_once(spark: SparkSession, folder: str, report: str) -> bool:
         if spark.read.text(folder).first()[0] != json.dumps(report):
             raise FileExistsError(folder) from None
         return False
+
+
+def pdf_documents(spark: SparkSession, folder: str, parser=None, most_pages: int = 100) -> DataFrame:
+    """(source, page, line, text, warning) of .pdf files. ``parser(bytes) -> list of page texts`` defaults to pypdf where that is installed."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.pdf").load(folder)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def default(content: bytes) -> list[str]:
+            from pypdf import PdfReader
+
+            return [p.extract_text() or "" for p in PdfReader(io.BytesIO(content)).pages]
+
+        for p in batches:
+            rows = []
+            for path, content in zip(p["path"], p["content"]):
+                try:
+                    pages = (parser or default)(bytes(content))
+                except Exception as e:
+                    rows.append((path, None, None, None, f"unreadable: {type(e).__name__}"))
+                    continue
+                if len(pages) > most_pages:
+                    rows.append((path, None, None, None, "too many pages"))
+                    continue
+                for n, text in enumerate(pages, 1):
+                    lines = [x.strip() for x in text.splitlines()]
+                    rows += [(path, n, i, x, None) for i, x in enumerate(lines, 1) if x] or [(path, n, None, None, "page without text")]
+            yield pd.DataFrame(rows, columns=["source", "page", "line", "text", "warning"]).astype({"page": "Int32", "line": "Int32"})
+
+    return raw.select("path", "content").mapInPandas(run, "source string, page int, line int, text string, warning string")
+
+
+def save_gaps(gaps: DataFrame, path: str) -> None:
+    gaps.select("query", "confidence", "count", F.unix_micros("last_seen").cast("double").__truediv__(1e6).alias("last_seen"), "language").write.mode("overwrite").json(path)
