@@ -6,9 +6,12 @@ without a shuffle of them. All results rank by score, ties by the lower id.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,15 +44,43 @@ def analysed(df: DataFrame, id_col: str, text_col: str, analyser: str = "tokens"
     return df.select(F.col(id_col).alias("id"), terms.alias("terms"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table just read, over all cores where it has fewer partitions than there are; large inputs stay as they are.
+
+    Not for frames with a shuffle: asking those for their partitions would run it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def postings(df: DataFrame, id_col: str, text_col: str, analyser: str = "tokens") -> DataFrame:
-    """(id, term, tf, dl). Records without terms leave no posting but count in ``corpus_statistics``."""
-    a = analysed(df, id_col, text_col, analyser).withColumn("dl", F.size("terms"))
-    return a.select("id", "dl", F.explode("terms").alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    """(id, term, tf, dl) of records with one row each, counted inside each row in one Arrow pass, so nothing is shuffled.
+
+    Every record, even one without terms, has a further row with a null term and its length, from which the corpus is counted.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from ..functions.pytext import index_terms, tokens
+
+        analyse = tokens if analyser == "tokens" else index_terms
+        for b in batches:
+            terms, tf, n, dl = [], [], [], []
+            for t in b.column(1).to_pylist():
+                words = analyse(t) if t else []
+                counts = Counter(words)
+                terms += [None, *counts.keys()]
+                tf += [0, *counts.values()]
+                n.append(len(counts) + 1)
+                dl.append(len(words))
+            ids = b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), n)))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(terms, pa.string()), pa.array(tf, pa.int64()), pa.array(np.repeat(dl, n), pa.int64())], ["id", "term", "tf", "dl"])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, term string, tf bigint, dl bigint")
 
 
 def inverse_frequencies(post: DataFrame, n: int) -> DataFrame:
     """(term, df, idf): log odds, with negative ones replaced by a quarter of the mean."""
-    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = post.where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     raw = df.withColumn("raw", F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw")).first()[0] or 0.0
     return raw.select("term", "df", F.when(F.col("raw") < 0, FLOOR * mean).otherwise(F.col("raw")).alias("idf"))
@@ -60,13 +91,13 @@ def bm25_scores(corpus: DataFrame, queries: DataFrame, id_col: str, text_col: st
     from ..session import materialise
 
     post = materialise(postings(corpus, id_col, text_col, analyser), "postings")
-    n, total = corpus.count(), post.agg(F.sum("tf")).first()[0] or 0
+    n, total = post.where("term is null").agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
     avgdl = total / n if n else 1.0
-    q = analysed(queries, query_id, query_text, analyser).select(F.col("id").alias("query_id"), F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    q = small(q)
+    q = materialise(postings(queries, query_id, query_text, analyser).where("term is not null").select(F.col("id").alias("query_id"), "term", F.col("tf").alias("qtf")), "query-terms")
     # idf needs the frequencies of all terms (its floor is their mean); only the queries' terms go on
-    idf = inverse_frequencies(post, n).join(q.select("term").distinct(), "term", "left_semi")
-    hit = post.join(small(q.join(idf, "term")), "term")
+    idf = inverse_frequencies(post, n)
+    asked = q.join(idf, "term")
+    hit = post.join(F.broadcast(asked) if q.count() <= BROADCAST_ROWS else asked, "term")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(avgdl) or 1.0)))
     return hit.groupBy("query_id", "id").agg(F.sum(part).alias("raw"))
 

@@ -78,14 +78,14 @@ def chunk_previews(spark, d):
 
 @query
 def token_counts(spark, d):
-    t = table(spark, d, "documents").select("doc_id", X.tokens(F.coalesce("text", F.lit(""))).alias("t"))
+    t = retrieval.spread(table(spark, d, "documents")).select("doc_id", X.tokens(F.coalesce("text", F.lit(""))).alias("t"))
     return t.select("doc_id", F.size("t").alias("tokens"), F.size(F.array_distinct("t")).alias("distinct_tokens"))
 
 
 @query
 def term_frequencies(spark, d):
-    docs = table(spark, d, "documents")
-    return retrieval.inverse_frequencies(retrieval.postings(docs, "doc_id", "text"), docs.count()).select("term", "df", F.round("idf", 6).alias("idf"))
+    docs = retrieval.spread(table(spark, d, "documents"))
+    return retrieval.inverse_frequencies(materialise(retrieval.postings(docs, "doc_id", "text"), "postings"), docs.count()).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query
