@@ -84,8 +84,8 @@ def trigrams(text: str) -> list[str]:
 class TextModel:
     """Log likelihood of a text under each language, up to a constant."""
 
-    def __init__(self, logp: dict[str, np.ndarray], unseen: np.ndarray):
-        self.logp, self.unseen = logp, unseen
+    def __init__(self, index: dict[str, int], logp: np.ndarray):
+        self.index, self.logp = index, logp  # row 0 stands for what was never seen
 
     @classmethod
     def fit(cls, rows: list[tuple[str, str]]) -> TextModel:
@@ -99,13 +99,14 @@ class TextModel:
         vocabulary = set().union(*counts.values())
         totals = np.array([sum(counts[c].values()) for c in LATIN], float)
         size = len(vocabulary) + 1
-        logp = {g: np.log((np.array([counts[c][g] for c in LATIN]) + 0.3) / (totals + 0.3 * size)) for g in vocabulary}
-        return cls(logp, np.log(0.3 / (totals + 0.3 * size)))
+        order = sorted(vocabulary)
+        seen = np.array([[0.0] * len(LATIN), *([counts[c][g] for c in LATIN] for g in order)])
+        return cls({g: i for i, g in enumerate(order, 1)}, np.log((seen + 0.3) / (totals + 0.3 * size)))
 
     def loglik(self, text: str) -> np.ndarray:
         """float[9]; letters of a script weigh heavily, a Latin name or two inside another script hardly."""
         out = np.zeros(9)
-        kana, han, cyr, dev = (len(p.findall(text)) for p in (_KANA, _HAN, _CYRILLIC, _DEVANAGARI))
+        kana, han, cyr, dev = (0, 0, 0, 0) if text.isascii() else (len(p.findall(text)) for p in (_KANA, _HAN, _CYRILLIC, _DEVANAGARI))
         latin = _LATIN_WORD.findall(text)
         other = kana + han + cyr + dev
         if other:
@@ -115,11 +116,8 @@ class TextModel:
                 out[6] += 2.0 * han - 2.5 * kana
                 out[7] += 2.0 * kana + (1.4 if kana else 1.0) * han
         if latin and (not other or len(latin) > 3 or other < 3):
-            s = np.zeros(5)
-            grams = trigrams(text)
-            for g in grams:
-                s += self.logp.get(g, self.unseen)
-            s *= 0.5  # neighbouring trigrams share letters
+            get = self.index.get
+            s = 0.5 * self.logp[[get(g, 0) for g in trigrams(text)]].sum(0)  # half: neighbouring trigrams share letters
             n = sum(map(len, latin))
             out[:5] += s - s.max() + 1.2 * n
         return out
