@@ -157,6 +157,26 @@ def line_diff(before: pd.Series, after: pd.Series) -> pd.Series:
     return pd.Series(["\n".join(unified_diff((a or "").splitlines(), (b or "").splitlines(), "before", "after", lineterm="")) for a, b in zip(before, after)])
 
 
+def greedy_matches(scored: DataFrame, least: float = 0.5) -> DataFrame:
+    """scored (pair_id, before_line, after_line, score) -> the baseline that takes the best free pair again and again.
+
+    Each step depends on the ones before, so a pair of documents (at most ``MAX_LINES`` lines a side) is matched in one group.
+    """
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        rows, a, b = [], set(), set()
+        for r in p.sort_values(["score", "before_line", "after_line"], ascending=[False, True, True]).itertuples(index=False):
+            if r.score < least:
+                break
+            if r.before_line not in a and r.after_line not in b:
+                a.add(r.before_line)
+                b.add(r.after_line)
+                rows.append((r.pair_id, r.before_line, r.after_line, r.score))
+        return pd.DataFrame(rows, columns=["pair_id", "before_line", "after_line", "score"])
+
+    s = scored.select("pair_id", "before_line", "after_line", "score").where("score is not null")
+    return s.groupBy("pair_id").applyInPandas(run, s.schema)
+
+
 def match_quality(found: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
     """(correct, extra, missed, precision, recall) of two sets of rows."""
     f, e = found.select(*keys).distinct().withColumn("f", F.lit(1)), expected.select(*keys).distinct().withColumn("e", F.lit(1))

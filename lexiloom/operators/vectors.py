@@ -186,9 +186,10 @@ def knn_pq(codes: DataFrame, queries: DataFrame, books: np.ndarray, k: int, dim:
 def rerank(candidates: DataFrame, vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Exact cosines of candidates (query_id, id), and their top k."""
     from ..functions.vectors import cosine
+    from .retrieval import small
 
     v, q = vectors.toDF("id", "v"), queries.toDF("query_id", "q")
-    both = candidates.select("query_id", "id").join(v, "id").join(F.broadcast(q), "query_id")
+    both = candidates.select("query_id", "id").join(v, "id").join(small(q, QUERY_BLOCK), "query_id")
     s = both.select("query_id", "id", cosine(F.col("v"), F.col("q")).alias("score"))
     return s.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id"))).where(F.col("rank") <= k)
 

@@ -171,7 +171,7 @@ def _answered(spark, d):
     asked = _questions(spark, d)
     hits = retrieval.top_k(retrieval.bm25_scores(chunks, asked, "chunk_id", "text", "stems").withColumn("score", F.round("raw", 6)), 8)
     full = retrieval.attach(hits, chunks, "chunk_id", "text", F.col("source_name").alias("source"))
-    return full.join(F.broadcast(asked), "query_id").withColumn("vector_score", F.lit(0.0))
+    return full.join(retrieval.small(asked), "query_id").withColumn("vector_score", F.lit(0.0))
 
 
 @query

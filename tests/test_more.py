@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from lexiloom import session
 from lexiloom.functions.register import register
-from lexiloom.operators import agent, insight, projection
+from lexiloom.operators import agent, insight, projection, review
 from lexiloom.operators import vectors as ann
 from lexiloom.sources import files
 
@@ -74,3 +74,12 @@ def test_a_cluster_must_name_its_shared_folder():
 
     with pytest.raises(RuntimeError):
         session.shared_dir(Fake)
+
+
+def test_greedy_baseline_and_its_quality(spark):
+    s = spark.createDataFrame([("p", 1, 1, 0.9), ("p", 1, 2, 0.8), ("p", 2, 1, 0.85), ("p", 2, 2, 0.6), ("p", 3, 3, 0.4), ("p", 4, 4, None)], "pair_id string, before_line int, after_line int, score double")
+    got = review.greedy_matches(s)
+    assert sorted((r.before_line, r.after_line) for r in got.collect()) == [(1, 1), (2, 2)]
+    want = spark.createDataFrame([("p", 1, 1), ("p", 3, 3)], "pair_id string, before_line int, after_line int")
+    q = review.match_quality(got, want, ["pair_id", "before_line", "after_line"]).first()
+    assert (q.correct, q.extra, q.missed, q.precision, q.recall) == (1, 1, 1, 0.5, 0.5)

@@ -172,7 +172,7 @@ def test_topics(spark):
 def test_grounding(spark):
     rows = [
         (1, "The refund takes fourteen days. Unicorns dance on purple mountains.", ["Our refund takes fourteen days after payment."], ["handbook.md"]), (2, "Anything at all here.", [], []),
-        (3, "This information is from Skylark Cloud.", ["Something else."], ["Skylark Cloud demo knowledge base (EN)"]), (4, None, ["x"], ["y"]),
+        (3, "This information is from Harbour Works.", ["Something else."], ["Harbour Works demo knowledge base (EN)"]), (4, None, ["x"], ["y"]),
     ]
     s = insight.assess_grounding(spark.createDataFrame(rows, "turn_id bigint, answer string, passages array<string>, sources array<string>"))
     got = {(r.turn_id, r.start): r for r in s.collect()}

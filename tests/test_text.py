@@ -73,7 +73,7 @@ def test_small_expressions(spark):
     assert col(spark, [61.5, 3700.0, 4000.0], X.clock, "double") == ["01:01", "1:01:40", "1:06:40"]
     assert col(spark, ["# A *b*\n\n c"], X.preview) == ["A b c"]
     assert col(spark, ["x" * 200], X.preview)[0] == "x" * 159 + "…"
-    assert col(spark, ["docs/architecture.md", "Skylark Cloud demo knowledge base (EN)"], X.source_name) == ["architecture.md", "Skylark Cloud"]
+    assert col(spark, ["docs/architecture.md", "Harbour Works demo knowledge base (EN)"], X.source_name) == ["architecture.md", "Harbour Works"]
     r = spark.createDataFrame([(["a", "b"], ["b", "c"]), ([], ["a"])], "a array<string>, b array<string>").select(X.jaccard(F.col("a"), F.col("b"))).collect()
     assert [round(x[0], 4) for x in r] == [0.3333, 0.0]
 
