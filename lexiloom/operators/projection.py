@@ -153,7 +153,7 @@ def silhouette_of(points: DataFrame, block: int = 2048) -> DataFrame:
         sums = part if sums is None else sums.unionByName(part)
     if sums is None:
         return spark.createDataFrame([(0.0,)], "silhouette double")
-    size = F.broadcast(rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")))
+    size = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     m = sums.groupBy("id", "own", "label").agg(F.sum("s").alias("s")).join(size, "label")
     mine = F.col("own") == F.col("label")
     ab = m.groupBy("id").agg(F.max(F.when(mine, F.col("n"))).alias("n"), F.max(F.when(mine, F.col("s") / F.greatest(F.col("n") - 1, F.lit(1)))).alias("a"), F.min(F.when(~mine, F.col("s") / F.col("n"))).alias("b"))
@@ -214,7 +214,7 @@ def class_keywords(df: DataFrame, label: str, text: str, top: int = 3) -> DataFr
     total = n.groupBy(label).agg(F.sum("n").alias("total"))
     overall = n.groupBy("term").agg(F.sum("n").alias("all_n"), F.count(F.lit(1)).alias("classes"))
     words, labels = total.agg(F.avg("total"), F.count(F.lit(1))).first()
-    s = n.join(overall, "term").join(F.broadcast(total), label)
+    s = n.join(overall, "term").join(total, label)
     s = s.withColumn("score", F.col("n") / F.col("total") * F.log(1 + F.lit(words) / F.col("all_n"))).withColumn("common", (F.col("classes") == labels) & F.lit(labels > 1))
     order = [F.col("common").asc(), F.desc(F.round("score", 12)), F.col("term").asc()]
     s = s.withColumn("r", F.row_number().over(W.partitionBy(label).orderBy(*order))).where(F.col("r") <= candidates)
