@@ -165,6 +165,6 @@ def group_keywords(scores: DataFrame, groups: DataFrame, id_col: str, group_col:
     each = scores.join(g, id_col).groupBy(group_col, "term").agg(F.sum("score").alias("s"), F.count(F.lit(1)).alias("k"))
     every = each.groupBy("term").agg(F.sum("s").alias("all_s"))
     lift = F.col("s") / F.col("size") - (F.col("all_s") - F.col("s")) / F.greatest(F.lit(1), F.lit(total) - F.col("size"))
-    ranked = each.where("k >= 2").join(F.broadcast(sizes), group_col).join(every, "term").withColumn("lift", lift).where("lift > 0")
+    ranked = each.where("k >= 2").join(sizes, group_col).join(every, "term").withColumn("lift", lift).where("lift > 0")
     best = ranked.withColumn("r", F.row_number().over(W.partitionBy(group_col).orderBy(F.desc("lift"), "term"))).where(F.col("r") <= top)
     return best.groupBy(group_col).agg(F.sort_array(F.collect_list(F.struct("r", "term"))).alias("k")).select(group_col, F.col("k.term").alias("keywords"))
