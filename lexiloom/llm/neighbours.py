@@ -6,8 +6,8 @@ nearest to a boundary); candidates of all tables are merged and reranked by exac
 
 ``near_pairs`` joins a whole collection with itself: bucket entries travel as sorted arrays, about ``tables * (1 + probes)`` short
 entries a vector, never the vectors; candidates pass a 128-bit sketch before the few left meet their vectors. A bucket with more than
-``HOT`` members is never paired off: its members, and those that probe it, are hashed again by more functions, which keeps their
-nearest. Equal vectors (up to 4 decimals) are one class; only its lowest ``k + 1`` ids can be among anyone's k nearest.
+``HOT`` members is never paired off: its members, and those that probe it, are hashed again by more functions in more tables; heaps
+still as crowded after that keep their nearest. Equal vectors (up to 4 decimals) are one class; only its lowest ``k + 1`` ids can be among anyone's k nearest.
 
 ``query_neighbours`` takes a stated query set against all rows, in blocks of bounded size; probes and queries are broadcast, rows
 stay where they are and only each partition's best k travel.
@@ -197,11 +197,10 @@ def _entries(vectors: DataFrame, parts: int, seed: int, shape: dict, hot: np.nda
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, hot, spread = _tables(seed, shape), shared.value, 0
-        for b in batches:
+        step = max(256, 1_200_000 // (len(tables) * (1 + shape["probes"])))
+        for b in (b.slice(s, step) for b in batches for s in range(0, b.num_rows, step)):
             ids = np.asarray(b.column(0))
             x = _matrix_of(b.column(1))
-            if not len(ids):
-                continue
             keys = np.stack([t.keys(x, shape["probes"]) for t in tables])  # tables, n, 1 + probes
             rows = []
             if len(hot):
@@ -240,24 +239,25 @@ def match_buckets(own_keys: np.ndarray, own_ids: np.ndarray, keys: np.ndarray, i
         probe_hot = np.isin(keys, hot_keys)
         again = np.unique(np.concatenate([own_ids[in_hot], ids[probe_hot]]))
         own_keys, own_ids, keys, ids = own_keys[~in_hot], own_ids[~in_hot], keys[~probe_hot], ids[~probe_hot]
-    pairs = []
+    names = np.unique(np.concatenate([own_ids, ids]))
+    own_at, codes = np.searchsorted(names, own_ids), []
     multiple = np.isin(own_keys, bucket[size > 1])
-    for k, i in ((own_keys[multiple], own_ids[multiple]), (keys, ids)):
-        step = 2_000_000
-        for s in range(0, len(k), step):
-            ks, is_ = k[s : s + step], i[s : s + step]
-            lo, hi = np.searchsorted(own_keys, ks, "left"), np.searchsorted(own_keys, ks, "right")
-            n = hi - lo
-            some = n > 0
-            lo, n, is_ = lo[some], n[some], is_[some]
-            if not len(n):
+    for k, i in ((own_keys[multiple], own_at[multiple]), (keys, np.searchsorted(names, ids))):
+        lo, hi = np.searchsorted(own_keys, k, "left"), np.searchsorted(own_keys, k, "right")
+        some = hi > lo
+        lo, n, i = lo[some], (hi - lo)[some], i[some]
+        many = np.cumsum(n)
+        cuts = np.searchsorted(many, np.arange(8_000_000, int(many[-1]), 8_000_000)) if len(n) else []
+        for s, e in zip([0, *cuts], [*cuts, len(n)]):
+            if e == s:
                 continue
-            end = np.cumsum(n)
-            at = np.arange(end[-1]) - np.repeat(end - n, n) + np.repeat(lo, n)
-            a, b = np.repeat(is_, n), own_ids[at]
+            end = np.cumsum(n[s:e])
+            at = np.arange(end[-1]) - np.repeat(end - n[s:e], n[s:e]) + np.repeat(lo[s:e], n[s:e])
+            a, b = np.repeat(i[s:e], n[s:e]), own_at[at]
             keep = a != b
-            pairs.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[keep], axis=0))
-    out = np.unique(np.concatenate(pairs), axis=0) if pairs else np.empty((0, 2), np.int64)
+            codes.append(np.unique(np.minimum(a, b)[keep] * len(names) + np.maximum(a, b)[keep]))
+    code = np.unique(np.concatenate(codes)) if codes else np.empty(0, np.int64)
+    out = names[np.stack([code // max(len(names), 1), code % max(len(names), 1)], 1)]
     return out, again
 
 
@@ -286,12 +286,40 @@ def _candidates(vectors: DataFrame, n: int, seed: int, shape: dict, hot_keys: np
     return entries.repartition(parts, "part").mapInArrow(run, "a bigint, b bigint")
 
 
-def table_shape(n: int) -> dict:
-    """Functions and tables by the number of vectors: twice the vectors, one function more, so that chance company in a bucket stays alike."""
-    import math
+#: Wanted chance to find a pair of the least cosine asked for, in each round of hashing.
+RECALL = 0.94
+
+
+@lru_cache(maxsize=64)
+def table_recall(width: int, w: float, probes: int, least: float, trials: int = 20_000) -> float:
+    """Chance that one table brings a pair of that cosine together, either row probing for the other; drawn with a fixed seed."""
+    r = np.random.default_rng(17)
+    y = r.uniform(size=(trials, width))
+    z = y + r.normal(size=y.shape) * np.sqrt(2 - 2 * least) / w
+    step = np.floor(z).astype(np.int64)
+    z -= step
+    found = ~step.any(1)
+    sets = {frozenset(s) for s in perturbations(width, probes)}
+    few = np.flatnonzero(~found & (np.abs(step).max(1) == 1))
+    for f, d in ((y, step), (z, -step)):
+        place = np.argsort(np.argsort(np.concatenate([f, 1 - f], 1)[few], 1), 1)
+        for i, row, p in zip(few, d[few], place):
+            at = np.flatnonzero(row)
+            found[i] |= frozenset(p[at + width * (row[at] > 0)].tolist()) in sets
+    return float(found.mean())
+
 
-    more = max(0.0, math.log2(max(n, 1) / 10_000))
-    return {"width": 22 + round(more), "w": 1.8, "tables": 8, "probes": 12}
+def shape_of_width(width: int, least: float) -> dict:
+    """As many tables as find a pair of the least cosine with a chance of ``RECALL``."""
+    w, probes = 1.8, 8
+    one = max(table_recall(width, w, probes, round(least, 4)), 1e-4)
+    return {"width": width, "w": w, "tables": int(np.ceil(np.log(1 - RECALL) / np.log(1 - min(one, 0.9)))), "probes": probes}
+
+
+def table_shape(n: int, least: float = 0.92) -> dict:
+    """Functions by the number of vectors: twice the vectors, one function more, so that chance company in a bucket stays alike.
+    More functions part true pairs too, so the tables grow along, about with the fourth root of the vectors."""
+    return shape_of_width(20 + round(max(0.0, float(np.log2(max(n, 1) / 10_000)))), least)
 
 
 #: Ids up to which a filter on vectors is broadcast (8 bytes each); beyond, the vectors are joined by a shuffle.
@@ -322,7 +350,7 @@ def _exact(pairs: DataFrame, light: DataFrame, units: DataFrame, least: float) -
 def near_pairs(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", least: float = 0.92, k: int = 10, rounds: int = 4, shape: dict | None = None) -> DataFrame:
     """(a, b, cosine), a < b: pairs of at least that cosine; of equal vectors only the k + 1 lowest ids."""
     n = df.count()
-    shape = shape or table_shape(n)
+    given, shape = shape, shape or table_shape(n, least)
     seen = materialise(survey(df, id_col, vec_col, 1000, shape), "survey")
     light = seen.where("id is not null").select("id", "cls", "s1", "s2").dropDuplicates(["id"])
     ids = light.select("id", "cls")
@@ -352,7 +380,7 @@ def near_pairs(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
         if not n:
             break
         todo = materialise(reps.join(F.broadcast(again) if n <= BROADCAST_IDS else again, "id", "left_semi").dropDuplicates(["id"]), f"dense-{r}")
-        seed, shape = seed + 100, shape | {"width": shape["width"] + 12}
+        seed, shape = seed + 100, _denser(shape, least, given is not None or r + 2 == rounds)
         if r + 2 < rounds:
             hot = _hot_keys(_crowded_buckets(todo, seed, shape))
         else:
@@ -366,6 +394,12 @@ def near_pairs(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     return wide.unionByName(inner).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "cosine")
 
 
+def _denser(shape: dict, least: float, last: bool) -> dict:
+    """More functions for the rows of hot buckets, with the tables that ``least`` asks for. Heaps that are still hot before the last round
+    keep their nearest: all pairs of a heap would be its size squared, and its rows have more than ``HOT`` others nearer than chance."""
+    return shape | {"width": shape["width"] + 28, "tables": 8, "probes": 12} if last else shape_of_width(shape["width"] + 4, least)
+
+
 def _crowded_buckets(vectors: DataFrame, seed: int, shape: dict) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = _tables(seed, shape)

@@ -86,6 +86,36 @@ def test_hot_buckets_are_hashed_again(spark):
     assert hit >= 0.9 * len(x), best
 
 
+@pytest.mark.parametrize("n", [3000, 40_000])
+def test_pairs_near_the_least_cosine_are_found_at_every_size(spark, n):
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(600):
+        c = 0.9201 + 0.03 * i / 600
+        other = rng.normal(size=64)
+        other -= (other @ x[i]) * x[i]
+        x[n - 1 - i] = c * x[i] + np.sqrt(1 - c * c) * other / np.linalg.norm(other)
+    got, _ = _pairs(spark, x)
+    rows = {(r.a, r.b) for r in got.collect()}
+    assert sum((i, n - 1 - i) in rows for i in range(600)) >= 0.9 * 600
+
+
+@pytest.mark.parametrize("width", [20, 24, 28, 32])
+def test_tables_keep_the_recall_of_the_least_cosine_at_every_width(width):
+    shape = neighbours.shape_of_width(width, 0.92)
+    a = np.random.default_rng(1).normal(size=(400, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = np.random.default_rng(2).normal(size=a.shape)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b = 0.92 * a + np.sqrt(1 - 0.92**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    found = np.zeros(len(a), bool)
+    for t in neighbours._tables(77, shape):
+        ka, kb = t.keys(a, shape["probes"]), t.keys(b, shape["probes"])
+        found |= (ka == kb[:, :1]).any(1) | (kb == ka[:, :1]).any(1)
+    assert found.mean() >= 0.9
+
+
 def test_equal_vectors_pair_up_only_among_the_lowest_ids(spark):
     x = np.tile(np.arange(1, 65), (40, 1))
     got, _ = _pairs(spark, x)
