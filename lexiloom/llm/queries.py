@@ -39,7 +39,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     from .distinctive import score_terms
 
     scores = score_terms(table(spark, d, "chunks"), min_letters=5, wide=False, min_tf=3, max_df=5)
-    return scores.where("score >= 0.5").select("chunk_id", "term")
+    return scores.where("tf >= 3 and df <= 5").select("chunk_id", "term")
 
 
 def p3_scores(spark: SparkSession, d: str) -> DataFrame:

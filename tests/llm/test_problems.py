@@ -153,6 +153,14 @@ def test_mixture_tells_the_elite_from_passing_mentions():
     assert low[0] < 1 < 6 < high[0] and p[0] < 0.01 and p[1] < 0.2 and p[2] > 0.95
 
 
+def test_found_terms_depend_on_counts_alone(spark, tmp_path):
+    from lexiloom.llm.queries import p3_found
+
+    text = F.when(F.col("id") == 1, F.repeat(F.lit("quokka "), 3)).when(F.col("id") == 2, F.repeat(F.lit("quokka "), 60)).otherwise("plain")
+    spark.range(20_000).select(F.col("id").alias("chunk_id"), text.alias("text")).write.parquet(f"{tmp_path}/chunks.parquet")
+    assert {tuple(r) for r in p3_found(spark, str(tmp_path)).collect()} == {(1, "quokka"), (2, "quokka")}
+
+
 def test_terms_are_normalised_runs():
     found = distinctive.terms_of("Rückfall RÜCKFALL naïve abc12345 Тариф́ов", distinctive.term_pattern(5, False))
     assert found == ["rückfall", "rückfall", "naïve", "тариф"]
