@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from ..session import materialise
 
 RUNNING = 3
-#: A word is taken for misread only beside a candidate at least so many times as frequent, and this frequent at least.
-RATIO, LEAST = 8, 4
+#: A candidate is this frequent at least, and so many times as frequent as the word taken for misread; a word that shows its misreading
+#: by itself (not sound) needs no ratio where confusion pairs alone, at most to this cost, explain it.
+RATIO, LEAST, EVIDENT = 8, 4, 0.75
 #: The same for a word that looks sound, by its length: chance neighbours are common among short words.
 SOUND_RATIO = {1: 400, 2: 200, 3: 80, 4: 40}
 SOUND_RATIO_LONG = 25
@@ -232,7 +233,7 @@ def find_repairs(lexicon: DataFrame) -> DataFrame:
     index = letters.mapInPandas(keys, "k string, word string, n bigint").select(F.xxhash64("k").alias("k"), "word", "n")
     is_sound = F.col("word").rlike(r"^(?:[a-zà-öø-ÿœß'’\-]+|[а-яёіїєґ\-]+)$")
     right = index.where((F.col("n") >= LEAST) & is_sound & (F.char_length("word") >= 2)).withColumnsRenamed({"word": "c", "n": "cn"})
-    pairs = index.join(right, "k").where((F.col("cn") >= RATIO * F.col("n")) & (F.col("c") != F.col("word"))).select("word", "n", "c", "cn").distinct()
+    pairs = index.join(right, "k").where(((F.col("cn") >= RATIO * F.col("n")) | ~is_sound) & (F.col("c") != F.col("word"))).select("word", "n", "c", "cn").distinct()
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
@@ -242,6 +243,8 @@ def find_repairs(lexicon: DataFrame) -> DataFrame:
                 if whole and (cn < SOUND_RATIO.get(len(w), SOUND_RATIO_LONG) * n or (w[0] < "\u0400") != (c[0] < "\u0400")):
                     continue
                 cost = misread_distance(w, c)
+                if cn < RATIO * n and cost > EVIDENT:
+                    continue
                 if cost <= (1.3 if not whole and len(w) > 3 else 0.8) and cost < 0.3 * len(c):
                     out.append((w, n, c, cn, cost))
             yield pd.DataFrame(out, columns=["word", "n", "c", "cn", "cost"])

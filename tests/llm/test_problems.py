@@ -175,6 +175,12 @@ def test_confusions_are_cheap_and_found_by_the_delete_index(seen, meant):
     assert scans.delete_keys(seen) & scans.delete_keys(meant)
 
 
+def test_evident_misreadings_need_no_ratio(spark):
+    words = [("modern", 60), ("m0dern", 30), ("table", 5), ("tab1e", 1), ("table1", 3), ("modem", 30), ("тариф", 9), ("тaриф", 9)]
+    found = scans.find_repairs(spark.createDataFrame(words, "word string, n bigint")).collect()
+    assert {r.word: r.candidates[0].word for r in found} == {"m0dern": "modern", "tab1e": "table", "тaриф": "тариф"}
+
+
 def test_pages_are_repaired(spark):
     word = "The worker keeps every support record for the whole region."
     pages = [f"ACME Manual – Draft\nNumber {i}. {word} It ends with {i}.\nPage {i}" for i in range(60)]
