@@ -119,12 +119,10 @@ def _posterior(tf: np.ndarray, low: np.ndarray, high: np.ndarray, share: np.ndar
     return 1 / (1 + np.exp(-np.clip(z, -700, 700)))
 
 
-def term_parameters(counted: DataFrame, total: int, max_df: int | None = None) -> DataFrame:
-    """(term, df, low, high, share): one row a term. ``max_df`` leaves out terms no caller will ask for."""
+def term_parameters(counted: DataFrame, total: int) -> DataFrame:
+    """(term, df, low, high, share): one row a term."""
     hist = counted.where("id is null").groupBy("term", "tf").agg(F.sum("n").alias("n"))
     lists = hist.groupBy("term").agg(F.sum("n").alias("df"), F.collect_list("tf").alias("tfs"), F.collect_list("n").alias("ns"))
-    if max_df is not None:
-        lists = lists.where(F.col("df") <= max_df)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
@@ -140,11 +138,11 @@ def term_parameters(counted: DataFrame, total: int, max_df: int | None = None) -
     return lists.mapInPandas(run, "term string, df bigint, low double, high double, share double")
 
 
-def score_terms(df: DataFrame, id_col: str = "chunk_id", text_col: str = "text", min_letters: int = 3, wide: bool = True, min_tf: int = 1, max_df: int | None = None) -> DataFrame:
+def score_terms(df: DataFrame, id_col: str = "chunk_id", text_col: str = "text", min_letters: int = 3, wide: bool = True, min_tf: int = 1) -> DataFrame:
     """(id, term, tf, df, score) for every term of every record that has it at least min_tf times."""
     total = df.agg(F.count_distinct(id_col)).first()[0]
     counted = materialise(count_terms(df, id_col, text_col, min_letters, wide, min_tf), "term-counts")
-    params = term_parameters(counted, total, max_df)
+    params = term_parameters(counted, total)
     if min_tf == 1:
         params = materialise(params, "term-params")
         if params.count() <= BROADCAST_TERMS:

@@ -38,7 +38,7 @@ def p2_knn(spark: SparkSession, d: str) -> DataFrame:
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     from .distinctive import score_terms
 
-    scores = score_terms(table(spark, d, "chunks"), min_letters=5, wide=False, min_tf=3, max_df=5)
+    scores = score_terms(table(spark, d, "chunks"), min_letters=5, wide=False, min_tf=3)
     return scores.where("tf >= 3 and df <= 5").select("chunk_id", "term")
 
 
@@ -53,7 +53,7 @@ def p3_keywords(spark: SparkSession, d: str) -> DataFrame:
 
     member = table(spark, d, "vectors").select(F.col("vec_id").alias("chunk_id"), "cluster_id")
     words = group_keywords(score_terms(table(spark, d, "chunks"), min_letters=4), member, "chunk_id", "cluster_id")
-    return table(spark, d, "map_clusters").select("cluster_id").join(F.broadcast(words), "cluster_id", "left")
+    return table(spark, d, "map_clusters").select("cluster_id").join(words, "cluster_id", "left")
 
 
 def _scans(spark: SparkSession, d: str) -> DataFrame:
@@ -116,10 +116,9 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     from .splitting import split_oversized
 
     pieces = split_oversized(table(spark, d, "chunks"), table(spark, d, "chunk_limits"))
-    cases = pieces.select("chunk_id", "piece", "hard_start").distinct()
-    hard = cases.where("hard_start >= 0").select("chunk_id", "hard_start").distinct()
-    plain = cases.groupBy("chunk_id").agg(F.max("hard_start").alias("hard_start")).where("hard_start < 0")
-    return hard.unionByName(plain)
+    found = pieces.groupBy("chunk_id").agg(F.collect_set("hard_start").alias("h"))
+    hard = F.filter("h", lambda x: x >= 0)
+    return found.select("chunk_id", F.explode(F.when(F.size(hard) > 0, hard).otherwise(F.array(F.lit(-1)))).alias("hard_start"))
 
 
 def p7_pieces(spark: SparkSession, d: str) -> DataFrame:

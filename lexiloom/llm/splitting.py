@@ -35,11 +35,6 @@ _LEVELS = (
 )
 
 
-def stretches(text: str, limit: int) -> list[int]:
-    """Starts of the maximal stretches of more than ``limit`` characters without a break."""
-    return [m.start() for m in re.finditer(rf"[^{re.escape(BREAKS)}]{{{limit + 1},}}", text)]
-
-
 def _sections(text: str, a: int, b: int) -> list[tuple[int, int, int]]:
     """(start, end, depth) of the parts of [a, b) that begin at headings; depth 0 before the first."""
     marks = [(m.start(), len(m[1])) for m in _HEADING.finditer(text, a, b)]
@@ -72,28 +67,29 @@ def _hard(text: str, a: int, b: int, limit: int) -> list[tuple[int, int]]:
     return [*out, (a, b)]
 
 
-def _open(text: str, a: int, b: int, limit: int, level: int) -> list[tuple[int, int]]:
-    """Pieces of [a, b), each within the limit."""
+def _open(text: str, a: int, b: int, limit: int, level: int, leaves: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Pieces of [a, b), each within the limit; ``leaves`` receives the leaves that had to be cut by length."""
     if b - a <= limit:
         return [(a, b)]
     if level == len(_LEVELS):
+        leaves.append((a, b))
         return _hard(text, a, b, limit)
     ends = [m.end() for m in _LEVELS[level].finditer(text, a, b) if m.end() < b]
     if not ends:
-        return _open(text, a, b, limit, level + 1)
+        return _open(text, a, b, limit, level + 1, leaves)
     marks = [a, *ends, b]
     parts: list[tuple[int, int]] = []
     for s, e in zip(marks, marks[1:]):
-        parts += _open(text, s, e, limit, level + 1)
+        parts += _open(text, s, e, limit, level + 1, leaves)
     return _merge(parts, limit)
 
 
-def _tree(text: str, parts: list[tuple[int, int, int]], limit: int) -> list[tuple[int, int]]:
+def _tree(text: str, parts: list[tuple[int, int, int]], limit: int, leaves: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Sections with their subsections as subtrees."""
     if parts[-1][1] - parts[0][0] <= limit:
         return [(parts[0][0], parts[-1][1])]
     if len(parts) == 1:
-        return _open(text, parts[0][0], parts[0][1], limit, 0)
+        return _open(text, parts[0][0], parts[0][1], limit, 0, leaves)
     top = min(d for _, _, d in parts[1:])
     groups: list[list[tuple[int, int, int]]] = []
     for i, p in enumerate(parts):
@@ -106,16 +102,27 @@ def _tree(text: str, parts: list[tuple[int, int, int]], limit: int) -> list[tupl
         groups = [head, rest]
     out: list[tuple[int, int]] = []
     for g in groups:
-        out += _tree(text, g, limit)
+        out += _tree(text, g, limit, leaves)
     return _merge(out, limit)
 
 
 def split_item(text: str | None, limit: int, overlap: int) -> list[tuple[int, int]]:
     """[start, end) of each piece; they cover the text, are no longer than the limit, and overlap as wanted."""
+    return split_with_leaves(text, limit, overlap)[0]
+
+
+def split_with_leaves(text: str | None, limit: int, overlap: int) -> tuple[list[tuple[int, int]], list[int]]:
+    """(pieces, starts of the unbreakable stretches over the limit): the stretches are what the tree had to cut by length."""
     if not text or len(text) <= limit:
-        return []
+        return [], []
     overlap = max(0, min(overlap, limit // 2))
-    cores = _tree(text, _sections(text, 0, len(text)), limit - overlap)
+    leaves: list[tuple[int, int]] = []
+    cores = _tree(text, _sections(text, 0, len(text)), limit - overlap, leaves)
+    hard = []
+    for a, b in leaves:  # a leaf ends with the break after it, and may begin with one at the start of a text
+        body = text[a:b].rstrip(BREAKS)
+        if len(body.lstrip(BREAKS)) > limit:
+            hard.append(a + len(body) - len(body.lstrip(BREAKS)))
     out = [cores[0]]
     starts = None
     for a, b in cores[1:]:
@@ -127,7 +134,7 @@ def split_item(text: str | None, limit: int, overlap: int) -> list[tuple[int, in
             if i < len(starts) and starts[i] < a:
                 want = starts[i]
         out.append((want, b))
-    return out
+    return out, sorted(hard)
 
 
 def with_limits(chunks: DataFrame, limits: DataFrame, source_col: str = "source_name") -> DataFrame:
@@ -158,8 +165,7 @@ def split_oversized(chunks: DataFrame, limits: DataFrame) -> DataFrame:
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
-                pieces = split_item(r.text, int(r.max_chars), int(r.overlap_chars))
-                hard = stretches(r.text, int(r.max_chars))
+                pieces, hard = split_with_leaves(r.text, int(r.max_chars), int(r.overlap_chars))
                 ends = [0, *(b for _, b in pieces)]
                 start = None if pd.isna(r.start_char) else int(r.start_char)
                 for i, (a, b) in enumerate(pieces):

@@ -1,6 +1,7 @@
 """Each operator against brute force, a round trip or hand-made cases."""
 
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -269,7 +270,14 @@ def test_pieces_find_their_place_in_the_document(spark):
 
 
 def test_hard_stretches():
-    assert splitting.stretches("ab " + "x" * 11 + "." + "y" * 12, 10) == [3, 15]
+    text = "ab " + "x" * 11 + "." + "y" * 12
+    assert splitting.split_with_leaves(text, 10, 3)[1] == [3, 15]
+    rng = random.Random(5)
+    for _ in range(400):  # the leaves the tree had to cut are the stretches of the definition, whatever stands around them
+        limit = rng.randint(4, 12)
+        text = "".join(rng.choice(["x", "é", "字"]) * rng.choice([1, 2, 5, 14, 30]) + rng.choice([" ", "", "\n", ". ", "!", "。", "\n\n# h\n", "\r", "\t", ";", '." ', "\u00a0"]) for _ in range(rng.randint(1, 9)))
+        want = [m.start() for m in re.finditer(rf"[^{re.escape(splitting.BREAKS)}]{{{limit + 1},}}", text)] if len(text) > limit else []
+        assert splitting.split_with_leaves(text, limit, rng.randint(0, 5))[1] == want, text
 
 
 # -- 8 --------------------------------------------------------------------------------------------------------------------
