@@ -1,16 +1,14 @@
 """Problem 2: the k most similar vectors of every vector.
 
-Method: multiprobe p-stable hashing. A table hashes a vector by ``width`` functions floor((a.x + b) / w); a query visits its own
-bucket and the perturbed buckets in the order of their estimated success (the classic expected-score sequence over the functions
-nearest to a boundary); candidates of all tables are merged and reranked by exact distance.
+Method: multiprobe p-stable hashing. The tables are trees of p-stable functions (``forest``); a vector is at home in one bucket of each
+table and visits further ones in the order of their estimated success; the candidates of all tables are merged and reranked by exact
+distance. Buckets hold a few thousand rows at most by construction, also where a third of all rows lie in one dense heap, so a bucket is
+compared as one bounded matrix and no bucket is left out.
 
-``near_pairs`` joins a whole collection with itself: bucket entries travel as sorted arrays, about ``tables * (1 + probes)`` short
-entries a vector, never the vectors; candidates pass a 128-bit sketch before the few left meet their vectors. A bucket with more than
-``HOT`` members is never paired off: its members, and those that probe it, are hashed again by more functions in more tables; heaps
-still as crowded after that keep their nearest. Equal vectors (up to 4 decimals) are one class; only its lowest ``k + 1`` ids can be among anyone's k nearest.
-
-``query_neighbours`` takes a stated query set against all rows, in blocks of bounded size; probes and queries are broadcast, rows
-stay where they are and only each partition's best k travel.
+``near_pairs`` joins a whole collection with itself: a row travels once for each bucket it visits, as 16-bit steps, and meets the rows at
+home there. Inside a bucket each row keeps its k best of at least the cosine asked for; a pair of two mutual neighbours is among them
+wherever both meet, so nothing is lost by it. Equal vectors (up to 4 decimals) are one class; only its lowest ``k + 1`` ids can be among
+anyone's k nearest. ``query_neighbours`` sends a stated query set to the buckets it visits; rows stay at home.
 
 Defined results: unusable vectors (null, of another length, all zero, not finite) take no part; copies of an id count once; ties go
 to the lower id.
@@ -18,9 +16,7 @@ to the lower id.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -29,16 +25,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..operators.vectors import BestK
 from ..session import materialise
+from . import forest as fo
+from .forest import DIM
 
-DIM = 64
-HOT = 256
-#: Entries a matching partition should hold.
-PART_ENTRIES = 500_000
-#: Sketch bits that may differ; at cosine 0.92 about 16 of 128 do.
-SKETCH_APART = 34
-QUERY_BLOCK = 4096
+#: Rows at home in a bucket of ``near_pairs`` and of ``query_neighbours``, tables of each.
+LEAF, TABLES = 4000, 2
+QUERY_LEAF, QUERY_TABLES = 256, 4
+#: Wanted chance to bring a pair of the least cosine asked for together; the same for the k nearest of a query.
+RECALL, QUERY_RECALL = 0.96, 0.94
+#: What the 16-bit steps may take from a cosine; the exact one decides later.
+ROUNDING = 1e-3
+#: Rows whose similarities to a bucket are held at a time.
+ROWS = 1024
 
 
 def to_matrix(column: pa.Array, dim: int = DIM) -> tuple[np.ndarray, np.ndarray]:
@@ -54,17 +53,11 @@ def to_matrix(column: pa.Array, dim: int = DIM) -> tuple[np.ndarray, np.ndarray]
     return np.flatnonzero(ok)[good], x[good]
 
 
-@lru_cache(maxsize=4)
-def _sketch_planes(dim: int) -> np.ndarray:
-    return np.random.default_rng(11).normal(size=(dim, 128))
-
-
 def unit_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, unit array<float>, cls bigint, s1, s2, *keep) of usable vectors; cls is equal for equal directions."""
+    """(id, unit array<float>, cls bigint, *keep) of usable vectors; cls is equal for equal directions."""
     fields = "".join(f", {k} {df.schema[k].dataType.simpleString()}" for k in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes = _sketch_planes(DIM)
         weights = (np.random.default_rng(13).integers(1, 2**62, DIM, dtype=np.int64) | 1).astype(np.int64)
         for b in batches:
             at, x = to_matrix(b.column(1))
@@ -72,274 +65,89 @@ def unit_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
             x = x / np.abs(x).max(1, keepdims=True) if len(x) else x
             x /= np.linalg.norm(x, axis=1, keepdims=True) if len(x) else 1
             cls = (np.rint(x * 1e4).astype(np.int64) * weights).sum(1)
-            bits = np.packbits((x @ planes) > 0, axis=1) if len(x) else np.empty((0, 16), np.uint8)
-            s = np.ascontiguousarray(bits).view(np.int64).reshape(-1, 2)
             unit = pa.ListArray.from_arrays(pa.array(np.arange(0, len(x) * DIM + 1, DIM), pa.int32()), pa.array(x.astype(np.float32).ravel()))
             take = pa.array(at)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), unit, pa.array(cls), pa.array(s[:, 0]), pa.array(s[:, 1]), *[b.column(2 + i).take(take) for i in range(len(keep))]], ["id", "unit", "cls", "s1", "s2", *keep])
-
-    return df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<float>"), *keep).mapInArrow(run, f"id bigint, unit array<float>, cls bigint, s1 bigint, s2 bigint{fields}")
-
-
-@lru_cache(maxsize=16)
-def perturbations(width: int, probes: int) -> tuple[tuple[int, ...], ...]:
-    """Sets of positions in the order of expected success. Position j < width stands for the function j-th nearest to a boundary."""
-    m = width
-    ez = [(j * (j + 1)) / (4 * (m + 1) * (m + 2)) if j <= m else 1 - (2 * m + 1 - j) / (m + 1) + ((2 * m + 1 - j) * (2 * m + 2 - j)) / (4 * (m + 1) * (m + 2)) for j in range(1, 2 * m + 1)]
-    heap, out = [(ez[0], (0,))], []
-    while heap and len(out) < probes:
-        score, a = heapq.heappop(heap)
-        if not any(2 * m - 1 - j in a for j in a):
-            out.append(a)
-        j = a[-1]
-        if j + 1 < 2 * m:
-            heapq.heappush(heap, (score - ez[j] + ez[j + 1], (*a[:-1], j + 1)))
-            heapq.heappush(heap, (score + ez[j + 1], (*a, j + 1)))
-    return tuple(out)
-
-
-class Table:
-    """One hash table: keys of own buckets and of probes."""
-
-    def __init__(self, seed: int, dim: int, width: int, w: float):
-        r = np.random.default_rng(seed)
-        self.a = r.normal(size=(dim, width)) / w
-        self.b = r.uniform(0, 1, width)
-        self.weights = r.integers(1, 2**62, width, dtype=np.int64) | 1
-        self.salt = r.integers(1, 2**62, dtype=np.int64)
-
-    def keys(self, x: np.ndarray, probes: int) -> np.ndarray:
-        """int64[n, 1 + probes]; the first is the own bucket."""
-        y = x @ self.a + self.b
-        f = np.floor(y)
-        own = (f.astype(np.int64) * self.weights).sum(1) + self.salt
-        if not probes:
-            return own[:, None]
-        f = y - f
-        sets = perturbations(f.shape[1], probes)
-        need = max(map(max, sets)) + 1
-        d = np.concatenate([f, 1 - f], 1)
-        near = np.argpartition(d, min(need, d.shape[1] - 1), axis=1)[:, :need]
-        near = np.take_along_axis(near, np.argsort(np.take_along_axis(d, near, 1), axis=1), 1)
-        step = np.concatenate([-self.weights, self.weights])[near]
-        return np.stack([own, *(own + step[:, list(s)].sum(1) for s in sets)], 1)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), unit, pa.array(cls), *[b.column(2 + i).take(take) for i in range(len(keep))]], ["id", "unit", "cls", *keep])
 
+    return df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<float>"), *keep).mapInArrow(run, f"id bigint, unit array<float>, cls bigint{fields}")
 
-def _part_of(keys: np.ndarray, parts: int) -> np.ndarray:
-    return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % parts
 
-
-def _planes(x: np.ndarray) -> bytes:
-    """uint64 values as byte planes, which shrink well where the upper bytes are alike."""
-    return x.astype(np.uint64).view(np.uint8).reshape(-1, 8).T[:6].tobytes()
-
-
-def _unplanes(raw: bytes) -> np.ndarray:
-    p = np.frombuffer(raw, np.uint8).reshape(6, -1)
-    out = np.zeros((p.shape[1], 8), np.uint8)
-    out[:, :6] = p.T
-    return out.view(np.uint64).ravel()
-
-
-def pack_entries(keys: np.ndarray, ids: np.ndarray) -> tuple[bytes, bytes, int]:
-    """Sorted keys (their upper 40 bits, as steps) and ids (above the least) in few bytes; the parts tell the rest of a key apart."""
-    k = keys.view(np.uint64) >> np.uint64(24)
-    low = int(ids.min())
-    return _planes(np.diff(k, prepend=np.uint64(0))), _planes((ids - low).view(np.uint64)), low
-
-
-def unpack_entries(keys: bytes, ids: bytes, low: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.cumsum(_unplanes(keys)).astype(np.int64), _unplanes(ids).astype(np.int64) + low
-
-
-def _matrix_of(column: pa.Array) -> np.ndarray:
+def matrix_of(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(-1, DIM).astype(np.float64)
 
 
-def _tables(seed: int, shape: dict) -> list[Table]:
-    return [Table(seed + t, DIM, shape["width"], shape["w"]) for t in range(shape["tables"])]
-
-
-def _crowded(keys: list[np.ndarray], least: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, counts) of the buckets that hold at least ``least`` rows of one batch."""
-    k, n = np.unique(np.concatenate(keys), return_counts=True)
-    return k[n >= least], n[n >= least]
-
-
-def _hot_keys(crowded: DataFrame) -> np.ndarray:
-    """Buckets that would be heavy for one task. A bucket below ``least`` rows in every batch isn't; few keys can hold so many rows each."""
-    found = crowded.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > HOT).orderBy(F.desc("n")).limit(1_000_000).select("key")
-    return np.sort(np.array([r[0] for r in found.collect()], np.int64))
-
-
-def survey(df: DataFrame, id_col: str, vec_col: str, seed: int, shape: dict) -> DataFrame:
-    """Rows with an id: (id, cls, s1, s2) of the usable vectors. Rows without: bucket counts of crowded buckets."""
-    units = unit_vectors(df, id_col, vec_col)
+def routed(units: DataFrame, forest: fo.Forest, visits: int | None = None) -> DataFrame:
+    """(leaf, home, id, code): a row for each bucket a vector visits; home tells its own bucket of each table."""
+    shared = units.sparkSession.sparkContext.broadcast(forest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = _tables(seed, shape)
-        for b in batches:
-            x = _matrix_of(b.column(1))
-            n = len(x)
-            k, c = _crowded([t.keys(x, 0)[:, 0] for t in tables]) if n else (np.empty(0, np.int64), np.empty(0, np.int64))
-            none = pa.nulls(n, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), b.column(4), none, none], ["id", "cls", "s1", "s2", "key", "n"])
-            none = pa.nulls(len(k), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(k), pa.array(c)], ["id", "cls", "s1", "s2", "key", "n"])
-
-    return units.mapInArrow(run, "id bigint, cls bigint, s1 bigint, s2 bigint, key bigint, n bigint")
-
-
-def _entries(vectors: DataFrame, parts: int, seed: int, shape: dict, hot: np.ndarray) -> DataFrame:
-    """(part, own, keys, ids, low): per batch and part one row of sorted keys with their ids. Rows without keys tell ids that meet hot buckets."""
-    shared = vectors.sparkSession.sparkContext.broadcast(hot)
-    kinds = pa.schema([("part", pa.int32()), ("own", pa.bool_()), ("keys", pa.binary()), ("ids", pa.binary()), ("low", pa.int64())])
-
+        f = shared.value
+        for b in (b.slice(s, 2048) for b in batches for s in range(0, b.num_rows, 2048)):
+            x = matrix_of(b.column(1))
+            leaf = f.route(x, visits)
+            many = leaf.shape[1] // len(f.trees)
+            row, at = np.nonzero(leaf >= 0)
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(leaf[row, at]), pa.array(at % many == 0), b.column(0).take(take), fo.pack_vectors(x).take(take)], ["leaf", "home", "id", "code"])
+
+    return units.select("id", "unit").mapInArrow(run, "leaf int, home boolean, id bigint, code binary")
+
+
+def _parts(df: DataFrame, forest: fo.Forest, rows: int) -> int:
+    """Partitions of about 50 MB, but enough of them for all cores."""
+    leaves = sum(t.leaves for t in forest.trees)
+    return max(1, min(leaves, max(4 * df.sparkSession.sparkContext.defaultParallelism, rows // 300_000)))
+
+
+def best_in_leaf(ids: np.ndarray, x: np.ndarray, home_ids: np.ndarray, home: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of home, cosine): for each row of x its k best at home of at least that cosine, itself aside; ties at the end stay."""
+    out = []
+    for s in range(0, len(x), ROWS):
+        c = x[s : s + ROWS] @ home.T
+        q, r = np.nonzero(c >= least)
+        v = c[q, r]
+        other = ids[s + q] != home_ids[r]
+        q, r, v = q[other], r[other], v[other]
+        order = np.lexsort((-v, q))
+        q, r, v = q[order], r[order], v[order]
+        first = np.searchsorted(q, q, "left")
+        kth = np.minimum(first + k - 1, np.searchsorted(q, q, "right") - 1)
+        keep = v >= v[kth] - ROUNDING if len(v) else np.zeros(0, bool)
+        out.append((s + q[keep], r[keep], v[keep]))
+    return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+
+
+def _meet(sent: DataFrame, parts: int, k: int, least: float) -> DataFrame:
+    """sent (leaf, home, asks, id, code) -> (a, b): rows that ask with the best of those at home in the bucket."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, hot, spread = _tables(seed, shape), shared.value, 0
-        step = max(256, 1_200_000 // (len(tables) * (1 + shape["probes"])))
-        for b in (b.slice(s, step) for b in batches for s in range(0, b.num_rows, step)):
-            ids = np.asarray(b.column(0))
-            x = _matrix_of(b.column(1))
-            keys = np.stack([t.keys(x, shape["probes"]) for t in tables])  # tables, n, 1 + probes
-            rows = []
-            if len(hot):
-                is_hot = hot[np.minimum(np.searchsorted(hot, keys), len(hot) - 1)] == keys
-                again = ids[is_hot.any((0, 2))]
-                if len(again):
-                    spread += 1
-                    rows.append((spread % parts, False, b"", *pack_entries(again, again)[1:]))
-            for own, k in ((True, keys[:, :, :1]), (False, keys[:, :, 1:])):
-                flat = k.ravel()
-                who = np.broadcast_to(np.repeat(ids, k.shape[2]), (len(tables), len(ids) * k.shape[2])).ravel()
-                if len(hot):
-                    cool = ~is_hot[:, :, :1].ravel() if own else ~is_hot[:, :, 1:].ravel()
-                    flat, who = flat[cool], who[cool]
-                part = _part_of(flat, parts)
-                order = np.lexsort((flat.view(np.uint64), part))
-                flat, who, part = flat[order], who[order], part[order]
-                cut = np.flatnonzero(np.diff(part)) + 1
-                for s, e in zip([0, *cut], [*cut, len(part)]):
-                    if e > s:
-                        rows.append((int(part[s]), own, *pack_entries(flat[s:e], who[s:e])))
-            yield pa.RecordBatch.from_pylist([dict(zip(kinds.names, r)) for r in rows], kinds)
-
-    return vectors.select("id", "unit").mapInArrow(run, "part int, own boolean, keys binary, ids binary, low bigint")
-
-
-def match_buckets(own_keys: np.ndarray, own_ids: np.ndarray, keys: np.ndarray, ids: np.ndarray, hot: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """(candidate pairs a < b, ids to hash again because their bucket is hot)."""
-    order = np.lexsort((own_ids, own_keys))
-    own_keys, own_ids = own_keys[order], own_ids[order]
-    bucket, size = np.unique(own_keys, return_counts=True)
-    again = np.empty(0, np.int64)
-    if hot is not None and (size > hot).any():
-        hot_keys = bucket[size > hot]
-        in_hot = np.isin(own_keys, hot_keys)
-        probe_hot = np.isin(keys, hot_keys)
-        again = np.unique(np.concatenate([own_ids[in_hot], ids[probe_hot]]))
-        own_keys, own_ids, keys, ids = own_keys[~in_hot], own_ids[~in_hot], keys[~probe_hot], ids[~probe_hot]
-    names = np.unique(np.concatenate([own_ids, ids]))
-    own_at, codes = np.searchsorted(names, own_ids), []
-    multiple = np.isin(own_keys, bucket[size > 1])
-    for k, i in ((own_keys[multiple], own_at[multiple]), (keys, np.searchsorted(names, ids))):
-        lo, hi = np.searchsorted(own_keys, k, "left"), np.searchsorted(own_keys, k, "right")
-        some = hi > lo
-        lo, n, i = lo[some], (hi - lo)[some], i[some]
-        many = np.cumsum(n)
-        cuts = np.searchsorted(many, np.arange(8_000_000, int(many[-1]), 8_000_000)) if len(n) else []
-        for s, e in zip([0, *cuts], [*cuts, len(n)]):
-            if e == s:
-                continue
-            end = np.cumsum(n[s:e])
-            at = np.arange(end[-1]) - np.repeat(end - n[s:e], n[s:e]) + np.repeat(lo[s:e], n[s:e])
-            a, b = np.repeat(i[s:e], n[s:e]), own_at[at]
-            keep = a != b
-            codes.append(np.unique(np.minimum(a, b)[keep] * len(names) + np.maximum(a, b)[keep]))
-    code = np.unique(np.concatenate(codes)) if codes else np.empty(0, np.int64)
-    out = names[np.stack([code // max(len(names), 1), code % max(len(names), 1)], 1)]
-    return out, again
-
-
-def _candidates(vectors: DataFrame, n: int, seed: int, shape: dict, hot_keys: np.ndarray, hot: int | None) -> DataFrame:
-    """(a, b): candidate pairs; (a, null): ids whose bucket is hot."""
-    parts = max(vectors.sparkSession.sparkContext.defaultParallelism, n * shape["tables"] * (1 + shape["probes"]) // PART_ENTRIES + 1)
-    entries = _entries(vectors, parts, seed, shape, hot_keys)
+        for _, t in fo.by_leaf(batches):
+            ids, first = np.unique(np.asarray(t.column("id").combine_chunks()), return_index=True)
+            home, asks = (np.asarray(t.column(c).combine_chunks()) for c in ("home", "asks"))
+            x = fo.unpack_vectors(t.column("code").combine_chunks())
+            # an id may be there as a visitor and at home: what counts is whether any of its rows is
+            every = np.asarray(t.column("id").combine_chunks())
+            at_home, asking = np.isin(ids, every[home]), np.isin(ids, every[asks])
+            x = x[first]
+            q, r, _ = best_in_leaf(ids[asking], x[asking], ids[at_home], x[at_home], k, least)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[asking][q]), pa.array(ids[at_home][r])], ["a", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        for b in batches:
-            for part, own, k, i, low in zip(*(c.to_pylist() for c in b.columns)):
-                if not k:
-                    again = _unplanes(i).astype(np.int64) + low
-                    yield pa.RecordBatch.from_arrays([pa.array(again), pa.nulls(len(again), pa.int64())], ["a", "b"])
-                    continue
-                held.setdefault(part, []).append((own, *unpack_entries(k, i, low)))
-        for part in list(held):
-            rows = held.pop(part)
-            cat = lambda own, c: np.concatenate([r[c] for r in rows if r[0] is own] or [np.empty(0, np.int64)])
-            pairs, again = match_buckets(cat(True, 1), cat(True, 2), cat(False, 1), cat(False, 2), hot)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-            if len(again):
-                yield pa.RecordBatch.from_arrays([pa.array(again), pa.nulls(len(again), pa.int64())], ["a", "b"])
-
-    return entries.repartition(parts, "part").mapInArrow(run, "a bigint, b bigint")
-
-
-#: Wanted chance to find a pair of the least cosine asked for, in each round of hashing.
-RECALL = 0.94
-
-
-@lru_cache(maxsize=64)
-def table_recall(width: int, w: float, probes: int, least: float, trials: int = 20_000) -> float:
-    """Chance that one table brings a pair of that cosine together, either row probing for the other; drawn with a fixed seed."""
-    r = np.random.default_rng(17)
-    y = r.uniform(size=(trials, width))
-    z = y + r.normal(size=y.shape) * np.sqrt(2 - 2 * least) / w
-    step = np.floor(z).astype(np.int64)
-    z -= step
-    found = ~step.any(1)
-    sets = {frozenset(s) for s in perturbations(width, probes)}
-    few = np.flatnonzero(~found & (np.abs(step).max(1) == 1))
-    for f, d in ((y, step), (z, -step)):
-        place = np.argsort(np.argsort(np.concatenate([f, 1 - f], 1)[few], 1), 1)
-        for i, row, p in zip(few, d[few], place):
-            at = np.flatnonzero(row)
-            found[i] |= frozenset(p[at + width * (row[at] > 0)].tolist()) in sets
-    return float(found.mean())
-
-
-def shape_of_width(width: int, least: float) -> dict:
-    """As many tables as find a pair of the least cosine with a chance of ``RECALL``."""
-    w, probes = 1.8, 8
-    one = max(table_recall(width, w, probes, round(least, 4)), 1e-4)
-    return {"width": width, "w": w, "tables": int(np.ceil(np.log(1 - RECALL) / np.log(1 - min(one, 0.9)))), "probes": probes}
-
-
-def table_shape(n: int, least: float = 0.92) -> dict:
-    """Functions by the number of vectors: twice the vectors, one function more, so that chance company in a bucket stays alike.
-    More functions part true pairs too, so the tables grow along, about with the fourth root of the vectors."""
-    return shape_of_width(20 + round(max(0.0, float(np.log2(max(n, 1) / 10_000)))), least)
+    return sent.repartition(parts, "leaf").sortWithinPartitions("leaf").mapInArrow(run, "a bigint, b bigint")
 
 
 #: Ids up to which a filter on vectors is broadcast (8 bytes each); beyond, the vectors are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
 
-def _exact(pairs: DataFrame, light: DataFrame, units: DataFrame, least: float) -> DataFrame:
-    """(a, b, cosine) of the pairs with at least that cosine: first by sketch, then by the vectors of those that are left."""
-    sk = light.select("id", "s1", "s2")
-    near = pairs.join(sk.withColumnsRenamed({"id": "a", "s1": "a1", "s2": "a2"}), "a").join(sk.withColumnsRenamed({"id": "b", "s1": "b1", "s2": "b2"}), "b")
-    near = near.where(F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2"))) <= SKETCH_APART).select("a", "b")
-    near = materialise(near, "sketched")
-    need = materialise(near.select(F.col("a").alias("id")).union(near.select("b")).distinct(), "needed")
+def _exact(pairs: DataFrame, units: DataFrame, least: float) -> DataFrame:
+    """(a, b, cosine) of the pairs with at least that cosine, by the vectors of the ids that are in a pair."""
+    need = materialise(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "needed")
     few = need.count() <= BROADCAST_IDS
     v = materialise(units.select("id", "unit").join(F.broadcast(need) if few else need, "id", "left_semi").dropDuplicates(["id"]), "needed-vectors")
-    both = near.join(v.withColumnsRenamed({"id": "a", "unit": "u"}), "a").join(v.withColumnsRenamed({"id": "b", "unit": "v"}), "b").select("a", "b", "u", "v")
+    both = pairs.join(v.withColumnsRenamed({"id": "a", "unit": "u"}), "a").join(v.withColumnsRenamed({"id": "b", "unit": "v"}), "b").select("a", "b", "u", "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            u, v = _matrix_of(b.column(2)), _matrix_of(b.column(3))
+            u, v = matrix_of(b.column(2)), matrix_of(b.column(3))
             c = np.einsum("ij,ij->i", u, v) / np.sqrt(np.einsum("ij,ij->i", u, u) * np.einsum("ij,ij->i", v, v))
             take = pa.array(np.flatnonzero(c >= least - 1e-9))
             yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(c).take(take)], ["a", "b", "cosine"])
@@ -347,13 +155,10 @@ def _exact(pairs: DataFrame, light: DataFrame, units: DataFrame, least: float) -
     return both.mapInArrow(run, "a bigint, b bigint, cosine double")
 
 
-def near_pairs(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", least: float = 0.92, k: int = 10, rounds: int = 4, shape: dict | None = None) -> DataFrame:
-    """(a, b, cosine), a < b: pairs of at least that cosine; of equal vectors only the k + 1 lowest ids."""
-    n = df.count()
-    given, shape = shape, shape or table_shape(n, least)
-    seen = materialise(survey(df, id_col, vec_col, 1000, shape), "survey")
-    light = seen.where("id is not null").select("id", "cls", "s1", "s2").dropDuplicates(["id"])
-    ids = light.select("id", "cls")
+def near_pairs(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", least: float = 0.92, k: int = 10) -> DataFrame:
+    """(a, b, cosine), a < b: pairs of at least that cosine, one among the k most similar of the other; of equal vectors only the k + 1 lowest ids."""
+    light = materialise(unit_vectors(df, id_col, vec_col).select("id", "cls"), "classes-of-ids")
+    ids = light.dropDuplicates(["id"])
     classes = materialise(ids.groupBy("cls").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1"), "equal-classes")
     shared = ids.join(classes, "cls").select("cls", "rep", "id")
 
@@ -365,27 +170,18 @@ def near_pairs(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
 
     few = shared.mapInPandas(lowest, "cls bigint, rep bigint, id bigint")
     few = materialise(few.withColumn("r", F.row_number().over(W.partitionBy("rep").orderBy("id"))).where(F.col("r") <= k + 1).select("rep", "id"), "equal-lowest")
-    # one vector a class: equal vectors beside the lowest id leave. Copies of one id have equal keys and meet only themselves.
+    # one vector a class: equal vectors beside the lowest id leave
     rest = materialise(shared.where("id <> rep").select("id").distinct(), "equal-others")
+    gone = rest.count()
     units = unit_vectors(df, id_col, vec_col).select("id", "unit")
-    reps = units.join(F.broadcast(rest) if rest.count() <= BROADCAST_IDS else rest, "id", "left_anti")
-    hot = _hot_keys(seen.where("id is null").select("key", "n"))
-    pairs, todo, seed = None, reps, 1000
-    for r in range(rounds):
-        found = materialise(_candidates(todo, n, seed, shape, hot, HOT if r + 1 < rounds else None), f"candidates-{r}")
-        here = found.where("b is not null")
-        pairs = here if pairs is None else pairs.unionByName(here)
-        again = materialise(found.where("b is null").select(F.col("a").alias("id")).distinct(), f"again-{r}")
-        n = again.count()
-        if not n:
-            break
-        todo = materialise(reps.join(F.broadcast(again) if n <= BROADCAST_IDS else again, "id", "left_semi").dropDuplicates(["id"]), f"dense-{r}")
-        seed, shape = seed + 100, _denser(shape, least, given is not None or r + 2 == rounds)
-        if r + 2 < rounds:
-            hot = _hot_keys(_crowded_buckets(todo, seed, shape))
-        else:
-            hot = np.empty(0, np.int64)
-    exact = materialise(_exact(pairs.distinct(), light, units, least), "near-pairs")
+    reps = units.join(F.broadcast(rest) if gone <= BROADCAST_IDS else rest, "id", "left_anti")
+    n = light.count()
+    sample = fo.sample_of(reps, n)
+    forest = fo.with_recall(fo.fit(sample, n, LEAF, TABLES, 1000), sample, least, RECALL)
+    sent = routed(reps, forest).withColumn("asks", F.lit(True))
+    pairs = _meet(sent, _parts(df, forest, n * TABLES * forest.visits), k, least - ROUNDING)
+    pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    exact = materialise(_exact(pairs, units, least), "near-pairs")
     # classes back to their lowest members
     m = few.withColumnsRenamed({"rep": "x", "id": "m"})
     wide = exact.join(m.withColumnsRenamed({"x": "a", "m": "ma"}), "a", "left").join(m.withColumnsRenamed({"x": "b", "m": "mb"}), "b", "left")
@@ -394,24 +190,6 @@ def near_pairs(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     return wide.unionByName(inner).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "cosine")
 
 
-def _denser(shape: dict, least: float, last: bool) -> dict:
-    """More functions for the rows of hot buckets, with the tables that ``least`` asks for. Heaps that are still hot before the last round
-    keep their nearest: all pairs of a heap would be its size squared, and its rows have more than ``HOT`` others nearer than chance."""
-    return shape | {"width": shape["width"] + 28, "tables": 8, "probes": 12} if last else shape_of_width(shape["width"] + 4, least)
-
-
-def _crowded_buckets(vectors: DataFrame, seed: int, shape: dict) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = _tables(seed, shape)
-        for b in batches:
-            if b.num_rows:
-                x = _matrix_of(b.column(1))
-                k, c = _crowded([t.keys(x, 0)[:, 0] for t in tables])
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c)], ["key", "n"])
-
-    return vectors.select("id", "unit").mapInArrow(run, "key bigint, n bigint")
-
-
 def mutual_pairs(pairs: DataFrame, k: int = 10) -> DataFrame:
     """(vec_a, vec_b): each among the k most similar of the other, as far as the pairs tell."""
     both = pairs.select("a", "b", "cosine").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
@@ -419,59 +197,33 @@ def mutual_pairs(pairs: DataFrame, k: int = 10) -> DataFrame:
     return top.select(F.least("a", "b").alias("vec_a"), F.greatest("a", "b").alias("vec_b")).groupBy("vec_a", "vec_b").count().where("count = 2").select("vec_a", "vec_b")
 
 
-#: For neighbours as far as 0.7 in cosine: wide buckets, many probes. Measured recall in the README.
-QUERY_SHAPE = {"width": 10, "w": 2.0, "tables": 12, "probes": 60}
+def visits_for(forest: fo.Forest, x: np.ndarray, k: int, recall: float, most: int = 64, asked: int = 400) -> int:
+    """Visits in each table that bring sample rows and their k nearest of the sample together. True neighbours are nearer still."""
+    q = x[:: max(1, len(x) // asked)]
+    if len(x) <= k + 1:
+        return 1
+    top = np.argpartition(-(q @ x.T), k, axis=1)[:, : k + 1]
+    found = np.zeros((*top.shape, most), bool)
+    for t in forest.trees:
+        home, v = t.visits(x, 1)[:, 0], t.visits(q, most)
+        found |= np.logical_or.accumulate(home[top][:, :, None] == v[:, None, :], 2)
+    share = found.mean((0, 1))
+    return int((share >= recall).argmax()) + 1 if (share >= recall).any() else most
+
 
+def query_neighbours(df: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10) -> DataFrame:
+    """(query_id, rank, id, cosine): the k most similar other vectors of every row for which ``is_query`` (a column on id) holds.
 
-def query_neighbours(df: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10, shape: dict | None = None) -> DataFrame:
-    """(query_id, rank, id, cosine): the k most similar other vectors of every row for which ``is_query`` (a column on id) holds."""
-    spark, shape = df.sparkSession, shape or QUERY_SHAPE
+    Exact distances are computed only where a query visits the bucket a row is at home in.
+    """
     unit = materialise(unit_vectors(df, id_col, vec_col).select("id", "unit").dropDuplicates(["id"]), "units")
-    queries = unit.where(is_query(F.col("id")))
-    total = queries.count()
-    blocks = max(1, -(-total // QUERY_BLOCK))
-    parts = []
-    for block in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).select("id", "unit").toArrow()
-        if not rows.num_rows:
-            continue
-        q_ids = np.asarray(rows.column(0).combine_chunks())
-        q = np.asarray(rows.column(1).combine_chunks().flatten()).reshape(-1, DIM).astype(np.float32)
-        shared = spark.sparkContext.broadcast((q_ids, q))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            q_ids, q = shared.value
-            hashes = [Table(5000 + t, DIM, shape["width"], shape["w"]) for t in range(shape["tables"])]
-            probe = [h.keys(q.astype(np.float64), shape["probes"]) for h in hashes]
-            sorted_ = []
-            for p in probe:
-                flat, who = p.ravel(), np.repeat(np.arange(len(q)), p.shape[1])
-                o = np.argsort(flat, kind="stable")
-                sorted_.append((flat[o], who[o]))
-            best = BestK(len(q), k)
-            for b in batches:
-                all_ids = np.asarray(b.column(0))
-                all_x = np.asarray(b.column(1).flatten()).reshape(-1, DIM)
-                for s in range(0, len(all_ids), 1024):
-                    ids, x = all_ids[s : s + 1024], all_x[s : s + 1024]
-                    mask = np.zeros((len(q), len(ids)), bool)
-                    for h, (flat, who) in zip(hashes, sorted_):
-                        own = h.keys(x.astype(np.float64), 0)[:, 0]
-                        lo, hi = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
-                        n = hi - lo
-                        end = np.cumsum(n)
-                        if end[-1]:
-                            mask[who[np.arange(end[-1]) - np.repeat(end - n, n) + np.repeat(lo, n)], np.repeat(np.arange(len(ids)), n)] = True
-                    mask &= q_ids[:, None] != ids[None, :]
-                    best.add(np.where(mask, q @ x.T, np.float32(-np.inf)), ids)
-            hits = best.batch(q_ids)
-            yield pa.RecordBatch.from_arrays([hits.column(0), hits.column(1), hits.column(2)], ["query_id", "id", "cosine"])
-
-        parts.append(unit.select("id", "unit").mapInArrow(run, "query_id bigint, id bigint, cosine double"))
-    if not parts:
-        return spark.createDataFrame([], "query_id bigint, rank int, id bigint, cosine double")
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    ranked = every.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("cosine"), "id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "id", "cosine")
+    n = unit.count()
+    sample = fo.sample_of(unit, n)
+    forest = fo.fit(sample, n, QUERY_LEAF, QUERY_TABLES, 5000)
+    visits = visits_for(forest, sample, k, QUERY_RECALL)
+    rows = routed(unit, forest, 1).withColumn("asks", F.lit(False))
+    asked = routed(unit.where(is_query(F.col("id"))), forest, visits).withColumn("home", F.lit(False)).withColumn("asks", F.lit(True))
+    pairs = materialise(_meet(rows.unionByName(asked), _parts(df, forest, n * QUERY_TABLES), k, -1.1).distinct(), "query-candidates")
+    exact = _exact(pairs, unit, -1.1)
+    ranked = exact.withColumn("rank", F.row_number().over(W.partitionBy("a").orderBy(F.desc("cosine"), "b")))
+    return ranked.where(F.col("rank") <= k).select(F.col("a").alias("query_id"), "rank", F.col("b").alias("id"), "cosine")

@@ -83,7 +83,7 @@ def p5_points(spark: SparkSession, d: str) -> DataFrame:
     from .grouping import group_ids, group_vectors
 
     g = group_vectors(table(spark, d, "vectors"))
-    return g.join(F.broadcast(group_ids(g)), "grp", "left").select(F.col("id").alias("vec_id"), "grp", "cluster_id", "closeness")
+    return g.join(group_ids(g), "grp", "left").select(F.col("id").alias("vec_id"), "grp", "cluster_id", "closeness")
 
 
 def p5_clusters(spark: SparkSession, d: str) -> DataFrame:

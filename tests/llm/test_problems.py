@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexiloom.llm import distinctive, encoding, grouping, languages, neighbours, packing, quality, scans, splitting, turns
+from lexiloom.llm import distinctive, encoding, forest, grouping, languages, neighbours, packing, quality, scans, splitting, turns
 
 # -- 1 --------------------------------------------------------------------------------------------------------------------
 
@@ -74,10 +74,11 @@ def test_near_pairs_reach_brute_force(spark):
     assert {(0, 900), (900, 901), (903, 904)} <= got
 
 
-def test_hot_buckets_are_hashed_again(spark):
+def test_a_dense_heap_finds_its_nearest(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "LEAF", 100)
     rng = np.random.default_rng(4)
     base = rng.normal(size=64)
-    x = base + rng.normal(size=(1200, 64)) * 0.02  # one dense heap: every bucket is hot
+    x = base + rng.normal(size=(1200, 64)) * 0.02  # one dense heap over many buckets
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     got, _ = _pairs(spark, x)
     best = Counter()
@@ -102,19 +103,28 @@ def test_pairs_near_the_least_cosine_are_found_at_every_size(spark, n):
     assert sum((i, n - 1 - i) in rows for i in range(600)) >= 0.9 * 600
 
 
-@pytest.mark.parametrize("width", [20, 24, 28, 32])
-def test_tables_keep_the_recall_of_the_least_cosine_at_every_width(width):
-    shape = neighbours.shape_of_width(width, 0.92)
-    a = np.random.default_rng(1).normal(size=(400, 64))
-    a /= np.linalg.norm(a, axis=1, keepdims=True)
-    b = np.random.default_rng(2).normal(size=a.shape)
-    b -= (a * b).sum(1, keepdims=True) * a
-    b = 0.92 * a + np.sqrt(1 - 0.92**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
-    found = np.zeros(len(a), bool)
-    for t in neighbours._tables(77, shape):
-        ka, kb = t.keys(a, shape["probes"]), t.keys(b, shape["probes"])
-        found |= (ka == kb[:, :1]).any(1) | (kb == ka[:, :1]).any(1)
-    assert found.mean() >= 0.9
+@pytest.mark.parametrize("n", [5_000, 200_000, 20_000_000])
+def test_visits_keep_the_recall_of_the_least_cosine_at_every_size(n):
+    x = np.random.default_rng(1).normal(size=(20_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    f = forest.with_recall(forest.fit(x, n, neighbours.LEAF, neighbours.TABLES, 3), x, 0.92, neighbours.RECALL)
+    other = np.random.default_rng(2).normal(size=(1500, 64))
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    assert forest.recall_of(f, other, forest.moved(other, 0.92, 9), f.visits, False)[-1] >= 0.9
+
+
+def test_visits_begin_at_home_and_go_in_the_order_of_their_cost():
+    x = np.random.default_rng(1).normal(size=(3000, 64))
+    t = forest.Tree.fit(x, 6, 2)
+    all_, few = t.visits(x[:50], t.leaves), t.visits(x[:50], 5)
+    assert (np.sort(all_, 1) == np.arange(t.leaves)).all() and (few == all_[:, :5]).all() and (t.visits(x[:50], 1)[:, 0] == all_[:, 0]).all()
+
+
+def test_ids_far_apart_stay_whole(spark):
+    x = np.random.default_rng(1).normal(size=(1, 64)) + np.random.default_rng(2).normal(size=(3, 64)) * 0.01
+    ids = [5, 2**50 + 7, 2**62 + 9]
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in zip(ids, x)], "vec_id bigint, embedding array<float>")
+    assert {(r.a, r.b) for r in neighbours.near_pairs(df).collect()} == {(5, ids[1]), (5, ids[2]), (ids[1], ids[2])}
 
 
 def test_equal_vectors_pair_up_only_among_the_lowest_ids(spark):
@@ -124,11 +134,10 @@ def test_equal_vectors_pair_up_only_among_the_lowest_ids(spark):
     assert {(r.vec_a, r.vec_b) for r in found} == {(a, b) for b in range(11) for a in range(b)}
 
 
-def test_bucket_entries_survive_the_round_trip():
-    rng = np.random.default_rng(5)
-    keys, ids = np.sort(rng.integers(-(2**62), 2**62, 5000).view(np.uint64)).view(np.int64), rng.integers(-5, 10**12, 5000)
-    k, i = neighbours.unpack_entries(*neighbours.pack_entries(keys, ids))
-    assert (i == ids).all() and (np.diff(k) >= 0).all() and (k == (keys.view(np.uint64) >> np.uint64(24)).astype(np.int64)).all()
+def test_vectors_survive_packing():
+    x = np.random.default_rng(5).normal(size=(50, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert np.abs(forest.unpack_vectors(forest.pack_vectors(x).slice(3, 40)) - x[3:43]).max() < 1e-4
 
 
 def test_query_neighbours_recall(spark):
