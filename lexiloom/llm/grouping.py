@@ -41,8 +41,8 @@ LOCAL_EDGES = 300_000
 NEAR = 0.6
 #: Logarithm of the odds against chance that a cluster must pass.
 ODDS = 7.0
-#: Centres a block of rows is compared with at a time.
-CENTRES = 2048
+#: Centres a block of rows is compared with at a time; centres and ids up to which they are broadcast (about 300 and 8 bytes each).
+CENTRES, BROADCAST_CENTRES, BROADCAST_IDS = 2048, 50_000, 1_000_000
 
 
 def attractors(to: np.ndarray) -> np.ndarray:
@@ -77,8 +77,8 @@ _LEVEL = "child bigint, parent bigint, weight double, unit array<float>"
 
 def _flow_in_blocks(ids: np.ndarray, w: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
     """Rows of a bucket -> their parents; a parent's own row has the weight and the direction of its children."""
-    order = np.argsort(ids, kind="stable")
-    ids, w, x = ids[order], w[order], x[order]
+    ids, order = np.unique(ids, return_index=True)  # copies of an id lie in one bucket
+    w, x = w[order], x[order]
     blocks = fo.Tree.fit(x, max(0, int(np.ceil(np.log2(len(x) / BLOCK)))), 17).visits(x, 1)[:, 0]
     to = np.zeros(len(x), np.int64)
     for b in np.unique(blocks):
@@ -241,8 +241,8 @@ def markov_clusters(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return edges.coalesce(1).mapInArrow(run, "node bigint, cluster bigint")
 
 
-def flow_chains(rows: DataFrame, n: int, round_: int) -> tuple[DataFrame, DataFrame]:
-    """((id, cluster) of every row that is not alone, (id, inflow) of the rows that were attractors)."""
+def flow_chains(rows: DataFrame, n: int, round_: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """((id, cluster) of every row that is not alone, (cluster, centre) by the nodes of the last graph, (id, inflow) of the attractors)."""
     nodes, maps, inflow, level = rows.select("id", F.lit(1.0).alias("weight"), "unit"), [], None, 0
     while True:
         out = _level(nodes, n, 100 * round_ + level, f"level-{round_}-{level}")
@@ -251,15 +251,17 @@ def flow_chains(rows: DataFrame, n: int, round_: int) -> tuple[DataFrame, DataFr
         heavy = nodes.where("weight > 1").select("id", "weight")
         inflow = heavy if inflow is None else inflow.unionByName(heavy)
         before, n, level = n, nodes.count(), level + 1
-        if n > 0.9 * before:
+        if n > 0.7 * before:
             break
     top = materialise(markov_clusters(similarity_edges(nodes, n, 100 * round_ + 50)), f"top-{round_}")
-    cluster = nodes.join(top.withColumnRenamed("node", "id"), "id", "left").select("id", "weight", F.coalesce("cluster", "id").alias("cluster"))
+    cluster = materialise(nodes.join(top.withColumnRenamed("node", "id"), "id", "left").select("id", "weight", F.coalesce("cluster", "id").alias("cluster"), "unit"), f"ends-{round_}")
     sizes = cluster.groupBy("cluster").agg(F.sum("weight").alias("size")).where("size > 1.5")
-    chain = cluster.join(sizes, "cluster", "left_semi").select(F.col("id").alias("parent"), "cluster")
+    several = materialise(cluster.join(sizes, "cluster", "left_semi"), f"several-{round_}")
+    chain = several.select(F.col("id").alias("parent"), "cluster")
     for m in reversed(maps):  # at most BLOCK children a parent, so no key is hot
         chain = m.join(chain, "parent").select(F.col("child").alias("parent"), "cluster")
-    return materialise(chain.withColumnRenamed("parent", "id"), f"chains-{round_}"), inflow.groupBy("id").agg(F.max("weight").cast("bigint").alias("inflow"))
+    chain = materialise(chain.withColumnRenamed("parent", "id"), f"chains-{round_}")
+    return chain, materialise(_centres(several), f"centres-{round_}"), inflow.groupBy("id").agg(F.max("weight").cast("bigint").alias("inflow"))
 
 
 def beyond_chance(size: Column, closeness: Column, n: int) -> Column:
@@ -273,7 +275,7 @@ def beyond_chance(size: Column, closeness: Column, n: int) -> Column:
 
 def _closeness(member: DataFrame, centres: DataFrame) -> DataFrame:
     """(id, cluster, closeness) of rows (id, unit, cluster) to their own cluster's centre."""
-    both = member.join(F.broadcast(centres) if centres.count() <= CENTRES else centres, "cluster").select("id", "cluster", "unit", "centre")
+    both = member.join(F.broadcast(centres) if centres.count() <= BROADCAST_CENTRES else centres, "cluster").select("id", "cluster", "unit", "centre")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -282,16 +284,16 @@ def _closeness(member: DataFrame, centres: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "id bigint, cluster bigint, closeness double")
 
 
-def _centres(member: DataFrame) -> DataFrame:
-    """(cluster, centre): directions of the sums, added up per batch before anything is shuffled."""
+def _centres(nodes: DataFrame) -> DataFrame:
+    """(cluster, centre): directions of the weighted sums of the nodes' directions, added up per batch before anything is shuffled."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             c, at = np.unique(np.asarray(b.column(0)), return_inverse=True)
             sums = np.zeros((len(c), DIM))
-            np.add.at(sums, at, matrix_of(b.column(1)))
+            np.add.at(sums, at, matrix_of(b.column(1)) * np.asarray(b.column(2))[:, None])
             yield pa.RecordBatch.from_arrays([pa.array(c), pa.ListArray.from_arrays(pa.array(np.arange(0, len(c) * DIM + 1, DIM), pa.int32()), pa.array(sums.ravel()))], ["cluster", "s"])
 
-    sums = member.select("cluster", "unit").mapInArrow(run, "cluster bigint, s array<double>").groupBy("cluster").agg(*[F.sum(F.col("s")[k]).alias(f"c{k}") for k in range(DIM)])
+    sums = nodes.select("cluster", "unit", "weight").mapInArrow(run, "cluster bigint, s array<double>").groupBy("cluster").agg(*[F.sum(F.col("s")[k]).alias(f"c{k}") for k in range(DIM)])
     norm = F.sqrt(sum((F.col(f"c{k}") * F.col(f"c{k}") for k in range(1, DIM)), F.col("c0") * F.col("c0")))
     return sums.select("cluster", F.array(*[(F.col(f"c{k}") / F.greatest(norm, F.lit(1e-12))).cast("float") for k in range(DIM)]).alias("centre"))
 
@@ -319,37 +321,42 @@ def _nearest(rows: DataFrame, real: DataFrame, n: int) -> DataFrame:
     return found
 
 
+def _rows_of(rows: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """Rows of the ids given; vectors are shuffled only where the ids are too many to be broadcast."""
+    ids = materialise(ids, f"{name}-ids")
+    return materialise(rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi"), name)
+
+
 def group_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", stored_col: str = "cluster_id") -> DataFrame:
     """(id, stored, grp, closeness, inflow): the group of every usable vector (null for none), its similarity to the group's centre and the
     number of rows whose flow passes it. ``grp`` is the id of the group's attractor."""
-    vectors = materialise(unit_vectors(df.withColumn(stored_col, F.col(stored_col).cast("int")), id_col, vec_col, keep=(stored_col,)).select("id", "unit", F.col(stored_col).alias("stored")).dropDuplicates(["id"]), "vectors")
-    every = n = vectors.count()
-    left, placed, flows, round_ = vectors.select("id", "unit"), None, None, 0
+    vectors = materialise(unit_vectors(df.withColumn(stored_col, F.col(stored_col).cast("int")), id_col, vec_col, keep=(stored_col,)).select("id", "unit", F.col(stored_col).alias("stored")), "vectors")
+    ids = materialise(vectors.select("id", "stored").dropDuplicates(["id"]), "ids")
+    every = n = ids.count()
+    left, left_ids, placed, flows, round_ = vectors.select("id", "unit"), ids.select("id"), None, None, 0
     while n > 1:
-        chains, inflow = flow_chains(left, n, round_)
-        member = left.join(chains, "id")
-        near = materialise(_closeness(member, materialise(_centres(member), f"centres-{round_}")), f"near-{round_}")
+        chains, centres, inflow = flow_chains(left, n, round_)
+        near = materialise(_closeness(left.join(chains, "id"), centres).dropDuplicates(["id"]), f"near-{round_}")
         least = near.groupBy("cluster").agg((NEAR * F.percentile_approx("closeness", 0.5, 1000)).alias("least"))
         kept = near.join(least, "cluster").where((F.col("closeness") >= F.col("least")) | (F.col("id") == F.col("cluster")))
         sized = kept.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.avg("closeness").alias("mean"), F.first("least").alias("least"))
-        real = materialise(sized.where(beyond_chance(F.col("size"), F.col("mean"), every)).select("cluster", "least"), f"real-{round_}")
+        real = materialise(sized.where(beyond_chance(F.col("size"), F.col("mean"), every)).select("cluster", "least").join(centres, "cluster"), f"real-{round_}")
         groups = real.count()
         if not groups:
             break
-        inside = left.join(kept.join(real.select("cluster"), "cluster", "left_semi").select("id", "cluster"), "id")
-        centre = materialise(_centres(inside).join(real, "cluster"), f"centres-{round_}-kept")
-        own = materialise(_closeness(inside.select("id", "cluster", "unit"), centre.select("cluster", "centre")), f"own-{round_}")
-        rest = left.join(own.select("id"), "id", "left_anti")
-        late = _nearest(rest, centre, groups).where(F.col("closeness") >= F.col("least")).drop("least")
+        own = materialise(kept.join(real.select("cluster"), "cluster", "left_semi").select("id", "cluster", "closeness"), f"own-{round_}")
+        rest = _rows_of(left, left_ids.join(own.select("id"), "id", "left_anti"), f"rest-{round_}")
+        late = _nearest(rest, real, groups).where(F.col("closeness") >= F.col("least")).drop("least").dropDuplicates(["id"])
         new = materialise(own.unionByName(late), f"placed-{round_}")
         placed = new if placed is None else placed.unionByName(new)
         flows = inflow if flows is None else flows.unionByName(inflow)
-        left = materialise(left.join(new.select("id"), "id", "left_anti"), f"left-{round_}")
-        n, round_ = left.count(), round_ + 1
+        left_ids = materialise(left_ids.join(new.select("id"), "id", "left_anti"), f"left-{round_}")
+        n, round_ = left_ids.count(), round_ + 1
+        left = _rows_of(rest, left_ids, f"again-{round_}")
     if placed is None:
-        return vectors.select("id", "stored", F.lit(None).cast("bigint").alias("grp"), F.lit(None).cast("double").alias("closeness"), F.lit(1).cast("bigint").alias("inflow"))
+        return ids.select("id", "stored", F.lit(None).cast("bigint").alias("grp"), F.lit(None).cast("double").alias("closeness"), F.lit(1).cast("bigint").alias("inflow"))
     flows = flows.groupBy("id").agg(F.max("inflow").alias("inflow"))
-    out = vectors.select("id", "stored").join(placed.withColumnRenamed("cluster", "grp"), "id", "left").join(flows, "id", "left")
+    out = ids.join(placed.withColumnRenamed("cluster", "grp"), "id", "left").join(flows, "id", "left")
     return materialise(out.select("id", "stored", "grp", "closeness", F.coalesce("inflow", F.lit(1)).alias("inflow")), "groups")
 
 

@@ -2,13 +2,13 @@
 
 Method: Bayesian evidence fusion. For each record the logarithms of four kinds of evidence add up:
   text      likelihood of its letters: the script, and within the Latin script a naive Bayes model of letter trigrams;
-  label     the declared language, in whatever notation, with the error rate the corpus itself shows;
-  suffix    the region that a declared tag carries as an address suffix does (``pt-BR``), with a weaker rate;
+  label     the declared language, in whatever notation, trusted as often as labels agree with firm texts over all records;
+  suffix    the region that a declared tag carries as an address suffix does (``pt-BR``), trusted likewise by its own share;
   host      a prior of the recording or session it belongs to, smoothed towards its table's and that towards an even one,
             computed by grouped aggregation of the text posteriors.
 Texts are first cut into sentences and, where the script changes for long, into runs; a part gets a language of its own only
-by its text. The trigram model is fitted on a bounded sample (``SAMPLE`` rows, the lowest hashes) of records whose declared
-label names a language; everything else covers all rows.
+by its text. The trigram model is fitted on a bounded sample (about ``SAMPLE`` rows, the lowest hashes) of the records whose declared
+label names a language, by their whole texts; everything else covers all rows. Letters are counted by array arithmetic over a batch.
 
 Defined results: null, empty and wordless texts get no language (null, confidence 0) and are never cases; copies of an id count
 once; a null host stands alone under its table's prior; a quoted phrase inside other text is not a part.
@@ -22,6 +22,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +35,8 @@ LATIN = CODES[:5]
 SAMPLE = 20_000
 #: Weight of the parent in the smoothing of host priors, in records.
 SMOOTHING = 4.0
-LABEL_TRUST, SUFFIX_TRUST = 0.9, 0.6
+#: Trust in labels and suffixes before any record is seen, weighing as much as ``TRUST_WEIGHT`` records; a text is firm from this posterior on.
+LABEL_TRUST, SUFFIX_TRUST, TRUST_WEIGHT, FIRM = 0.9, 0.6, 10.0, 0.99
 
 # Notations of the nine languages, and frequent words that seed the model.
 NAMES = {
@@ -82,45 +85,93 @@ def trigrams(text: str) -> list[str]:
 
 
 class TextModel:
-    """Log likelihood of a text under each language, up to a constant."""
+    """Log likelihoods of texts under each language, up to a constant, a whole batch of texts at a time."""
 
-    def __init__(self, index: dict[str, int], logp: np.ndarray):
-        self.index, self.logp = index, logp  # row 0 stands for what was never seen
+    def __init__(self, counts: dict[str, Counter]):
+        vocabulary = sorted(set().union(*counts.values()))
+        totals = np.array([sum(counts[c].values()) for c in LATIN], float)
+        seen = np.array([[0.0] * len(LATIN), *([counts[c][g] for c in LATIN] for g in vocabulary)])
+        #: Row 0 stands for what was never seen; rows are in the order of the sorted vocabulary.
+        self.logp = 0.5 * np.log((seen + 0.3) / (totals + 0.3 * (len(vocabulary) + 1)))  # half: neighbouring trigrams share letters
+        letters = sorted(set("".join(g[g[0] == "=" :] for g in vocabulary)) - {" "})
+        self.k = len(letters) + 2  # 0 another letter, 1 no letter
+        self.letter = np.zeros(0x250, np.int64)
+        self.letter[[ord(c) for c in letters if ord(c) < 0x250]] = [i for i, c in enumerate(letters, 2) if ord(c) < 0x250]
+        self.table = np.zeros(self.k**3, np.int32)
+        code = {c: i for i, c in enumerate(letters, 2)} | {" ": 1}
+        words = []
+        for row, g in enumerate(vocabulary, 1):
+            if g[0] == "=":
+                n = 0
+                for c in g[1:]:
+                    n = n * self.k + code[c]
+                words.append((n, row))
+            else:
+                self.table[(code[g[0]] * self.k + code[g[1]]) * self.k + code[g[2]]] = row
+        words.sort()
+        self.words, self.word_rows = np.array([w for w, _ in words], np.int64), np.array([r for _, r in words], np.int64)
 
     @classmethod
-    def fit(cls, rows: list[tuple[str, str]]) -> TextModel:
+    def fit(cls, counted: list[tuple[str, str, int]] = ()) -> TextModel:
+        """From (code, feature, times) beside the seed words."""
         counts = {c: Counter() for c in LATIN}
         for c, words in SEED.items():
             for w in words.split():
                 counts[c].update(trigrams(w) * 20)
-        for text, code in rows:
-            if code in counts and not _HAN.search(text) and not _KANA.search(text) and not _CYRILLIC.search(text) and not _DEVANAGARI.search(text):
-                counts[code].update(trigrams(text))
-        vocabulary = set().union(*counts.values())
-        totals = np.array([sum(counts[c].values()) for c in LATIN], float)
-        size = len(vocabulary) + 1
-        order = sorted(vocabulary)
-        seen = np.array([[0.0] * len(LATIN), *([counts[c][g] for c in LATIN] for g in order)])
-        return cls({g: i for i, g in enumerate(order, 1)}, np.log((seen + 0.3) / (totals + 0.3 * size)))
+        for code, g, n in counted:
+            counts[code][g] += n
+        return cls(counts)
 
     def loglik(self, text: str) -> np.ndarray:
-        """float[9]; letters of a script weigh heavily, a Latin name or two inside another script hardly."""
-        out = np.zeros(9)
-        kana, han, cyr, dev = (0, 0, 0, 0) if text.isascii() else (len(p.findall(text)) for p in (_KANA, _HAN, _CYRILLIC, _DEVANAGARI))
-        latin = _LATIN_WORD.findall(text)
-        other = kana + han + cyr + dev
-        if other:
-            out[5] += 2.0 * cyr
-            out[8] += 2.0 * dev
-            if han + kana:
-                out[6] += 2.0 * han - 2.5 * kana
-                out[7] += 2.0 * kana + (1.4 if kana else 1.0) * han
-        if latin and (not other or len(latin) > 3 or other < 3):
-            get = self.index.get
-            s = 0.5 * self.logp[[get(g, 0) for g in trigrams(text)]].sum(0)  # half: neighbouring trigrams share letters
-            n = sum(map(len, latin))
-            out[:5] += s - s.max() + 1.2 * n
-        return out
+        return self.logliks([text])[0][0]
+
+    def logliks(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(float[n, 9], Latin words, Han and kana signs, runs of Cyrillic or Devanagari); letters of a script weigh heavily, a Latin name
+        or two inside another script hardly."""
+        n = len(texts)
+        joined = "\x00" + "\x00".join(t.replace("\x00", " ") for t in texts).lower() + "\x00"
+        c = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        which = np.minimum(np.cumsum(c == 0) - 1, n - 1)
+        tally = lambda mask: np.bincount(which[mask], minlength=n)
+        starts = lambda mask: mask & ~np.append(False, mask[:-1])
+        latin = (c >= 97) & (c <= 122) | (c >= 65) & (c <= 90) | (c >= 0xC0) & (c < 0x250)
+        quote = np.flatnonzero((c == 0x27) | (c == 0x2019))
+        quote = quote[latin[quote - 1] & latin[quote + 1]]
+        letters = tally(latin)
+        latin[quote] = True
+        cyr, dev = (c >= 0x400) & (c < 0x530), (c >= 0x900) & (c < 0x980)
+        kana = (c >= 0x3040) & (c < 0x3100) | (c >= 0x31F0) & (c < 0x3200) | (c >= 0xFF66) & (c < 0xFFA0)
+        han = (c >= 0x3400) & (c < 0x4DC0) | (c >= 0x4E00) & (c < 0xA000) | (c >= 0xF900) & (c < 0xFB00)
+        n_cyr, n_dev, n_kana, n_han = map(tally, (cyr, dev, kana, han))
+        begin = starts(latin)
+        words = tally(begin)
+        out = np.zeros((n, 9))
+        out[:, 5], out[:, 8] = 2.0 * n_cyr, 2.0 * n_dev
+        out[:, 6] = 2.0 * n_han - 2.5 * n_kana
+        out[:, 7] = 2.0 * n_kana + np.where(n_kana > 0, 1.4, 1.0) * n_han
+        other = n_cyr + n_dev + n_kana + n_han
+        # trigrams: every letter with its neighbours; what is no Latin letter is an edge
+        x = np.where(latin, self.letter[np.where(latin & (c < 0x250), c, 0)], 1)
+        x[quote] = self.letter[0x27]
+        at = np.flatnonzero(latin)
+        rows, of = self.table[(x[at - 1] * self.k + x[at]) * self.k + x[at + 1]].astype(np.int64), which[at]
+        # short words
+        first = np.flatnonzero(begin)
+        size = np.flatnonzero(latin & ~np.append(latin[1:], False)) - first + 1
+        first, size = first[size <= 5], size[size <= 5]
+        code = np.zeros(len(first), np.int64)
+        for i in range(5):
+            code = np.where(i < size, code * self.k + x[np.minimum(first + i, len(x) - 1)], code)
+        if len(self.words):
+            near = np.minimum(np.searchsorted(self.words, code), len(self.words) - 1)
+            known = np.where(self.words[near] == code, self.word_rows[near], 0)
+        else:
+            known = np.zeros(len(code), np.int64)
+        rows, of = np.concatenate([rows, known]), np.concatenate([of, which[first]])
+        s = np.stack([np.bincount(of, self.logp[rows, k], n) for k in range(5)], 1)
+        weigh = (words > 0) & ((other == 0) | (words > 3) | (other < 3))
+        out[:, :5] = np.where(weigh[:, None], s - s.max(1, keepdims=True) + 1.2 * (letters + np.bincount(which[quote], minlength=n))[:, None], 0.0)
+        return out, words, n_han + n_kana, tally(starts(cyr)) + tally(starts(dev))
 
 
 def parts_of(text: str) -> list[tuple[int, int]]:
@@ -150,7 +201,7 @@ def parts_of(text: str) -> list[tuple[int, int]]:
     return cut
 
 
-_PARTS = "tbl string, record_id bigint, host string, named string, region string, wordless boolean, loglik array<double>, post array<double>, starts array<int>, ends array<int>, langs array<string>, sure array<double>"
+_PARTS = "tbl string, record_id bigint, host string, named string, region string, wordless boolean, mixed boolean, loglik array<double>, post array<double>, starts array<int>, ends array<int>, langs array<string>, sure array<double>"
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -158,38 +209,83 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
-def _read_text(text: str | None, model: TextModel) -> tuple:
-    """(wordless, loglik of the whole, its text posterior, starts, ends, langs, sureness of the parts)."""
-    if not text or not _ANY_LETTER.search(text):
-        return True, [0.0] * 9, [1 / 9] * 9, [], [], [], []
-    spans, scores = [], []
-    for a, b in parts_of(text):
-        s = text[a:b]
-        bare = _QUOTED.sub(" ", s)
-        if not _ANY_LETTER.search(bare):
-            bare = s
-        if _ANY_LETTER.search(bare):
-            spans.append((a, b))
-            scores.append(model.loglik(bare))
+def read_texts(texts: list[str | None], model: TextModel) -> list[tuple]:
+    """(wordless, mixed, loglik of the whole, its text posterior, starts, ends, langs, sureness of the parts) of each text."""
+    spans: list[tuple[int, int, int]] = []
+    bares: list[str] = []
+    for k, text in enumerate(texts):
+        if not text or not _ANY_LETTER.search(text):
+            continue
+        some = len(spans)
+        for a, b in parts_of(text):
+            s = text[a:b]
+            bare = _QUOTED.sub(" ", s)
+            if not _ANY_LETTER.search(bare):
+                bare = s
+            if _ANY_LETTER.search(bare):
+                spans.append((k, a, b))
+                bares.append(bare)
+        if len(spans) == some:
+            spans.append((k, 0, len(text)))
+            bares.append(text)
+    nothing = (True, False, [0.0] * 9, [1 / 9] * 9, [], [], [], [])
     if not spans:
-        spans, scores = [(0, len(text))], [model.loglik(text)]
-    total = np.sum(scores, axis=0)
-    merged: list[list] = []
-    for (a, b), v in zip(spans, scores):
-        post = _softmax(v)
-        k = int(post.argmax())
-        bare = _QUOTED.sub(" ", text[a:b])
-        words = len(_LATIN_WORD.findall(bare))
-        wide = len(_HAN.findall(bare)) + len(_KANA.findall(bare))
-        others = len(re.findall(r"[Ѐ-ԯ]+|[ऀ-ॿ]+", bare))
-        whole = (words >= 3 if k < 5 else wide >= 4 if k in (6, 7) else others >= 2) and post[k] >= 0.9
-        if merged and (merged[-1][2] == k or not whole):
-            merged[-1][1], merged[-1][3] = b, merged[-1][3] + v
-        elif merged and not merged[-1][4]:
-            merged[-1] = [merged[-1][0], b, k, merged[-1][3] + v, whole]
+        return [nothing] * len(texts)
+    scores, words, wide, others = model.logliks(bares)
+    post = _softmax(scores)
+    best = post.argmax(1)
+    sure = post[np.arange(len(post)), best]
+    ended = np.array([b.rstrip(" \t\"'”’»)")[-1:] in tuple(".!?…") for b in bares])
+    # a sentence of two words counts where its text leaves no doubt
+    enough = np.where(best < 5, (words >= 3) | (words == 2) & ended & (sure >= FIRM), np.where((best == 6) | (best == 7), wide >= 4, others >= 2)) & (sure >= 0.9)
+    owner = np.array([k for k, _, _ in spans])
+    total = np.zeros((len(texts), 9))
+    np.add.at(total, owner, scores)
+    posts = _softmax(total)
+    merged: list[list] = []  # text, start, end, language, scores, whole
+    for (k, a, b), lang, whole, v in zip(spans, best.tolist(), enough.tolist(), scores):
+        last = merged[-1] if merged and merged[-1][0] == k else None
+        if last and (last[3] == lang or not whole):
+            last[2], last[4] = b, last[4] + v
+        elif last and not last[5]:
+            last[2:] = [b, lang, last[4] + v, whole]
         else:
-            merged.append([a, b, k, v, whole])
-    return False, total.tolist(), _softmax(total).tolist(), [m[0] for m in merged], [m[1] for m in merged], [CODES[m[2]] for m in merged], [float(_softmax(m[3])[m[2]]) for m in merged]
+            merged.append([k, a, b, lang, v, whole])
+    chances = _softmax(np.stack([m[4] for m in merged]))[np.arange(len(merged)), [m[3] for m in merged]].tolist()
+    out: list = [nothing] * len(texts)
+    for m, p in zip(merged, chances):
+        k = m[0]
+        if out[k] is nothing:
+            out[k] = (False, False, total[k].tolist(), posts[k].tolist(), [], [], [], [])
+        out[k][4].append(m[1]), out[k][5].append(m[2]), out[k][6].append(CODES[m[3]]), out[k][7].append(p)
+    return [(r[0], len(set(r[6])) > 1, *r[2:]) for r in out]
+
+
+def _names_language(label):
+    """The column counterpart of ``declared``: whether a label names one of the languages."""
+    low = F.lower(F.trim(label))
+    return F.coalesce(low.isin(sorted(_LABEL_OF)) | F.element_at(F.split(low, "[-_]"), 1).isin(sorted(_LABEL_OF)), F.lit(False))
+
+
+def _fit(one: DataFrame) -> TextModel:
+    """Trigram counts of about ``SAMPLE`` labelled rows; only counts of features reach the driver."""
+    latin = ~F.col("text").rlike("[\u0400-\u052f\u0900-\u097f\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff]")
+    labelled = one.where(_names_language(F.col("label")) & F.col("text").rlike(r"\p{L}"))
+    n = labelled.count()
+    if n > SAMPLE:
+        labelled = labelled.where(F.pmod(F.xxhash64("tbl", "record_id"), F.lit(1 << 40)) < F.lit(int((1 << 40) * SAMPLE / n)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            counts: Counter = Counter()
+            for text, label in zip(p["text"], p["label"]):
+                code = declared(label)[0]
+                if code in LATIN:
+                    counts.update((code, g) for g in trigrams(text))
+            yield pd.DataFrame([(c, g, k) for (c, g), k in counts.items()], columns=["code", "g", "n"])
+
+    counted = labelled.where(latin).select("text", "label").mapInPandas(run, "code string, g string, n bigint").groupBy("code", "g").agg(F.sum("n").alias("n"))
+    return TextModel.fit([tuple(r) for r in counted.collect()])
 
 
 def language_parts(records: DataFrame) -> DataFrame:
@@ -197,61 +293,62 @@ def language_parts(records: DataFrame) -> DataFrame:
 
     (tbl, record_id, lang, confidence, named, mixed, parts array<struct<start,end,lang,confidence>>)
     """
-    one = records.dropDuplicates(["tbl", "record_id"])
-    one = materialise(one, "language-records")
-    labels = [r[0] for r in one.select("label").distinct().limit(100_000).collect()]
-    known = sorted({x for x in labels if declared(x)[0]})
-    rows = []
-    if known:
-        sample = one.where(F.col("label").isin(known) & F.col("text").rlike(r"\p{L}")).orderBy(F.xxhash64("tbl", "record_id"), "tbl", "record_id").limit(SAMPLE)
-        rows = [(t[:2000], declared(x)[0]) for t, x in sample.select("text", "label").collect()]
-    model = TextModel.fit(rows)
-    shared = one.sparkSession.sparkContext.broadcast(model)
+    one = materialise(records.select("tbl", "record_id", "host", "label", "text").dropDuplicates(["tbl", "record_id"]), "language-records")
+    shared = one.sparkSession.sparkContext.broadcast(_fit(one))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for p in batches:
-            out = [(t, r, h, *declared(x), *_read_text(s, m)) for t, r, h, x, s in zip(p["tbl"], p["record_id"], p["host"], p["label"], p["text"])]
+            out = [(t, r, h, *declared(x), *v) for t, r, h, x, v in zip(p["tbl"], p["record_id"], p["host"], p["label"], read_texts(p["text"].tolist(), m))]
             yield pd.DataFrame(out, columns=[c.split()[0] for c in _PARTS.split(", ")])
 
-    parts = materialise(one.select("tbl", "record_id", "host", "label", "text").mapInPandas(read, _PARTS), "language-parts")
+    parts = materialise(one.mapInPandas(read, _PARTS), "language-parts")
     # host priors: sums of text posteriors by host, smoothed towards the table's, and that towards an even one
     sums = [F.sum(F.col("post")[i]).alias(f"s{i}") for i in range(9)]
-    read_ = parts.where("not wordless")
-    by_table = read_.groupBy("tbl").agg(*sums, F.count(F.lit(1)).alias("n"))
-    table_prior = by_table.select("tbl", F.array(*[(F.col(f"s{i}") + SMOOTHING / 9) / (F.col("n") + SMOOTHING) for i in range(9)]).alias("tp"))
-    by_host = read_.where("host is not null").groupBy("tbl", "host").agg(*sums, F.count(F.lit(1)).alias("n"))
-    host_sum = by_host.select("tbl", "host", F.array(*[F.col(f"s{i}") for i in range(9)]).alias("hs"), F.col("n").alias("hn"))
-    joined = parts.join(host_sum, ["tbl", "host"], "left").join(F.broadcast(table_prior), "tbl", "left")
-
-    def fuse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = {c: i for i, c in enumerate(CODES)}
-        for p in batches:
-            out = []
-            for tbl, rid, named, region, wordless, loglik, post, hs, hn, tp, starts, ends, langs, sure in zip(*(p[c] for c in ("tbl", "record_id", "named", "region", "wordless", "loglik", "post", "hs", "hn", "tp", "starts", "ends", "langs", "sure"))):
-                if wordless:
-                    out.append((tbl, rid, None, 0.0, named, False, []))
-                    continue
-                prior = np.array(tp)
-                if hs is not None and hn > 1:  # without the record's own share
-                    prior = (np.maximum(np.array(hs) - np.array(post), 0) + SMOOTHING * prior) / (hn - 1 + SMOOTHING)
-                z = np.array(loglik) + np.log(prior + 1e-6)
-                for c, trust in ((named, LABEL_TRUST), (region, SUFFIX_TRUST)):
-                    if c is not None:
-                        e = np.full(9, np.log((1 - trust) / 8))
-                        e[index[c]] = np.log(trust)
-                        z += e
-                fused = _softmax(z)
-                k = int(fused.argmax())
-                mixed = len(set(langs)) > 1
-                pieces = [(int(a), int(b), x, float(c)) for a, b, x, c in zip(starts, ends, langs, sure)]
-                if not mixed:  # one language: all evidence decides
-                    pieces = [(int(starts[0]), int(ends[-1]), CODES[k], float(fused[k]))]
-                out.append((tbl, rid, CODES[k], float(fused[k]), named, mixed, pieces))
-            yield pd.DataFrame(out, columns=["tbl", "record_id", "lang", "confidence", "named", "mixed", "parts"])
-
-    shape = "tbl string, record_id bigint, lang string, confidence double, named string, mixed boolean, parts array<struct<start:int,end:int,lang:string,confidence:double>>"
-    return joined.mapInPandas(fuse, shape)
+    words = parts.where("not wordless")
+    firm = F.array_max("post") >= FIRM
+    text = F.element_at(F.array(*map(F.lit, CODES)), F.array_position("post", F.array_max("post")).cast("int"))
+    agree = [F.count_if(firm & F.col(c).isNotNull()).alias(f"{c}_n") for c in ("named", "region")] + [F.count_if(firm & (F.col(c) == text)).alias(f"{c}_yes") for c in ("named", "region")]
+    by_table = words.groupBy("tbl").agg(*sums, F.count(F.lit(1)).alias("n"), *agree).collect()  # a row for each table
+    priors = {r["tbl"]: (np.array([r[f"s{i}"] for i in range(9)]) + SMOOTHING / 9) / (r["n"] + SMOOTHING) for r in by_table}
+    trust = {c: (sum(r[f"{c}_yes"] for r in by_table) + TRUST_WEIGHT * t) / (sum(r[f"{c}_n"] for r in by_table) + TRUST_WEIGHT) for c, t in (("named", LABEL_TRUST), ("region", SUFFIX_TRUST))}
+    by_host = words.where("host is not null").groupBy("tbl", "host").agg(*sums, F.count(F.lit(1)).alias("hn"))
+    host_sum = by_host.select("tbl", "host", F.array(*[F.col(f"s{i}") for i in range(9)]).alias("hs"), "hn")
+    # records without a host stay out of the join, where they would all meet in one task
+    alone = parts.where("host is null").withColumn("hs", F.array(*[F.lit(0.0)] * 9)).withColumn("hn", F.lit(0).cast("bigint"))
+    hosted = parts.where("host is not null").join(host_sum, ["tbl", "host"], "left").withColumn("hs", F.coalesce("hs", F.array(*[F.lit(0.0)] * 9))).withColumn("hn", F.coalesce("hn", F.lit(0)))
+    cols = ("tbl", "record_id", "named", "region", "wordless", "loglik", "post", "hs", "hn", "mixed", "starts", "ends", "langs", "sure")
+    joined = alone.select(*cols).unionByName(hosted.select(*cols))
+    index = pa.array(CODES)
+
+    def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            c = dict(zip(cols, b.columns))
+            nine = {k: np.asarray(c[k].flatten()).reshape(-1, 9) for k in ("loglik", "post", "hs")}
+            table = np.stack([priors.get(t, np.full(9, 1 / 9)) for t in c["tbl"].to_pylist()]) if b.num_rows else np.zeros((0, 9))
+            n = np.asarray(c["hn"])[:, None]
+            # without the record's own share
+            prior = np.where(n > 1, (np.maximum(nine["hs"] - nine["post"], 0) + SMOOTHING * table) / (np.maximum(n, 1) - 1 + SMOOTHING), table)
+            z = nine["loglik"] + np.log(prior + 1e-6)
+            for k in ("named", "region"):
+                at = np.asarray(pa.compute.index_in(c[k], index).fill_null(-1))
+                t = min(trust[k], 1 - 1e-6)
+                e = np.full(z.shape, np.log((1 - t) / 8))
+                e[np.arange(len(z)), at] = np.log(max(t, 1e-6))
+                z += np.where(at[:, None] >= 0, e, 0.0)
+            fused = _softmax(z) if len(z) else z
+            top = fused.argmax(1) if len(z) else np.zeros(0, int)
+            silent = np.asarray(c["wordless"])
+            lang = pa.array(np.array(CODES, object)[top], pa.string(), mask=silent)
+            sure = pa.array(np.where(silent, 0.0, fused[np.arange(len(top)), top]))
+            yield pa.RecordBatch.from_arrays([c["tbl"], c["record_id"], lang, sure, *(c[k] for k in ("named", "mixed", "wordless", "starts", "ends", "langs", "sure"))], ["tbl", "record_id", "lang", "confidence", "named", "mixed", "wordless", "starts", "ends", "langs", "sure"])
+
+    shape = "tbl string, record_id bigint, lang string, confidence double, named string, mixed boolean, wordless boolean, starts array<int>, ends array<int>, langs array<string>, sure array<double>"
+    told = joined.mapInArrow(fuse, shape)
+    pieces = F.transform(F.arrays_zip("starts", "ends", "langs", "sure"), lambda p: F.struct(p["starts"].alias("start"), p["ends"].alias("end"), p["langs"].alias("lang"), p["sure"].alias("confidence")))
+    # one language: all evidence decides
+    whole = F.array(F.struct(F.element_at("starts", 1).alias("start"), F.element_at("ends", -1).alias("end"), F.col("lang").alias("lang"), F.col("confidence").alias("confidence")))
+    return told.select("tbl", "record_id", "lang", "confidence", "named", "mixed", F.when(F.col("mixed") | F.col("wordless"), pieces).otherwise(whole).alias("parts"))
 
 
 def found_cases(parts: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from math import log
 
 import pandas as pd
 import pyarrow as pa
@@ -31,8 +32,11 @@ RATIO, LEAST, EVIDENT = 8, 4, 0.75
 #: The same for a word that looks sound, by its length: chance neighbours are common among short words.
 SOUND_RATIO = {1: 400, 2: 200, 3: 80, 4: 40}
 SOUND_RATIO_LONG = 25
-#: Repairs and running lines up to which they are broadcast (about 60 and 8 bytes each); beyond, records are joined with theirs.
+#: Rows up to which running lines, facts about words and context counts are broadcast (8 to 60 bytes each); beyond, each record is joined
+#: with its own. Both ways give the same rows.
 BROADCAST_ROWS = 500_000
+#: Frequent words without facts, which a record needn't ask for in the join; they change nothing but its size.
+COMMON = 20_000
 
 # Misread sequence -> what it may stand for. The first column is what is seen.
 CONFUSIONS = [
@@ -54,6 +58,7 @@ _LINES = re.compile(r"\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
 _PAGE_WORD = r"(?:p|pp|pg|page|seite|s|página|pagina|pág|pag|стр|страница|с|slide|folie|diapositiva|diapositive|слайд|blatt|sheet|第|पृष्ठ)"
 _PAGE_LINE = re.compile(rf"[\s\[(<{{—–\-|·•*=~]*(?:{_PAGE_WORD}\.?\s*)?\d{{1,5}}(?:\s*(?:/|\||of|von|de|di|из|sur)\s*\d{{1,5}})?\s*(?:页|頁|ページ)?[\s\])>}}—–\-|·•*=~.]*", re.I)
 _BESIDE = re.compile(rf"^\s*(?:{_PAGE_WORD}\.?\s*)?(\d{{1,5}})(?:\s*/\s*\d{{1,5}})?(?:\s*[|—–\-·•]+\s*|\s{{2,}}|\t+)(?=\S)|(?<=\S)(?:\s*[|·•]\s*|\s+[—–\-]+\s+|\s{{2,}}|\t+)(?:{_PAGE_WORD}\.?\s*)?(\d{{1,5}})(?:\s*/\s*\d{{1,5}})?\s*$", re.I)
+_DIGIT = re.compile(r"\d")
 _KEY_DROP = re.compile(r"[\s\-‐‑‒–—―_­¬|]+")
 _BROKEN = re.compile(r"[^\W\d_][^\W_]?[\W\d]{0,1}$|[^\W_]$|[†|!]$")
 _SIGN = "-‐‑­¬–—"
@@ -68,6 +73,7 @@ def sound(word: str) -> bool:
     return bool(_SOUND_LATIN.fullmatch(word) or _SOUND_CYRILLIC.fullmatch(word))
 
 
+@lru_cache(maxsize=300_000)
 def bare(token: str) -> str:
     """The word of a token: lower case, without the punctuation around it ('!' at the end counts as such)."""
     return token.strip(_EDGE).rstrip("!").rstrip(_EDGE).lower()
@@ -157,7 +163,7 @@ class Page:
 
 def line_key(line: str) -> tuple[str, bool]:
     """(key of a line whatever its case, spacing, dashes and page number, whether a number stands beside it)."""
-    s = _BESIDE.sub("", line, count=1)
+    s = _BESIDE.sub("", line, count=1) if _DIGIT.search(line) else line
     return _KEY_DROP.sub("", s.lower()), s != line
 
 
@@ -223,7 +229,7 @@ def _count(one: DataFrame) -> DataFrame:
 
 
 def find_repairs(lexicon: DataFrame) -> DataFrame:
-    """lexicon(word, n) -> (word, n, candidates array<struct<word, n, cost>>), the likeliest first."""
+    """lexicon(word, n) -> (word, candidates array<struct<r, word, n, cost>>), the likeliest first; all that pass the bounds."""
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             out = [(k, w, n) for w, n in zip(p["word"], p["n"]) for k in delete_keys(w)]
@@ -251,7 +257,7 @@ def find_repairs(lexicon: DataFrame) -> DataFrame:
 
     good = pairs.mapInPandas(judge, "word string, n bigint, c string, cn bigint, cost double")
     rank = F.col("cost") * 4 - F.log("cn")
-    return good.groupBy("word").agg(F.max("n").alias("n"), F.slice(F.sort_array(F.collect_list(F.struct(rank.alias("r"), F.col("c").alias("word"), F.col("cn").alias("n"), "cost"))), 1, 4).alias("candidates"))
+    return good.groupBy("word").agg(F.sort_array(F.collect_list(F.struct(rank.alias("r"), F.col("c").alias("word"), F.col("cn").alias("n"), "cost"))).alias("candidates"))
 
 
 def _match_case(token: str, seen: str, meant: str) -> str:
@@ -264,11 +270,105 @@ def _match_case(token: str, seen: str, meant: str) -> str:
     return token[:at] + new + token[at + len(seen) :]
 
 
+def word_facts(lexicon: DataFrame, repairs: DataFrame) -> DataFrame:
+    """(word, n, candidates): what a record must know of its words. ``n`` is set for words with a hyphen and for their forms without it."""
+    hyphened = lexicon.where(F.col("word").contains("-") & (F.col("n") >= 2))
+    closed = hyphened.select(F.regexp_replace("word", "-", "").alias("word")).distinct().join(lexicon, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
+    known = hyphened.unionByName(closed).groupBy("word").agg(F.max("n").alias("n"))
+    return known.join(repairs, "word", "full").select("word", "n", "candidates")
+
+
+def _unsure(candidates: list[tuple]) -> bool:
+    """Whether the second candidate is near enough to the first for the word before to decide."""
+    rank = lambda c: c[2] * 4 - log(c[1])
+    return len(candidates) > 1 and rank(candidates[1]) < rank(candidates[0]) + 4
+
+
+class Facts:
+    """Numbers and candidates of words, given for all records or, by ``own``, for one."""
+
+    __slots__ = ("n", "candidates")
+
+    def __init__(self, rows):
+        self.n, self.candidates = {}, {}
+        for r in rows:
+            if r["n"] is not None:
+                self.n[r["word"]] = r["n"]
+            if r["candidates"] is not None:
+                self.candidates[r["word"]] = [(c["word"], c["n"], c["cost"]) for c in r["candidates"]]
+
+    def knows(self, word: str) -> int:
+        return self.n.get(word, 0)
+
+
+def _pages(p: pd.DataFrame, shared: Facts | None) -> Iterator[tuple]:
+    """(row number, page, tokens, whether a word was broken, facts) of the records with a text."""
+    own = p["own"] if shared is None else [None] * len(p)
+    for k, (text, rf, rl, facts) in enumerate(zip(p["text"], p["rf"], p["rl"], own)):
+        if text and text.strip():
+            f = shared if shared is not None else Facts(facts if facts is not None else ())
+            page = Page(text)
+            tokens, broken = join_lines(page.body(rf, rl), f.knows)
+            yield k, page, tokens, broken, f
+
+
+def _with_own_facts(flags: DataFrame, lexicon: DataFrame, facts: DataFrame) -> DataFrame:
+    """Adds ``own``: the facts about a record's own words, whichever way its broken words are read."""
+    common = lexicon.join(facts, "word", "left_anti").orderBy(F.desc("n"), "word").limit(COMMON)
+    shared = flags.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in common.select("word").collect()))
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            out = []
+            for tbl, rid, text, rf, rl in zip(p["tbl"], p["record_id"], p["text"], p["rf"], p["rl"]):
+                if not text or not text.strip():
+                    continue
+                words: set[str] = set()
+                tokens, _ = join_lines(Page(text).body(rf, rl), lambda w: words.add(w) or 0)
+                words.update(map(bare, tokens))
+                out += [(tbl, rid, w) for w in words - shared.value if w]
+            yield pd.DataFrame(out, columns=["tbl", "record_id", "word"])
+
+    asked = flags.mapInPandas(ask, "tbl string, record_id bigint, word string")
+    own = asked.join(facts, "word").groupBy("tbl", "record_id").agg(F.collect_list(F.struct("word", "n", "candidates")).alias("own"))
+    return materialise(flags.join(own, ["tbl", "record_id"], "left"), "scan-facts")
+
+
+def _context(flags: DataFrame, shared, unsure: dict | None) -> DataFrame:
+    """(tbl, record_id, a, b, n): how often words ``a`` that stand before an ambiguous misread word stand before its candidates ``b``,
+    counted over all records. Where ``unsure`` holds all ambiguous words, tbl and record_id are null: the counts serve all records."""
+    wanted = None if unsure is None else frozenset(c for cs in unsure.values() for c in cs)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            pairs: Counter = Counter()
+            asked = set()
+            for k, _, tokens, _, f in _pages(p, shared.value if shared else None):
+                before = ""
+                for t in tokens:
+                    w = bare(t)
+                    if wanted is None or w in wanted:
+                        pairs[before, w] += 1
+                    cs = f.candidates.get(w)
+                    if cs and _unsure(cs):
+                        key = (p["tbl"].iat[k], p["record_id"].iat[k]) if wanted is None else (None, None)
+                        asked.update((*key, before, c[0]) for c in cs)
+                    before = w
+            rows = [(None, None, a, b, n, False) for (a, b), n in pairs.items()] + [(*x, 0, True) for x in asked]
+            yield pd.DataFrame(rows, columns=["tbl", "record_id", "a", "b", "n", "asked"])
+
+    shape = "tbl string, record_id bigint, a string, b string, n bigint, asked boolean"
+    found = materialise(flags.mapInPandas(run, shape), "scan-context")
+    counts = found.where("not asked").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return found.where("asked").select("tbl", "record_id", "a", "b").distinct().join(counts, ["a", "b"]).select("tbl", "record_id", "a", "b", "n")
+
+
 _FIXED = "tbl string, record_id bigint, hyphen boolean, glyph boolean, header boolean, page_no boolean, text string"
 
 
 def repair_scans(records: DataFrame, with_text: bool = True) -> DataFrame:
     """records(tbl, record_id, grp, text) -> (tbl, record_id, hyphen, glyph, header, page_no, text)."""
+    spark = records.sparkSession
     one = records.where("record_id is not null").dropDuplicates(["tbl", "record_id"])
     counted = materialise(_count(one), "scan-counts")
     pages = counted.where("tbl is not null")
@@ -277,102 +377,55 @@ def repair_scans(records: DataFrame, with_text: bool = True) -> DataFrame:
     line = lambda c: F.when(F.length(c) > 0, F.xxhash64("tbl", F.coalesce("grp", F.lit("\x00")), c))
     both = F.array_distinct(F.array_compact(F.array(line("first_key"), line("last_key"))))
     running = materialise(pages.select(F.explode(both).alias("h")).groupBy("h").count().where(F.col("count") >= RUNNING).select("h"), "running-lines")
-    repairs = materialise(find_repairs(lexicon), "scan-repairs")
-    spark = records.sparkSession
-    if running.count() <= BROADCAST_ROWS:
-        flags = pages.withColumn("f", line("first_key")).withColumn("l", line("last_key"))
-        r = F.broadcast(running)
-        flags = flags.join(r.withColumnRenamed("h", "f").withColumn("rf", F.lit(True)), "f", "left").join(r.withColumnRenamed("h", "l").withColumn("rl", F.lit(True)), "l", "left")
-    else:
-        flags = pages.withColumn("f", line("first_key")).withColumn("l", line("last_key"))
-        flags = flags.join(running.withColumnRenamed("h", "f").withColumn("rf", F.lit(True)), "f", "left").join(running.withColumnRenamed("h", "l").withColumn("rl", F.lit(True)), "l", "left")
+    r = F.broadcast(running) if running.count() <= BROADCAST_ROWS else running
+    flags = pages.withColumn("f", line("first_key")).withColumn("l", line("last_key"))
+    flags = flags.join(r.withColumnRenamed("h", "f").withColumn("rf", F.lit(True)), "f", "left").join(r.withColumnRenamed("h", "l").withColumn("rl", F.lit(True)), "l", "left")
     flags = flags.select("tbl", "record_id", "text", F.coalesce("rf", F.lit(False)).alias("rf"), F.coalesce("rl", F.lit(False)).alias("rl"))
-    hyphened = lexicon.where(F.col("word").contains("-") & (F.col("n") >= 2))
-    small = repairs.count() <= BROADCAST_ROWS and hyphened.count() <= BROADCAST_ROWS
-    if small:
-        table = {w: [(c["word"], c["n"], c["cost"]) for c in cs] for w, cs in repairs.select("word", "candidates").collect()}
-        joined = {w: n for w, n in hyphened.collect()}
-        for w in [w.replace("-", "") for w in joined]:
-            joined.setdefault(w, 0)
-        names = list(joined)
-        known = lexicon.join(F.broadcast(spark.createDataFrame([(w,) for w in names] or [("-",)], "word string")), "word")
-        joined |= {w: n for w, n in known.collect()}
-        shared = spark.sparkContext.broadcast((table, joined))
-        flags = flags.withColumn("own", F.lit(None).cast("array<struct<w:string,cs:array<struct<c:string,n:bigint,cost:double>>>>"))
-        context = _context(flags, shared)
-        shared = spark.sparkContext.broadcast((table, joined, context))
-    else:  # each record meets the repairs of its own words
-        words = flags.select("tbl", "record_id", F.explode(F.array_distinct(F.split(F.lower("text"), r"[\s.,;:?()\[\]{}«»“”„\"'’‘…]+"))).alias("word"))
-        own = words.join(repairs, "word").groupBy("tbl", "record_id").agg(F.collect_list(F.struct(F.col("word").alias("w"), F.transform("candidates", lambda c: F.struct(c["word"].alias("c"), c["n"].alias("n"), c["cost"].alias("cost"))).alias("cs"))).alias("own"))
-        flags = flags.join(own, ["tbl", "record_id"], "left")
-        shared = spark.sparkContext.broadcast(({}, {}, {}))
+    facts = materialise(word_facts(lexicon, find_repairs(lexicon)), "scan-facts-of-words")
+    shared, unsure = None, None
+    if facts.count() <= BROADCAST_ROWS:
+        table = Facts(facts.collect())
+        shared = spark.sparkContext.broadcast(table)
+        unsure = {w: [c[0] for c in cs] for w, cs in table.candidates.items() if _unsure(cs)}
+    else:
+        flags = _with_own_facts(flags, lexicon, facts)
+    context = None
+    if with_text and unsure != {}:  # which repair it is doesn't change whether there is one
+        context = materialise(_context(flags, shared, unsure), "scan-context-counts")
+        if shared and context.count() > BROADCAST_ROWS:  # too many for all: each record's own
+            flags, shared, unsure = _with_own_facts(flags, lexicon, facts), None, None
+            context = materialise(_context(flags, shared, unsure), "scan-context-counts")
+    seen = spark.sparkContext.broadcast({(a, b): n for a, b, n in context.select("a", "b", "n").collect()} if context is not None and shared else {})
+    if context is not None and not shared:
+        pairs = context.groupBy("tbl", "record_id").agg(F.collect_list(F.struct("a", "b", "n")).alias("pairs"))
+        flags = flags.join(pairs, ["tbl", "record_id"], "left")
+    else:
+        flags = flags.withColumn("pairs", F.lit(None).cast("array<struct<a:string,b:string,n:bigint>>"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, joined, context = shared.value
         for p in batches:
-            out = []
-            for tbl, rid, text, rf, rl, own in zip(p["tbl"], p["record_id"], p["text"], p["rf"], p["rl"], p["own"]):
-                if not text or not text.strip():
-                    out.append((tbl, rid, False, False, False, False, text))
-                    continue
-                fixes = table if own is None else {o["w"]: [(c["c"], c["n"], c["cost"]) for c in o["cs"]] for o in own}
-                page = Page(text)
-                beside = rf and page.first_beside or rl and page.last_beside
-                tokens, broken = join_lines(page.body(rf, rl), lambda w: joined.get(w, 0))
+            out = [(tbl, rid, False, False, False, False, text) for tbl, rid, text in zip(p["tbl"], p["record_id"], p["text"])]
+            for k, page, tokens, broken, f in _pages(p, shared.value if shared else None):
+                rf, rl, own = p["rf"].iat[k], p["rl"].iat[k], p["pairs"].iat[k]
+                context = seen.value if own is None else {(c["a"], c["b"]): c["n"] for c in own}
                 glyph, before = False, ""
                 for i, t in enumerate(tokens):
                     w = bare(t)
-                    cs = fixes.get(w)
+                    cs = f.candidates.get(w)
                     if cs:
-                        best = max(cs, key=lambda c: (-4 * c[2] + _log(c[1]) + 2 * _log(1 + context.get((before, c[0]), 0)), c[0]))
                         glyph = True
-                        w = best[0]
-                        if with_text:
-                            tokens[i] = _match_case(t, bare(t), w)
+                        if not with_text:
+                            break
+                        best = max(cs, key=lambda c: (-4 * c[2] + log(c[1]) + 2 * log(1 + context.get((before, c[0]), 0)), c[0]))
+                        tokens[i] = _match_case(t, w, best[0])
                     before = w
-                out.append((tbl, rid, broken, glyph, bool(rf or rl), bool(page.paged or beside), " ".join(tokens) if with_text else None))
+                beside = rf and page.first_beside or rl and page.last_beside
+                out[k] = (*out[k][:2], broken, glyph, bool(rf or rl), bool(page.paged or beside), " ".join(tokens) if with_text else None)
             yield pd.DataFrame(out, columns=["tbl", "record_id", "hyphen", "glyph", "header", "page_no", "text"])
 
     return flags.mapInPandas(run, _FIXED)
 
 
-def _log(x: float) -> float:
-    from math import log
-
-    return log(x)
-
-
-def _context(flags: DataFrame, shared) -> dict:
-    """How often the words stand before the candidates of ambiguous repairs, counted over all records; only pairs that occur with
-    an ambiguous word are asked for, and of those the ``BROADCAST_ROWS`` most frequent decide; a pair beyond counts as not seen."""
-    table = shared.value[0]
-    unsure = {w: [c[0] for c in cs] for w, cs in table.items() if len(cs) > 1 and cs[1][2] * 4 - _log(cs[1][1]) < cs[0][2] * 4 - _log(cs[0][1]) + 4}
-    if not unsure:
-        return {}
-    spark = flags.sparkSession
-    ask = spark.sparkContext.broadcast((unsure, {c for cs in unsure.values() for c in cs}))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        odd, wanted = ask.value
-        for p in batches:
-            pairs: Counter = Counter()
-            asked = set()
-            for text in p["text"]:
-                before = ""
-                for t in (text or "").lower().split():
-                    w = t.strip(_EDGE)
-                    if w in wanted:
-                        pairs[before, w] += 1
-                    if w in odd:
-                        asked.update((before, c) for c in odd[w])
-                    before = w
-            rows = [(a, b, n, False) for (a, b), n in pairs.items()] + [(a, b, 0, True) for a, b in asked]
-            yield pd.DataFrame(rows, columns=["a", "b", "n", "asked"])
-
-    counts = flags.select("text").mapInPandas(run, "a string, b string, n bigint, asked boolean").groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("asked").alias("asked"))
-    return {(a, b): n for a, b, n in counts.where("asked and n > 0").select("a", "b", "n").orderBy(F.desc("n"), "a", "b").limit(BROADCAST_ROWS).collect()}
-
-
 def defects(fixed: DataFrame) -> DataFrame:
     """(tbl, record_id, defect): one row per record and defect."""
     names = F.array_compact(F.array(*[F.when(F.col(c), F.lit(c)) for c in ("hyphen", "glyph", "header", "page_no")]))

@@ -1,7 +1,8 @@
 """Problem 1: speech transcripts into clean, ordered speaker turns.
 
-Method: labels are normalised (number, letter or role in any spelling or language); what remains, mostly names, is clustered
-by initials and string similarity with union-find within each recording; turns are then collapsed under the canonical speaker.
+Method: labels are normalised (case, digits, brackets), and the forms that occur in a recording are clustered with union-find: two forms
+are one speaker if they name the same number or letter, or if their words, roles read in any language, agree in their initials and nearly
+in their spelling. Turns are then collapsed under the canonical speaker.
 
 Order and runs never gather a recording in one task: cleaned segments are range-partitioned by (recording, time, id), every
 partition finds its own runs, and only the outermost runs of each partition (at most three) meet on the driver to be stitched,
@@ -78,12 +79,19 @@ _DROP_FIRST = re.compile(r"^(?:[Ee]r|[Ee]m|[Hh]um|[Aa]h|[Ee]h)\s+(?=[A-ZÀ-ÝЀ-
 
 
 @lru_cache(maxsize=200_000)
-def label_key(label: str | None) -> str | None:
-    """n:<number>, l:<letter>, r:<role>, or x:<name> for what none of these fits; None for an empty label."""
+def label_form(label: str | None) -> str | None:
+    """A label in lower case and plain digits, without brackets and the signs after it; None for an empty one."""
     if label is None:
         return None
     s = re.sub(r"\s+", " ", label.translate(_DIGITS)).strip().strip("[](){}<>【】").strip().rstrip(":：-–—. ").lower()
-    if not _SPEECH.search(s):
+    return s if _SPEECH.search(s) else None
+
+
+@lru_cache(maxsize=200_000)
+def label_key(label: str | None) -> str | None:
+    """What a label names: n:<number>, l:<letter>, r:<role>, or x:<name> for what none of these fits; None for an empty label."""
+    s = label_form(label)
+    if s is None:
         return None
     if m := _NUMBERED.fullmatch(s):
         return f"n:{int(m[1])}"
@@ -118,7 +126,12 @@ def label_key_is_speaker(s: str) -> bool:
 
 
 def read_segment(text: str | None, with_text: bool = True) -> tuple[str, str | None, float | None]:
-    """(spoken words, label key in the text, seconds of the first time mark); without fillers only ``with_text``."""
+    """(spoken words, what the label in the text names, seconds of the first time mark); without fillers only ``with_text``."""
+    words, label, at = _read_segment(text, with_text)
+    return words, label_key(label), at
+
+
+def _read_segment(text: str | None, with_text: bool = True) -> tuple[str, str | None, float | None]:
     if not text:
         return "", None, None
     t, key, at = text.translate(_DIGITS) if not text.isascii() else text, None, None
@@ -136,7 +149,7 @@ def read_segment(text: str | None, with_text: bool = True) -> tuple[str, str | N
             elif m := _ARROWS.match(t):
                 pass
             elif key is None and (m := _LABEL_HEAD.match(t)):
-                key = label_key(m[1] or m[2])
+                key = m[1] or m[2]
             else:
                 break
             t = t[m.end():]
@@ -174,38 +187,54 @@ class UnionFind:
             self.parent[max(a, b)] = min(a, b)
 
 
-def cluster_names(names: list[str], similar: float = 0.84) -> dict[str, str]:
-    """Canonical name of each: joined if very similar, or if one abbreviates the other by initials ('a schmidt', 'anna schmidt')."""
-    names = sorted(set(names))
-    uf = UnionFind(names)
-    blocks: dict[str, list[str]] = {}
-    for n in names:
-        if n:
-            blocks.setdefault(n.split()[-1][0] + n[0], []).append(n)
+def _alike(a: str, b: str, similar: float) -> bool:
+    """Nearly the same spelling, or one abbreviates the other by initials ('a schmidt', 'anna schmidt'); numbers in them must be equal."""
+    wa, wb = a.split(), b.split()
+    if len(wa) == len(wb) > 1 and wa[-1] == wb[-1] and all(x == y or (1 in (len(x), len(y)) and x[0] == y[0] and x.isalpha()) for x, y in zip(wa, wb)):
+        return True
+    return _initials(a) == _initials(b) and re.findall(r"\d+", a) == re.findall(r"\d+", b) and SequenceMatcher(None, a, b).ratio() >= similar
+
+
+def cluster_labels(forms: list[str], similar: float = 0.84) -> dict[str, str]:
+    """Canonical key of every label form of a recording, by union-find over the forms."""
+    forms = sorted(set(forms))
+    keys = {f: label_key(f) or "x:" for f in forms}
+    uf = UnionFind(forms)
+    first: dict[str, str] = {}
+    for f in forms:  # spellings that name the same number, letter, role or name
+        uf.union(first.setdefault(keys[f], f), f)
+    blocks: dict[tuple[str, str], list[str]] = {}
+    for k, f in first.items():
+        words = k[2:].split()
+        if k[0] in "rx" and words:
+            blocks.setdefault((words[0][0], words[-1][0]), []).append(f)
     for block in blocks.values():
         for i, a in enumerate(block):
             for b in block[:i]:
-                wa, wb = a.split(), b.split()
-                short = len(wa) == len(wb) > 1 and wa[-1] == wb[-1] and all(x == y or (1 in (len(x), len(y)) and x[0] == y[0]) for x, y in zip(wa, wb))
-                if short or _initials(a) == _initials(b) and SequenceMatcher(None, a, b).ratio() >= similar:
+                if not keys[a][0] == keys[b][0] == "r" and _alike(keys[a][2:], keys[b][2:], similar):
                     uf.union(a, b)
-    longest: dict[str, str] = {}
-    for n in names:
-        r = uf.find(n)
-        longest[r] = max(longest.get(r, ""), n, key=lambda x: (len(x), x))
-    return {n: longest[uf.find(n)] for n in names}
+    best: dict[str, str] = {}
+    for f in forms:
+        r, k = uf.find(f), keys[f]
+        best[r] = max(best.get(r, k), k, key=lambda x: (x[0] != "x", len(x), x))
+    return {f: best[uf.find(f)] for f in forms}
+
+
+def cluster_names(names: list[str], similar: float = 0.84) -> dict[str, str]:
+    """Canonical name of each: joined if very similar, or if one abbreviates the other."""
+    return {n: k[2:] for n, k in cluster_labels(names, similar).items()}
 
 
 _CLEAN = "media_id string, segment_id bigint, pos double, end_sec double, speaker string, words string"
 
 
 def clean_segments(segments: DataFrame, with_text: bool = True) -> DataFrame:
-    """Segments with speech: place in time, speaker key (null if unlabelled) and spoken words. Narrow, except for name labels."""
+    """Segments with speech: place in time, form of the label (null if unlabelled) and spoken words. A narrow pass."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             out = []
             for media, sid, start, end, text, label in zip(p["media_id"], p["segment_id"], p["start_sec"].tolist(), p["end_sec"].tolist(), p["text"], p["speaker"]):
-                words, key, at = read_segment(text, with_text)
+                words, key, at = _read_segment(text, with_text)
                 if not words:
                     continue
                 pos = start
@@ -216,27 +245,33 @@ def clean_segments(segments: DataFrame, with_text: bool = True) -> DataFrame:
                     else:
                         # the mark is a whole second: the segment lies within it, and before its own end
                         pos = min(at + 0.9995, end - 0.0005) if known else at + 0.5
-                out.append((media, sid, pos, end, label_key(label) or key, words if with_text else None))
+                out.append((media, sid, pos, end, label_form(label) or label_form(key), words if with_text else None))
             yield pd.DataFrame(out, columns=["media_id", "segment_id", "pos", "end_sec", "speaker", "words"])
 
     cols = [F.col("media_id").cast("string"), F.col("segment_id").cast("bigint"), F.col("start_sec").cast("double"), F.col("end_sec").cast("double"), "text", "speaker"]
     return segments.where("segment_id is not null").select(*cols).mapInPandas(run, _CLEAN)
 
 
+#: Label forms of all recordings up to which they are broadcast (about 60 bytes each); beyond, segments are joined with them by a shuffle.
+BROADCAST_FORMS = 500_000
+
+
 def canonical_speakers(clean: DataFrame) -> DataFrame:
-    """Names (x: keys) replaced by the canonical name of their cluster within the recording; other keys are canonical already."""
-    named = clean.where(F.col("speaker").startswith("x:"))
-    if not named.take(1):
-        return clean
-    lists = named.groupBy("media_id").agg(F.collect_set("speaker").alias("names"))
+    """Label forms replaced by the canonical speaker of their cluster within the recording.
+
+    Only the distinct forms of a recording meet in one task, never its segments.
+    """
+    forms = clean.where("speaker is not null").select("media_id", "speaker").distinct()
+    lists = forms.groupBy("media_id").agg(F.collect_list("speaker").alias("forms"))
 
-    @F.pandas_udf("array<struct<speaker:string,canonical:string>>")
-    def cluster(names: pd.Series) -> pd.Series:
-        return pd.Series([[{"speaker": "x:" + a, "canonical": "x:" + b} for a, b in cluster_names([n[2:] for n in ns]).items()] for ns in names])
+    @F.pandas_udf("array<struct<form:string,canonical:string>>")
+    def cluster(forms: pd.Series) -> pd.Series:
+        return pd.Series([[{"form": a, "canonical": b} for a, b in cluster_labels(list(f)).items()] for f in forms])
 
-    pairs = lists.select(F.coalesce("media_id", F.lit("")).alias("m"), F.explode(cluster("names")).alias("p")).select("m", F.col("p.speaker").alias("s"), "p.canonical")
-    mapped = named.join(pairs, (F.coalesce(named["media_id"], F.lit("")) == pairs["m"]) & (named["speaker"] == pairs["s"])).select("media_id", "segment_id", "pos", "end_sec", F.col("canonical").alias("speaker"), "words")
-    return clean.where(F.col("speaker").isNull() | ~F.col("speaker").startswith("x:")).unionByName(mapped)
+    pairs = materialise(lists.select(F.col("media_id").alias("m"), F.explode(cluster("forms")).alias("p")).select("m", F.col("p.form").alias("s"), "p.canonical"), "speakers")
+    small = F.broadcast(pairs) if pairs.count() <= BROADCAST_FORMS else pairs
+    named = clean.join(small, clean["media_id"].eqNullSafe(small["m"]) & (clean["speaker"] == small["s"]), "left")
+    return named.select("media_id", "segment_id", "pos", "end_sec", F.col("canonical").alias("speaker"), "words")
 
 
 _RUN = "pid int, seq int, media_id string, speaker string, first_segment_id bigint, last_segment_id bigint, segments int, start_sec double, end_sec double, text string, edge boolean, last boolean"
@@ -307,6 +342,6 @@ def speaker_turns(segments: DataFrame, with_text: bool = True) -> DataFrame:
     joined = spark.createDataFrame(stitch(edges), "pid int, seq int, s string, turn_id bigint, part int, l bigint")
     shape = ("media_id", "turn_id", "part", "speaker", "first_segment_id", "last_segment_id", "segments", "start_sec", "end_sec", "text")
     inner = runs.where("not edge").withColumn("turn_id", F.col("first_segment_id")).withColumn("part", F.lit(0))
-    outer = runs.where("edge").drop("speaker", "first_segment_id", "last_segment_id").join(F.broadcast(joined), ["pid", "seq"])
+    outer = runs.where("edge").drop("speaker", "first_segment_id", "last_segment_id").join(joined, ["pid", "seq"])
     outer = outer.withColumnsRenamed({"s": "speaker", "l": "last_segment_id"}).withColumn("first_segment_id", F.col("turn_id"))
     return inner.select(*shape).unionByName(outer.select(*shape))

@@ -35,6 +35,24 @@ def test_names_cluster_by_initials_and_similarity():
     assert c["a schmidt"] == c["anna schmidt"] == c["ana schmidt"] and c["bob jones"] == "bob jones" and c["anna meyer"] == "anna meyer"
 
 
+def test_all_labels_pass_the_clusters():
+    forms = ["speaker 1", "spk_1", "sprecher 1", "01", "speaker 11", "gastgeber", "host", "moderatr", "moderator", "moderator 2", "anna schmidt", "a. schmidt", "speaker b", "b"]
+    c = turns.cluster_labels(forms)
+    assert c["speaker 1"] == c["spk_1"] == c["sprecher 1"] == c["01"] == "n:1" and c["speaker 11"] == "n:11" and c["host"] == c["gastgeber"] == "r:host"
+    assert c["moderatr"] == c["moderator"] == "r:moderator" and c["moderator 2"] == "r:moderator2" and c["a. schmidt"] == c["anna schmidt"] == "x:anna schmidt" and c["speaker b"] == c["b"] == "l:b"
+
+
+@pytest.mark.parametrize("broadcast", [0, 500_000])
+def test_turns_follow_the_clusters(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(turns, "BROADCAST_FORMS", broadcast)
+    rows = [(1, "m", 0.0, 1.0, "a", "Moderator"), (2, "m", 1.0, 2.0, "b", "moderatr"), (3, "m", 2.0, 3.0, "Gast: c", None), (4, None, 0.0, 1.0, "d", "S1"), (5, None, 1.0, 2.0, "e", "Sprecher 1"), (6, "", 0.0, 1.0, "f", "Sprecher 1")]
+    df = spark.createDataFrame(rows, "segment_id bigint, media_id string, start_sec double, end_sec double, text string, speaker string")
+    got = {(r.media_id, r.first_segment_id, r.last_segment_id) for r in turns.speaker_turns(df).collect()}
+    assert got == {("m", 1, 2), ("m", 3, 3), (None, 4, 5), ("", 6, 6)}
+    monkeypatch.setattr(turns, "cluster_labels", lambda forms, similar=0.84: {f: f for f in forms})
+    assert turns.speaker_turns(df).count() == 6
+
+
 def test_a_recording_over_many_partitions_is_stitched(spark, monkeypatch):
     monkeypatch.setattr(turns, "PARTITION_ROWS", 40)
     rng = random.Random(1)
@@ -205,6 +223,27 @@ def test_pages_are_repaired(spark):
     assert got[900].text is None and not got[900].header and not got[901].page_no
 
 
+def test_joined_facts_give_the_rows_of_broadcast_ones(spark, monkeypatch):
+    rng = random.Random(3)
+    good = "modern support of a read-only network and the machine reads the manual before the supper".split()
+    texts = []
+    for i in range(240):
+        ws = [rng.choice(good) for _ in range(30)]
+        if i % 3 == 0:
+            ws[5] = rng.choice(["m0dern", "supp0rt", "rnachine", "supqer"])
+        text = " ".join(ws)
+        texts.append(text.replace("read-only", "read-\nonly", 1) if i % 4 == 0 else text.replace("supp0rt", "sup-\np0rt") if i % 2 else text + "\n")
+    df = spark.createDataFrame([("t", i, f"g{i % 9}", t) for i, t in enumerate([*texts, None, "", "  "])], "tbl string, record_id bigint, grp string, text string")
+    some = sorted(map(tuple, scans.repair_scans(df).collect()), key=str)
+    quick = sorted((r[:6] for r in map(tuple, scans.repair_scans(df, with_text=False).collect())), key=str)
+    for bound in (0, 3):
+        monkeypatch.setattr(scans, "BROADCAST_ROWS", bound)
+        monkeypatch.setattr(scans, "COMMON", 5)
+        assert sorted(map(tuple, scans.repair_scans(df).collect()), key=str) == some
+        assert sorted((r[:6] for r in map(tuple, scans.repair_scans(df, with_text=False).collect())), key=str) == quick
+    assert quick == sorted((r[:6] for r in some), key=str) and sum(r[3] for r in some) >= 60 and any("read-only" in (r[6] or "") for r in some)
+
+
 # -- 5 --------------------------------------------------------------------------------------------------------------------
 
 
@@ -223,6 +262,44 @@ def test_groups_sizes_and_wrong_ids(spark):
     assert sorted(r.size for r in grouping.describe_groups(g).collect()) == sorted(sizes)
 
 
+def test_many_small_groups_are_all_found(spark):
+    rng = np.random.default_rng(8)
+    x = np.repeat(rng.normal(size=(100, 64)), 15, axis=0) + rng.normal(size=(1500, 64)) * 0.25
+    df = spark.createDataFrame([(i, [float(v) for v in r], i // 15) for i, r in enumerate(x)], "vec_id bigint, embedding array<float>, cluster_id int")
+    g = grouping.group_vectors(df).toPandas()
+    assert g.grp.notna().all() and g.groupby("grp").id.agg(lambda s: set(s // 15)).map(len).eq(1).all() and g.grp.nunique() == 100
+
+
+def test_the_flow_decides_the_groups(spark, monkeypatch):
+    """Without the flow no row goes anywhere, and no group is found."""
+    x = np.random.default_rng(8).normal(size=(64,)) + np.random.default_rng(9).normal(size=(400, 64)) * 0.3
+    df = spark.createDataFrame([(i, [float(v) for v in r], 1) for i, r in enumerate(x)], "vec_id bigint, embedding array<float>, cluster_id int")
+    monkeypatch.setattr(grouping, "attractors", lambda to: np.arange(len(to)))
+    assert grouping.group_vectors(df.limit(150)).where("grp is not null").count() == 0
+
+
+def test_squaring_by_joins_equals_the_local_one(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    x = np.repeat(rng.normal(size=(12, 64)), 25, axis=0) + rng.normal(size=(300, 64)) * 0.5
+    nodes = spark.createDataFrame([(i * 7, 1.0 + i % 3, [float(v) for v in r / np.linalg.norm(r)]) for i, r in enumerate(x)], "id bigint, weight double, unit array<float>")
+    edges = grouping.similarity_edges(nodes, 300, 1)
+    local = grouping.markov_clusters(edges).toPandas().sort_values("node").values.tolist()
+    monkeypatch.setattr(grouping, "LOCAL_EDGES", 0)
+    assert grouping.markov_clusters(edges).toPandas().sort_values("node").values.tolist() == local and len({c for _, c in local}) >= 12
+
+
+@pytest.mark.parametrize("rows", [[1, 2, 2], [1, 2, 0, 0], [0], [3, 2, 1, 4, 5, 6, 7, 7]])
+def test_attractors_end_every_chain(rows):
+    to = np.array(rows)
+    got = grouping.attractors(to)
+    for i in range(len(to)):
+        path, at = [], i
+        for _ in range(40):
+            at = to[at]
+            path.append(at)
+        assert got[i] == min(path[20:])
+
+
 # -- 6 --------------------------------------------------------------------------------------------------------------------
 
 
@@ -241,6 +318,37 @@ def test_records_and_parts_get_languages(spark):
     assert got == {(2, "de"), (3, "ru"), (4, "en"), (4, "fr"), (9, "zh")}
 
 
+def _plain_loglik(counts, text):
+    """The likelihoods feature by feature, as the module's docstring has them."""
+    vocabulary = set().union(*counts.values())
+    out = np.zeros(9)
+    kana, han, cyr, dev = (len(p.findall(text)) for p in (languages._KANA, languages._HAN, languages._CYRILLIC, languages._DEVANAGARI))
+    latin = languages._LATIN_WORD.findall(text)
+    out[5], out[8], out[6], out[7] = 2.0 * cyr, 2.0 * dev, 2.0 * han - 2.5 * kana, 2.0 * kana + (1.4 if kana else 1.0) * han
+    if latin and (kana + han + cyr + dev < 3 or len(latin) > 3):
+        s = np.array([sum(np.log(((counts[c][g] if g in vocabulary else 0) + 0.3) / (sum(counts[c].values()) + 0.3 * (len(vocabulary) + 1))) for g in languages.trigrams(text)) for c in languages.LATIN]) / 2
+        out[:5] = s - s.max() + 1.2 * sum(map(len, latin))
+    return out
+
+
+def test_likelihoods_of_a_batch_equal_the_plain_sums():
+    counts = {c: Counter() for c in languages.LATIN}
+    for c, words in languages.SEED.items():
+        counts[c].update(g for w in words.split() for g in languages.trigrams(w) * 3)
+    model = languages.TextModel(counts)
+    texts = ["The list isn’t here.", "", "Où est l'été ?", "Ñandú x", "これはdocumentです", "Привет, мир the of and to", "¿qué?", "zz zzzzz zzzzzz", "中文 15", "हिन्दी में the", "a\x00b", "'quoted' 'x", "the", "ǅ ɏa"]
+    got, words, _, _ = model.logliks(texts)
+    for t, v, w in zip(texts, got, words):
+        assert np.allclose(v, _plain_loglik(counts, t.replace("\x00", " "))), t
+        assert w == len(languages._LATIN_WORD.findall(t))
+
+
+def test_a_hot_null_host_and_two_word_questions(spark):
+    rows = [("g", i, None, "de", "Wo ist die Liste?") for i in range(300)] + [("g", 1000, None, "en", "The list of the week is here. Warum nicht?"), ("g", 1001, "h", None, "Dove si trova la lista?")]
+    df = spark.createDataFrame(rows, "tbl string, record_id bigint, host string, label string, text string")
+    assert {(r.record_id, r.lang) for r in languages.found_cases(languages.language_parts(df)).collect()} == {(1000, "en"), (1000, "de"), (1001, "it")}
+
+
 # -- 7 --------------------------------------------------------------------------------------------------------------------
 
 
