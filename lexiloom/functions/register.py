@@ -21,8 +21,9 @@ def register(spark: SparkSession) -> None:
     from ..operators.retrieval import stemmed_terms
     from ..operators.review import line_diff
     from .calculator import calc, parsed_step
-    from .ocr import clean_ocr
+    from .ocr import clean_ocr_sql
 
-    for name, f in {"calc": calc, "clean_ocr": clean_ocr, "query_coverage": query_coverage, "index_terms": stemmed_terms, "parsed_step": parsed_step, "line_diff": line_diff}.items():
+    for name, f in {"calc": calc, "query_coverage": query_coverage, "index_terms": stemmed_terms, "parsed_step": parsed_step, "line_diff": line_diff}.items():
         spark.udf.register(name, f)
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION clean_ocr(raw STRING) RETURNS STRING RETURN {clean_ocr_sql('raw')}")
     spark.udtf.register("split_text", F.udtf(_SplitText, returnType="chunk_ix int, text string, start int, end int"))

@@ -1,52 +1,70 @@
-"""Documents into overlapping chunks: split at the coarsest separator that works, packed greedily up to the size."""
+"""Documents into overlapping chunks: split at the coarsest separator that works, packed up to the size.
+
+A piece is a span of the text, so a chunk knows its place without being searched for. How many pieces fit and how many are repeated is
+read off the running sum of their lengths.
+"""
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Separators from coarse to fine; the empty one slices.
-SEPARATORS = ("\n\n", "\n", ". ", "! ", "? ", "; ", ", ", " ", "")
+# Separators from coarse to fine; where none is left, a piece is sliced.
+SEPARATORS = ("\n\n", "\n", ". ", "! ", "? ", "; ", ", ", " ")
 
 
-def pieces_of(text: str, size: int, level: int = 0) -> list[str]:
-    if len(text) <= size:
-        return [text] if text else []
-    sep = SEPARATORS[level]
-    if not sep:
-        return [text[i : i + size] for i in range(0, len(text), size)]
-    return [q for p in text.split(sep) if p for q in (pieces_of(p, size, level + 1) if len(p) > size else [p])]
+def piece_spans(text: str, size: int) -> list[tuple[int, int]]:
+    """[start, end) of the pieces, in order; separators are in none of them."""
+    done: list[tuple[int, int]] = []
+    todo = [(0, len(text), 0)]
+    while todo:
+        a, b, level = todo.pop()
+        if b - a <= size:
+            if b > a:
+                done.append((a, b))
+        elif level == len(SEPARATORS):
+            done += [(i, min(i + size, b)) for i in range(a, b, size)]
+        else:
+            sep, parts = SEPARATORS[level], []
+            while (at := text.find(sep, a, b)) >= 0:
+                parts.append((a, at, level + 1))
+                a = at + len(sep)
+            todo += reversed([*parts, (a, b, level + 1)])
+    return done
 
 
 def chunks_of(text: str, size: int = 800, overlap: int = 120) -> list[tuple[str, int, int]]:
-    """(text, start, end): pieces joined by one space; a chunk repeats the last whole pieces of the one before, about ``overlap`` characters."""
+    """(text, start, end): pieces joined by one space; a chunk repeats the last whole pieces of the one before, about ``overlap`` characters.
+
+    ``start`` and ``end`` are where its first piece begins and its last one ends in the text.
+    """
     if overlap >= size:
         raise ValueError("overlap must be smaller than size")
-    pieces = pieces_of(text, size)
-    packed, i = [], 0
-    while i < len(pieces):
-        cur, j = pieces[i], i + 1
-        while j < len(pieces) and len(cur) < size:
-            longer = f"{cur} {pieces[j]}".strip()
-            if len(longer) > size:
-                break
-            cur, j = longer, j + 1
-        packed.append(cur)
-        if j == len(pieces):
+    spans = piece_spans(text, size)
+    words = [text[a:b].rstrip() for a, b in spans]
+    # joined[k]: length of the first k pieces with a space after each that isn't blank; said[k]: the same of all as they stand
+    joined, said = [0], [0]
+    for w, (a, b) in zip(words, spans):
+        joined.append(joined[-1] + (len(w) + 1 if w else 0))
+        said.append(said[-1] + b - a + 1)
+    out, i, n = [], 0, len(spans)
+    while i < n:
+        raw = text[slice(*spans[i])]
+        lead, tail = len(raw) - len(raw.lstrip()), len(raw) - len(words[i])  # the space before goes where a piece follows, the space after stays
+        tail = tail if words[i] and i + 1 < n and words[i + 1] else 0
+        j = i + 1 if len(raw) >= size else max(i + 1, bisect_right(joined, joined[i] + lead - tail + size + 1, i + 1) - 1)
+        body = raw if j == i + 1 else " ".join([words[i] + raw[len(words[i]) :][:tail], *filter(None, words[i + 1 : j])]).strip()
+        start = spans[i][0] + (lead if j > i + 1 else 0)
+        out.append((body, start, spans[j - 1][1]))
+        if j == n:
             break
-        back, got = j, 0
-        while back > i and got < overlap:
-            back -= 1
-            got += len(pieces[back]) + 1
-        i = back if back > i else j
-    out, at = [], 0
-    for c in packed:
-        start = max(text.find(c[:30], at), 0)
-        out.append((c, start, min(start + len(c), len(text))))
-        at = max(0, start - overlap)
+        # the latest piece from which the repeated ones reach the overlap; at least one piece must be new
+        back = max(i, bisect_right(said, said[j] - overlap) - 1) if overlap > 0 else j
+        i = back if i < back else j
     return out
 
 

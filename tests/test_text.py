@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,8 +110,9 @@ def test_coverage():
     ("» Пауза подписки до 3 месяцев", "Пауза подписки до 3 месяцев"), ("e Usage-based billing", "Usage-based billing"), ("“首次付款", "首次付款"), ("[1 सदस्यता को 3 महीने", "सदस्यता को 3 महीने"), ("0 14 दिनों के भीतर", "14 दिनों के भीतर"),
     ("Выручка выросла Ha 18 процентов", "Выручка выросла на 18 процентов"), ("Ha складе 40 позиций", "На складе 40 позиций"), ("HP и OK в одной строке", "HP и OK в одной строке"), ("(a) first option", "(a) first option"), ("Title\n\n  |  \n—\nFirst   point ", "Title\nFirst point"),
 ])
-def test_ocr_lines(raw, clean):
-    assert ocr.clean_lines(raw) == clean
+def test_ocr_lines(spark, raw, clean):
+    df = spark.createDataFrame([(raw,), (None,)], "raw string").select(ocr.clean_ocr("raw").alias("t"))
+    assert [r.t for r in df.collect()] == [clean, None]
 
 
 @pytest.mark.parametrize(("e", "v"), [("(3 + 4) * 2", "14"), ("2 ** 10", "1024"), ("7 // 2", "3"), ("10 / 4", "2.5"), ("-7 % 3", "2")])
@@ -140,6 +144,19 @@ def test_chunks():
         chunking.chunks_of("x", 50, 50)
 
 
+def test_chunks_tell_their_place():
+    rng = random.Random(4)
+    for _ in range(200):
+        text = "".join(rng.choice(["word ", "Satz. ", "\n\n", "Zeile\n", "x" * rng.randint(1, 90), " und, ", "ende! "]) for _ in range(rng.randint(1, 60)))
+        got = chunking.chunks_of(text, 60, 15)
+        assert all(len(c) <= 60 and 0 <= a <= b <= len(text) for c, a, b in got)
+        squeezed = lambda t: re.sub(r"[\s.!,;?]+", "", t)
+        assert all(squeezed(c) == squeezed(text[a:b]) for c, a, b in got)
+        assert all(a2 > a1 and b2 >= b1 for (_, a1, b1), (_, a2, b2) in zip(got, got[1:]))
+        seen = set().union(*(range(a, b) for _, a, b in got))
+        assert all(i in seen for i, ch in enumerate(text) if ch.isalnum())
+
+
 def test_documents_without_text_have_no_chunks(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "a b")], "doc_id bigint, text string")
     assert [(r.id, r.text, r.start, r.end) for r in chunking.split_documents(df).collect()] == [(3, "a b", 0, 3)]
