@@ -239,19 +239,68 @@ def knn_pq_reranked(spark, d):
 @query
 def knn_cells(spark, d):
     v = _vectors(spark, d)
-    return ann.knn_cells(v, _vector_queries(v), ann.cell_centres(v, DIM, 32), 10, DIM, probe=12).select("query_id", "id", "rank", "score")
+    centres = ann.cell_centres(v, DIM, 32)
+    return ann.knn_cells(ann.cell_layout(v, centres, DIM), _vector_queries(v), centres, 10, DIM, probe=12).select("query_id", "id", "rank", "score")
 
 
 @query
 def knn_graph(spark, d):
     v = _vectors(spark, d)
-    return ann.knn_graph(v, _vector_queries(v), 10, DIM, rows_each=4000).select("query_id", "id", "rank", "score")
+    return ann.knn_graph(ann.graph_index(v, DIM, rows_each=4000), _vector_queries(v), 10, DIM).select("query_id", "id", "rank", "score")
 
 
 @query
 def graph_faults(spark, d):
+    return ann.graph_faults(ann.graph_index(_vectors(spark, d), DIM, rows_each=4000))
+
+
+def _contract(found: DataFrame, exact: DataFrame, least: float) -> DataFrame:
+    """(queries, neighbours, reached): over all queries, whether the recall an approximate search owes is reached."""
+    r = retrieval.recall(found, exact, 10).agg(F.count(F.lit(1)).alias("queries"), F.avg("recall").alias("r"))
+    n = exact.agg(F.count(F.lit(1)).alias("neighbours"))
+    return r.join(n, how="cross").select("queries", "neighbours", (F.col("r") >= least).alias("reached"))  # one row each
+
+
+@query
+def cells_recall(spark, d):
+    """Twelve of 32 cells owe nine in ten of the true neighbours."""
+    v = _vectors(spark, d)
+    q, centres = _vector_queries(v), ann.cell_centres(v, DIM, 32)
+    return _contract(ann.knn_cells(ann.cell_layout(v, centres, DIM), q, centres, 10, DIM, probe=12), ann.knn_exact(v, q, 10, DIM), 0.9)
+
+
+@query
+def graph_recall(spark, d):
+    v = _vectors(spark, d)
+    q = _vector_queries(v)
+    return _contract(ann.knn_graph(ann.graph_index(v, DIM, rows_each=4000), q, 10, DIM), ann.knn_exact(v, q, 10, DIM), 0.95)
+
+
+@query
+def pq_recall(spark, d):
+    """Codes alone owe half of the true neighbours."""
+    v = _vectors(spark, d)
+    books, q = ann.pq_train(v, DIM, subspaces=16), _vector_queries(v)
+    return _contract(ann.knn_pq(ann.pq_encode(v, books, DIM), q, books, 10, DIM), ann.knn_exact(v, q, 10, DIM), 0.5)
+
+
+@query
+def pq_reranked_recall(spark, d):
+    v = _vectors(spark, d)
+    books, q = ann.pq_train(v, DIM, subspaces=16), _vector_queries(v)
+    return _contract(ann.rerank(ann.knn_pq(ann.pq_encode(v, books, DIM), q, books, 40, DIM), v, q, 10), ann.knn_exact(v, q, 10, DIM), 0.9)
+
+
+@query
+def beam_sweep(spark, d):
+    """Recall of one index under wider and wider beams: (beam, queries, no_worse), where no_worse tells that a wider beam finds as much."""
     v = _vectors(spark, d)
-    return ann.graph_faults(materialise(ann.graph_edges(v, DIM, rows_each=4000), "graph"), v)
+    q, index = _vector_queries(v), ann.graph_index(v, DIM, rows_each=4000)
+    exact, out = materialise(ann.knn_exact(v, q, 10, DIM), "sweep-exact"), None
+    for beam in (10, 50, 150, 400):
+        r = retrieval.recall(ann.knn_graph(index, q, 10, DIM, beam=beam), exact, 10).agg(F.count(F.lit(1)).alias("queries"), F.avg("recall").alias("recall")).select(F.lit(beam).alias("beam"), "queries", "recall")
+        out = r if out is None else out.unionByName(r)
+    return out.select("beam", "queries", (F.col("recall") >= F.coalesce(F.lag("recall").over(W.orderBy("beam")), F.lit(0.0)) - 0.01).alias("no_worse"))
 
 
 # -- map and topics -----------------------------------------------------------------------------------------------------------------

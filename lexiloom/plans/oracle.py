@@ -211,3 +211,11 @@ ORACLE["sq8_recall"] = _SQ8 + """,
 cos AS (SELECT a.id AS query_id, b.id, list_sum(list_transform(range(1, 65), lambda i: a.v[i] * b.v[i])) / (a.len * b.len) AS s FROM v a, v b WHERE a.id % 100 = 0 AND a.id <> b.id),
 er AS (SELECT query_id, id FROM cos QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, id) <= 10)
 SELECT er.query_id, count(sr.id) / 10 AS recall FROM er LEFT JOIN sr ON er.query_id = sr.query_id AND er.id = sr.id AND rank <= 10 GROUP BY er.query_id"""
+
+_EXACT = f"""
+WITH {VECTORS}, cos AS (SELECT a.id AS query_id, b.id, list_sum(list_transform(range(1, 65), lambda i: a.v[i] * b.v[i])) / (a.len * b.len) AS s FROM v a, v b WHERE a.id % 100 = 0 AND a.id <> b.id),
+ten AS (SELECT query_id, id FROM cos QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, id) <= 10)"""
+# an approximate search owes a share of the neighbours that SQL counts
+for _q in ("cells_recall", "graph_recall", "pq_recall", "pq_reranked_recall"):
+    ORACLE[_q] = _EXACT + " SELECT count(DISTINCT query_id) AS queries, count(*) AS neighbours, TRUE AS reached FROM ten"
+ORACLE["beam_sweep"] = _EXACT + " SELECT CAST(beam AS INTEGER) AS beam, count(DISTINCT query_id) AS queries, TRUE AS no_worse FROM ten, (SELECT unnest([10, 50, 150, 400]) AS beam) GROUP BY beam"

@@ -48,17 +48,18 @@ def shared_dir(spark: SparkSession) -> str:
 _TABLES: list[str] = []
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
+def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back; ``by`` makes a folder for each value, which reads can skip.
 
     This cuts the lineage in a way that survives the loss of any executor, and the column pruning of later reads still works.
     The tables stay until ``release`` or the end of the process, since results may still be read from them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexiloom/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.option("compression", "zstd").parquet(path)
+    out = df.write.option("compression", "zstd")
+    (out.partitionBy(by) if by else out).parquet(path)
     _TABLES.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def release() -> None:

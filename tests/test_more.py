@@ -45,9 +45,10 @@ def test_graph_table_and_projection(spark):
 
     x = np.random.default_rng(2).normal(size=(120, 8))
     v = spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(x)], "id bigint, v array<float>")
-    e = ann.graph_edges(v, 8, m=4, build=20)
-    assert e.count() > 120 and ann.graph_faults(e, v, 4).count() == 0
-    assert {r.fault for r in ann.graph_faults(e.union(spark.createDataFrame([(0, 1, 999), (0, 1, 1)], "part int, src bigint, dst bigint")), v, 4).collect()} >= {"dangling", "self"}
+    index = ann.graph_index(v, 8, m=4, build=20)
+    assert ann.graph_edges(index).count() > 120 and ann.graph_faults(index, 4).count() == 0
+    bad = index.withColumn("links", F.when(F.col("id") == 1, F.array(F.array(F.lit(999), F.lit(1)).cast("array<bigint>"))).when(F.col("id") == 2, F.array(F.sequence(F.lit(3), F.lit(20)).cast("array<bigint>"))).otherwise(F.col("links")))
+    assert {r.fault for r in ann.graph_faults(bad, 4).collect()} == {"dangling", "self", "degree"}
     mean, cov, _ = projection.covariance(v.select("v"), 8)
     comp, share = projection.principal_plane(mean, cov)
     p = projection.project(v, mean, comp, 1.0).orderBy("id").collect()

@@ -61,19 +61,46 @@ def test_product_codes(spark):
 def test_graph_recall(spark, n, dim, least):
     rng = np.random.default_rng(3)
     x, q = rng.normal(size=(n, dim)), rng.normal(size=(20, dim))
-    got = ann.knn_graph(frame(spark, x), frame(spark, q, 0, "query_id bigint, v array<float>"), 10, dim, m=16, build=100, beam=90, rows_each=400, skip_self=False).toPandas()
+    index = ann.graph_index(frame(spark, x), dim, m=16, build=100, rows_each=n)
+    got = ann.knn_graph(index, frame(spark, q, 0, "query_id bigint, v array<float>"), 10, dim, beam=90, skip_self=False).toPandas()
     want = exact_ids(x, q, 10)
     assert np.mean([len(set(g.id) & set(want[i])) / 10 for i, g in got.groupby("query_id")]) >= least
 
 
+def test_a_graph_has_levels_and_takes_any_ids(spark):
+    x = np.random.default_rng(4).normal(size=(600, 8))
+    x[5] = 0
+    v = frame(spark, x, -300)
+    index = ann.graph_index(v, 8, m=4, build=30, rows_each=300)
+    assert index.select(F.max(F.size("links"))).first()[0] >= 3 and index.select("part").distinct().count() > 1 and index.count() == 600
+    q = frame(spark, x[:3], 900, "query_id bigint, v array<float>")
+    assert ann.knn_graph(index, q, 0, 8).count() == 0
+    got = ann.knn_graph(index, q, 40, 8, beam=1, skip_self=False)  # a beam below k counts as k
+    assert {r.query_id: r.id for r in got.where("rank = 1").collect()} == {900: -300, 901: -299, 902: -298} and got.count() == 120
+
+
+def test_more_queries_than_a_block(spark, monkeypatch):
+    x = np.random.default_rng(5).normal(size=(90, 8))
+    v, q = frame(spark, x), frame(spark, x, 0, "query_id bigint, v array<float>")
+    c = ann.cell_centres(v, 8, 4)
+    index, layout = ann.graph_index(v, 8, rows_each=50), ann.cell_layout(v, c, 8)
+    ask = lambda: [sorted(map(tuple, d.select("query_id", "id", "rank").collect())) for d in (ann.knn_exact(v, q, 5, 8), ann.knn_graph(index, q, 5, 8), ann.knn_cells(layout, q, c, 5, 8, 2))]
+    one = ask()
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 7)
+    assert ask() == one and len(one[0]) == 450
+
+
 def test_cells_with_every_cell_are_exact(spark):
     rng = np.random.default_rng(5)
     x, q = rng.normal(size=(300, 16)), rng.normal(size=(5, 16))
     v, qs = frame(spark, x), frame(spark, q, 0, "query_id bigint, v array<float>")
     c = ann.cell_centres(v, 16, 8)
-    every = {(r.query_id, r.id) for r in ann.knn_cells(v, qs, c, 5, 16, 8, False).collect()}
+    layout = ann.cell_layout(v, c, 16)
+    every = {(r.query_id, r.id) for r in ann.knn_cells(layout, qs, c, 5, 16, 8, False).collect()}
     assert every == {(i, int(j)) for i, js in enumerate(exact_ids(x, q, 5)) for j in js}
-    assert ann.knn_cells(v, qs, c, 5, 16, 2, False).count() <= 25
+    assert ann.knn_cells(layout, qs, c, 5, 16, 2, False).count() <= 25
+    plan = ann.knn_cells(layout, qs.limit(1), c, 5, 16, 1, False)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(cell" in plan or "cell#" in plan.split("PartitionFilters: [")[1][:60]
 
 
 # -- retrieval ----------------------------------------------------------------------------------------------------------------
