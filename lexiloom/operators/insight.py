@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions import text as X
+from ..session import materialise
 
 LEXICAL_WEIGHT = 0.6
 
@@ -127,10 +128,11 @@ def gap_table(events: DataFrame, threshold: float = 0.3) -> DataFrame:
 
 
 def merged_gaps(gaps: DataFrame, similarity: float = 0.6) -> DataFrame:
-    """Gaps of similar wording (Jaccard of content words) joined to the earlier of the pair: (canonical, query, ...).
+    """Adds ``canonical``: the wording that a gap of similar wording (Jaccard of content words) goes to, by way of others too.
 
     Candidates share one of the rarest words of either wording, as many as a Jaccard of ``similarity`` demands (prefix filter), so no
-    group of wordings is paired off in full. The canonical wording is the most frequent neighbour, ties to the earlier word order.
+    group of wordings is paired off in full. A gap points at its most frequent neighbour, if that is more frequent than itself (ties: earlier
+    in word order), and the canonical wording is the one at the end of that path.
     """
     g = gaps.select("key", F.array_distinct(X.content_tokens(F.col("query"))).alias("w"), "count").where(F.size("w") > 0)
     t = g.select("key", F.explode("w").alias("term"))
@@ -141,10 +143,24 @@ def merged_gaps(gaps: DataFrame, similarity: float = 0.6) -> DataFrame:
     a, b = prefix.alias("a"), prefix.alias("b")
     pair = a.join(b, (F.col("a.term") == F.col("b.term")) & (F.col("a.key") != F.col("b.key"))).select(F.col("a.key").alias("key"), F.col("b.key").alias("other"), F.col("b.count").alias("weight"), F.col("a.count").alias("own"), X.jaccard(F.col("a.w"), F.col("b.w")).alias("j")).where(F.col("j") >= similarity).distinct()
     up = pair.where((F.col("weight") > F.col("own")) | ((F.col("weight") == F.col("own")) & (F.col("other") < F.col("key"))))
-    to = up.groupBy("key").agg(F.max_by("other", F.struct("weight", "j", "other")).alias("canonical"))
+    to = materialise(up.groupBy("key").agg(F.max_by("other", F.struct("weight", "j", "other")).alias("canonical")), "gap-neighbours")
+    while True:  # a canonical wording may itself go on to another one: pointers are doubled until all end at a root
+        far = to.select(F.col("key").alias("canonical"), F.col("canonical").alias("far"))
+        moved = materialise(to.join(far, "canonical", "left").select("key", F.coalesce("far", "canonical").alias("canonical"), F.col("far").isNotNull().alias("moved")), "gap-roots")
+        to = moved.drop("moved")
+        if not moved.where("moved").limit(1).count():
+            break
     return gaps.join(to, "key", "left").withColumn("canonical", F.coalesce("canonical", "key"))
 
 
+def joined_gaps(gaps: DataFrame, similarity: float = 0.6) -> DataFrame:
+    """The gaps as ``gap_table`` gives them, those of similar wording as one under the wording of their root."""
+    m = materialise(merged_gaps(gaps, similarity), "gaps-with-roots")
+    own = m.where("key = canonical").select(F.col("key").alias("canonical"), "query", "language")
+    sums = m.groupBy("canonical").agg(F.min("confidence").alias("confidence"), F.sum("count").alias("count"), F.max("last_seen").alias("last_seen"))
+    return sums.join(own, "canonical").select(F.col("canonical").alias("key"), "query", "confidence", "count", "last_seen", "language")
+
+
 def ranked_gaps(gaps: DataFrame, limit: int = 20) -> DataFrame:
     """The most frequent, then latest, gaps."""
     return gaps.orderBy(F.desc("count"), F.desc("last_seen"), "query").limit(max(1, min(200, limit)))

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators.insight import gap_table, joined_gaps, keep_most
+from ..session import materialise
 
 
 def _observe(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -35,6 +37,32 @@ def gap_stream(events: DataFrame, threshold: float = 0.3) -> DataFrame:
         "first bigint, query string, language string, confidence double, count bigint, last bigint", "update", "NoTimeout")
 
 
+def observe_gaps(record: DataFrame | None, events: DataFrame, threshold: float = 0.3, similarity: float = 0.6, most: int = 200) -> DataFrame:
+    """The record of gaps after a batch of events (query, confidence, ts, language, hits): new wordings are joined with similar ones known
+    or new, counts add up, and the most frequent, then latest, ``most`` stay."""
+    new = gap_table(events, threshold)
+    if record is not None:
+        both = record.unionByName(new.select(*record.columns))
+        new = both.groupBy("key").agg(F.min_by("query", "last_seen").alias("query"), F.min("confidence").alias("confidence"), F.sum("count").alias("count"), F.max("last_seen").alias("last_seen"), F.min_by("language", "last_seen").alias("language"))
+    return keep_most(joined_gaps(materialise(new, "gaps-seen"), similarity), most)
+
+
+def gap_radar(events: DataFrame, folder: str, checkpoint: str, threshold: float = 0.3, similarity: float = 0.6, most: int = 200) -> DataFrame:
+    """Runs ``observe_gaps`` over all batches of a stream. Each batch writes a version of the record (at most ``most`` rows) from the one
+    before, so a batch seen again gives the same version. Returns the last; drop answered ones with ``insight.resolve``."""
+    spark = events.sparkSession
+    shape = "key string, query string, confidence double, count bigint, last_seen timestamp_ntz, language string" if dict(events.dtypes)["ts"] == "timestamp_ntz" else "key string, query string, confidence double, count bigint, last_seen timestamp, language string"
+    version = lambda i: spark.read.schema(shape).parquet(f"{folder}/version={i}")
+    last = [-1]
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        observe_gaps(version(batch_id - 1) if batch_id else None, batch, threshold, similarity, most).write.mode("overwrite").parquet(f"{folder}/version={batch_id}")
+        last[0] = batch_id
+
+    run_to_end(events, checkpoint, write, "append")
+    return version(last[0]) if last[0] >= 0 else spark.createDataFrame([], shape)
+
+
 def run_to_end(stream: DataFrame, checkpoint: str, sink, mode: str = "update") -> None:
     """Processes all there is: ``sink(batch, batch_id)`` gets each micro-batch; a batch seen again must give the same."""
     stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexiloom.operators import agent, insight, media, projection, retrieval, review
+from lexiloom.operators import agent, folds, insight, media, projection, retrieval, review
 from lexiloom.operators import vectors as ann
 
 
@@ -241,6 +241,32 @@ def test_timeline(spark):
     assert t[0].passage == "[00:00–00:10]\nOn screen: Title\nSpeech: t0"
 
 
+def test_folds_are_stitched_over_partitions(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = []
+    for m, n in (("hot", 900), ("a", 30), ("b", 1)):
+        at = np.cumsum(rng.uniform(0, 9, n))
+        rows += [(m, i, float(s), float(s + rng.uniform(0, 70)), f"t{i}") for i, s in enumerate(at)]
+    df = spark.createDataFrame(rows, "media_id string, segment_id bigint, start_sec double, end_sec double, text string")
+    want = {}
+    for m, i, s, e, _ in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
+        if m not in want:
+            want[m] = [(i, 0)]
+            first, k = s, 0
+        else:
+            if e - first > 60:
+                first, k = s, k + 1
+            want[m].append((i, k))
+    monkeypatch.setattr(folds, "ROWS_EACH", 40)
+    got = {(r.media_id, r.segment_id, r.section) for r in media.speech_sections(df).collect()}
+    assert got == {(m, i, k) for m, v in want.items() for i, k in v}
+    slides = [("hot", i, float(i), "x" * (40 + i // 100 % 3) + f" {i // 130}" + "\n- more" * (i % 130 > 60)) for i in range(900)]
+    cut = media.merge_slides(spark.createDataFrame(slides, "media_id string, keyframe_id bigint, ts_sec double, ocr_text string"))
+    monkeypatch.setattr(folds, "ROWS_EACH", 10**9)
+    whole = media.merge_slides(spark.createDataFrame(slides, "media_id string, keyframe_id bigint, ts_sec double, ocr_text string").coalesce(1))
+    assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, whole.collect())) and 5 < cut.count() < 60
+
+
 def test_slides_and_scenes(spark):
     rows = [("m", 1, 0.0, "Plan\n- one"), ("m", 2, 1.0, "Plan\n- one\n- two"), ("m", 3, 2.0, "Section 1"), ("m", 4, 3.0, "Section 2"), ("m", 5, 4.0, None)]
     got = media.merge_slides(spark.createDataFrame(rows, "media_id string, keyframe_id bigint, ts_sec double, ocr_text string")).orderBy("ts_sec").collect()
