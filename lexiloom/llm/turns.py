@@ -252,8 +252,8 @@ def clean_segments(segments: DataFrame, with_text: bool = True) -> DataFrame:
     return segments.where("segment_id is not null").select(*cols).mapInPandas(run, _CLEAN)
 
 
-#: Label forms of all recordings up to which they are broadcast (about 60 bytes each); beyond, segments are joined with them by a shuffle.
-BROADCAST_FORMS = 500_000
+#: Label forms of all recordings up to which they are broadcast (about 300 bytes each); beyond, segments are joined with them by a shuffle.
+BROADCAST_FORMS = 100_000
 
 
 def canonical_speakers(clean: DataFrame) -> DataFrame:
