@@ -165,6 +165,23 @@ def formatted_hits(snippets: DataFrame) -> DataFrame:
     return snippets.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(block)), lambda s: s["b"]), "\n\n").alias("passages"))
 
 
+def search_tool(hits: DataFrame, asked: DataFrame, corpus: DataFrame, id_col: str, k: int = 3, threshold: float = 0.3) -> DataFrame:
+    """hits (query_id, id, score, vector_score) of several wordings asked(query_id, group_id, query_text) -> (query_id, passages) of each group.
+
+    The best k + 2 records of all wordings go on, since records that repeat a passage are left out; nothing is shown below the threshold
+    of the best confidence of any wording.
+    """
+    from .insight import retrieval_confidence
+
+    best = hits.join(small(asked), "query_id").groupBy("group_id", "id").agg(F.max("score").alias("score"), F.max("vector_score").alias("vector_score"))
+    top = attach(top_k(best, k + 2, by="group_id"), corpus, id_col, "text", F.col("source_name").alias("source"))
+    each = top.join(small(asked), "group_id")
+    sure = retrieval_confidence(each).join(small(asked), "query_id").groupBy("group_id").agg(F.max("confidence").alias("confidence")).where(F.col("confidence") >= threshold)
+    wording = asked.groupBy("group_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("query_id", "query_text"))), lambda s: s["query_text"]), " ").alias("query_text"))
+    shown = top.join(sure.select("group_id"), "group_id", "left_semi").join(small(wording), "group_id").withColumnRenamed("group_id", "query_id")
+    return formatted_hits(distinct_snippets(shown, limit=300, k=k))
+
+
 def auto_context(question: Column, confidence: Column, passages: Column, threshold: float = 0.3) -> Column:
     """Passages where confident; an empty text for a knowledge question without an answer; else null."""
     return F.when(confidence >= threshold, passages).when(X.looks_like_knowledge_question(question), F.lit(""))

@@ -5,6 +5,8 @@ All steps are joins and windows on pair_id, so a table of pairs is reviewed in o
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -31,9 +33,11 @@ PLAIN = ["a", "an", "and", "for", "of", "the", "to", "is", "must", "may", "shoul
 
 
 def citations(documents: DataFrame) -> DataFrame:
-    """documents (pair_id, side, source, text) -> (pair_id, side, source, line, text, section): non-blank lines under the last heading above."""
-    t = F.regexp_replace("text", "^\\ufeff", "")
-    lines = documents.where(F.octet_length("text") <= MAX_BYTES).select("pair_id", "side", "source", F.posexplode(F.split(t, "\\R")).alias("i", "text"))
+    """documents (pair_id, side, source, text) -> (pair_id, side, source, line, text, section): non-blank lines under the last heading above.
+
+    Documents over a limit have no rows here; ``rejected`` names them.
+    """
+    lines = documents.where(_fault(F.col("text")).isNull()).select("pair_id", "side", "source", F.posexplode(_lines(F.col("text"))).alias("i", "text"))
     s = X.strip(F.col("text"))
     head = s.startswith("#")
     w = W.partitionBy("pair_id", "side").orderBy("i")
@@ -41,6 +45,32 @@ def citations(documents: DataFrame) -> DataFrame:
     return marked.where(~head & (s != "")).select("pair_id", "side", "source", (F.col("i") + 1).alias("line"), "text", "section")
 
 
+def _lines(text: Column) -> Column:
+    return F.split(F.regexp_replace(text, "^\\ufeff", ""), "\\R")
+
+
+def _fault(text: Column) -> Column:
+    """Why a document can't be reviewed, or null."""
+    said = F.filter(_lines(text), lambda x: (X.strip(x) != "") & ~X.strip(x).startswith("#"))
+    return (
+        F.when(F.octet_length(text) > MAX_BYTES, f"Each document must be at most {MAX_BYTES // 1024} KiB.")
+        .when(F.size(said) > MAX_LINES, f"Each document must have at most {MAX_LINES} non-heading lines.")
+    )
+
+
+def rejected(documents: DataFrame) -> DataFrame:
+    """(pair_id, side, source, reason) of documents over 128 KiB or 250 lines: a table of pairs goes on without them, but not silently."""
+    return documents.select("pair_id", "side", "source", _fault(F.col("text")).alias("reason")).where("reason is not null")
+
+
+def review(documents: DataFrame, embedder=None) -> DataFrame:
+    """Findings of all pairs; a pair with a rejected side has one finding of kind ``rejected`` with the reasons as its signals."""
+    bad = materialise(rejected(documents), "review-rejected")
+    found = compare(citations(documents.join(bad.select("pair_id"), "pair_id", "left_anti")), embedder)
+    none = F.lit(None).cast("int")
+    return found.unionByName(bad.groupBy("pair_id").agg(F.sort_array(F.collect_set("reason")).alias("signals")).select("pair_id", F.lit("rejected").alias("kind"), none.alias("before_line"), none.alias("after_line"), "signals", F.array().cast("array<int>").alias("alternatives")))
+
+
 def requirement_id(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, ID, 1), F.lit(""))
 
@@ -59,28 +89,89 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.transform(kept, lambda t: F.coalesce(F.try_element_at(same, t), t)))
 
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
-def _embed(text: pd.Series) -> pd.Series:
-    from ..functions.pytext import HashingEmbedder
-
-    return pd.Series(list(HashingEmbedder().embed(text.fillna("").tolist())))
-
+#: From this cosine on, two lines under headings may gain by their sections, if the lines with their sections are this similar.
+NEAR, NEAR_IN_SECTION = 0.55, 0.70
+_SCORES = "pair_id string, before_line int, after_line int, renumbered boolean, score double"
 
-@F.pandas_udf(T.DoubleType())
-def _cos(a: pd.Series, b: pd.Series) -> pd.Series:
-    if not len(a):
-        return pd.Series([], dtype=float)
-    x, y = np.stack(a).astype(float), np.stack(b).astype(float)
-    return pd.Series(np.einsum("ij,ij->i", x, y) / np.maximum(np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1), 1e-8))
 
+def pair_scores(rid: tuple[list, list], text: tuple[list, list], terms: tuple[list, list], cosine: np.ndarray, section: tuple[list, list] | None = None, in_section: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(score, renumbered) of every line before with every line after: 0.55 of the shared terms and 0.45 of the cosine.
 
-def compare(lines: DataFrame) -> DataFrame:
-    """lines (pair_id, side 'before' or 'after', line, text) -> findings (pair_id, kind, before_line, after_line, signals, alternatives).
+    Lines of different ids score nothing, or 1 if only the id differs. With ``in_section`` (cosines of the lines together with their
+    headings) a pair that is similar by itself may count its sections: 0.25, 0.45 and 0.30; headings alone never make a match.
+    """
+    size = np.array([[len(t) for t in side] for side in terms[:1]][0])[:, None] + np.array([len(t) for t in terms[1]])[None, :]
+    index: dict[str, list[int]] = {}
+    for j, ts in enumerate(terms[1]):
+        for t in ts:
+            index.setdefault(t, []).append(j)
+    common = np.zeros(cosine.shape)
+    for i, ts in enumerate(terms[0]):
+        for t in ts:
+            common[i, index.get(t, [])] += 1
+    overlap, similar = common / np.maximum(1, size - common), np.maximum(cosine, 0)
+    score = 0.55 * overlap + 0.45 * similar
+    if in_section is not None:
+        under = np.array([bool(x) for x in section[0]])[:, None] & np.array([bool(x) for x in section[1]])[None, :]
+        gain = under & (similar >= NEAR) & (in_section >= NEAR_IN_SECTION)
+        score = np.where(gain, np.maximum(score, 0.25 * overlap + 0.45 * similar + 0.30 * in_section), score)
+    a, b = (np.array([x or "" for x in side], object) for side in rid)
+    other = (a[:, None] != b[None, :]) & (a != "")[:, None] & (b != "")[None, :]
+    same = np.array(text[0], object)[:, None] == np.array(text[1], object)[None, :]
+    renumbered = other & same & np.array([len(t) > 0 for t in terms[0]])[:, None]
+    return np.where(other, renumbered.astype(float), score), renumbered
+
+
+def _scored(lines: DataFrame, embedder=None) -> DataFrame:
+    """lines (pair_id, side, line, rid, m, terms, section) -> the scores above 0 of each pair's lines.
+
+    A pair has at most ``MAX_LINES`` lines a side, so its scores are one small matrix; pairs stream through in order, and no line is joined
+    with another. Another embedder than hashing turns on the gain by sections.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from ..functions.pytext import HashingEmbedder
+
+        e = embedder or HashingEmbedder()
+        sections = not isinstance(e, HashingEmbedder)
+        held: pd.DataFrame | None = None
+
+        def unit(texts: list[str]) -> np.ndarray:
+            v = np.asarray(e.embed(texts), float)
+            return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-8)
+
+        def scores(p: pd.DataFrame) -> list[tuple]:
+            v = unit(p["m"].tolist())
+            w = unit([f"{s}\n{m}" if s else m for s, m in zip(p["section"], p["m"])]) if sections else None
+            out = []
+            for pair, g in p.reset_index(drop=True).groupby("pair_id", sort=False):
+                x, y = g[g["side"] == "before"], g[g["side"] == "after"]
+                if not len(x) or not len(y):
+                    continue
+                both = lambda c: (x[c].tolist(), y[c].tolist())
+                inside = w[x.index] @ w[y.index].T if sections and any(x["section"]) and any(y["section"]) else None
+                s, renumbered = pair_scores(both("rid"), both("m"), both("terms"), v[x.index] @ v[y.index].T, both("section"), inside)
+                i, j = np.nonzero(s > 0)
+                out += zip([pair] * len(i), x["line"].to_numpy()[i].tolist(), y["line"].to_numpy()[j].tolist(), renumbered[i, j].tolist(), s[i, j].tolist())
+            return out
+
+        for p in batches:
+            p = p if held is None else pd.concat([held, p])
+            last = p["pair_id"] == p["pair_id"].iloc[-1] if len(p) else pd.Series([], dtype=bool)
+            held = p[last]
+            yield pd.DataFrame(scores(p[~last]) if len(p) else [], columns=[c.split()[0] for c in _SCORES.split(", ")])
+        if held is not None and len(held):
+            yield pd.DataFrame(scores(held), columns=[c.split()[0] for c in _SCORES.split(", ")])
+
+    return lines.select(F.col("pair_id").cast("string").alias("pair_id"), "side", "line", "rid", "m", "terms", "section").repartition("pair_id").sortWithinPartitions("pair_id", "side", "line").mapInPandas(run, _SCORES)
+
+
+def compare(lines: DataFrame, embedder=None) -> DataFrame:
+    """lines (pair_id, side 'before' or 'after', line, text, section) -> findings (pair_id, kind, before_line, after_line, signals, alternatives).
 
     Equal lines pair off one by one in order; then ids found once on either side; then the best scored pair, if it is good enough and
     leads every rival of either line by a margin. A line with near rivals is ambiguous; the rest is removed or added.
     """
-    base = lines.select("pair_id", "side", "line", "text", X.strip(F.col("text")).alias("t"), requirement_id(F.col("text")).alias("rid"))
+    base = lines.select(F.col("pair_id").cast("string").alias("pair_id"), "side", "line", "text", "section", X.strip(F.col("text")).alias("t"), requirement_id(F.col("text")).alias("rid"))
     n = base.withColumn("rn", F.row_number().over(W.partitionBy("pair_id", "side", "t").orderBy("line")))
     n = n.withColumn("ids", F.when(F.col("rid").isNotNull(), F.count(F.lit(1)).over(W.partitionBy("pair_id", "side", "rid"))))
     n = materialise(n, "review-lines")
@@ -93,13 +184,9 @@ def compare(lines: DataFrame) -> DataFrame:
     by_id = materialise(by_id, "review-ids")
     b2 = b1.join(by_id.select("pair_id", F.col("before_line").alias("line")), ["pair_id", "line"], "left_anti")
     a2 = a1.join(by_id.select("pair_id", F.col("after_line").alias("line")), ["pair_id", "line"], "left_anti")
-    match = lambda d, p: d.withColumn("m", F.regexp_replace(F.regexp_replace("text", ID, ""), NUMBER, "")).select("pair_id", F.col("line").alias(f"{p}_line"), F.col("rid").alias(f"{p}_rid"), F.trim("m").alias(f"{p}_m"), _terms(F.col("m")).alias(f"{p}_t"), _embed("m").alias(f"{p}_v"))
-    pair = match(b2, "before").join(match(a2, "after"), "pair_id")
-    other = F.coalesce(F.col("before_rid") != F.col("after_rid"), F.lit(False))
-    same = other & (F.size("before_t") > 0) & (F.col("before_m") == F.col("after_m"))
-    overlap = F.size(F.array_intersect("before_t", "after_t")) / F.greatest(F.lit(1), F.size(F.array_union("before_t", "after_t")))
-    score = F.when(same, 1.0).when(other, 0.0).otherwise(0.55 * overlap + 0.45 * F.greatest(F.lit(0.0), _cos("before_v", "after_v")))
-    scored = pair.select("pair_id", "before_line", "after_line", same.alias("renumbered"), score.alias("score"))
+    rest = b2.select(F.lit("before").alias("side"), *b2.columns).unionByName(a2.select(F.lit("after").alias("side"), *a2.columns))
+    plain = F.regexp_replace(F.regexp_replace("text", ID, ""), NUMBER, "")
+    scored = _scored(rest.select("pair_id", "side", "line", "rid", F.trim(plain).alias("m"), _terms(plain).alias("terms"), "section"), embedder)
     row, col = W.partitionBy("pair_id", "before_line"), W.partitionBy("pair_id", "after_line")
     ranked = scored.withColumn("r", F.row_number().over(row.orderBy(F.desc("score"), "after_line"))).withColumn("c", F.row_number().over(col.orderBy(F.desc("score"), "before_line")))
     two = lambda w, k: F.max(F.when(F.col(k) == 2, F.col("score"))).over(w)
@@ -135,6 +222,22 @@ def latest_decisions(findings: DataFrame, log: DataFrame) -> DataFrame:
     return findings.join(last, ["review_id", "finding_ix"], "left").withColumn("decision", F.coalesce("decision", F.lit("pending")))
 
 
+def decision_status(requests: DataFrame, findings: DataFrame, published: DataFrame) -> DataFrame:
+    """requests (review_id, finding_ix, decision) with ``status``: 404 where there is no such review or finding, 422 for an unknown decision,
+    409 once the review is published (published(review_id)), else 200. Only those with 200 belong into the log."""
+    there = findings.select("review_id", "finding_ix").distinct().withColumn("_f", F.lit(True))
+    out = published.select("review_id").distinct().withColumn("_p", F.lit(True))
+    j = requests.join(there, ["review_id", "finding_ix"], "left").join(out, "review_id", "left")
+    status = F.when(F.col("_f").isNull(), 404).when(~F.coalesce(F.col("decision").isin("accepted", "rejected"), F.lit(False)), 422).when(F.col("_p"), 409).otherwise(200)
+    return j.withColumn("status", status).drop("_f", "_p")
+
+
+def publish_status(requests: DataFrame, decided: DataFrame) -> DataFrame:
+    """requests (review_id) with ``status``: 404 for an unknown review, 409 while a finding is pending, else 200, as often as it is asked."""
+    ready = publishable(decided)
+    return requests.join(ready, "review_id", "left").select("review_id", F.when(F.col("ready").isNull(), 404).when(~F.col("ready"), 409).otherwise(200).alias("status"))
+
+
 def publishable(decided: DataFrame) -> DataFrame:
     """(review_id, pending, ready): a review is ready once nothing is pending."""
     p = F.sum(F.when(F.col("decision") == "pending", 1).otherwise(0))

@@ -136,8 +136,7 @@ def cleaned_frames(spark, d):
 
 @query
 def bm25_topk(spark, d):
-    hits = retrieval.top_k(retrieval.bm25_scores(_chunks(spark, d), _questions(spark, d), "chunk_id", "text").withColumn("raw", F.round("raw", 6)), 10, "raw")
-    return hits.select("query_id", F.col("id").alias("chunk_id"), "raw", "rank")
+    return answers(spark, d, _questions(spark, d))
 
 
 @query
@@ -166,12 +165,24 @@ def multi_query_merge(spark, d):
     return retrieval.merge_queries(hits, asked.select("query_id", "group_id"), 5).select("group_id", F.col("id").alias("chunk_id"), "score", "rank")
 
 
-def _answered(spark, d):
+def embedded(spark, d):
+    """(id, v): the chunks' embeddings by the offline embedder, as the store keeps them."""
+    return materialise(retrieval.hashing_embeddings(_chunks(spark, d), "chunk_id", "text").toDF("id", "v"), "embedded-chunks")
+
+
+def hybrid_hits(spark, d, asked, k: int = 8):
+    """The answer path: questions are embedded like the chunks and searched by vector and by stems; (query_id, id, rank, score, vector_score, ...)."""
     chunks = _chunks(spark, d)
+    vectors = retrieval.hashing_embeddings(asked, "query_id", "query_text")
+    near = ann.knn_exact(embedded(spark, d), vectors, 4 * k, 384, skip_self=False).select("query_id", "id", F.col("score").alias("vector"))
+    lexical = retrieval.normalised(retrieval.bm25_scores(chunks, asked, "chunk_id", "text", "stems"), chunks.count()).select("query_id", "id", "lexical")
+    return retrieval.fuse(near, lexical, k).withColumn("score", F.round("score", 6))
+
+
+def _answered(spark, d):
     asked = _questions(spark, d)
-    hits = retrieval.top_k(retrieval.bm25_scores(chunks, asked, "chunk_id", "text", "stems").withColumn("score", F.round("raw", 6)), 8)
-    full = retrieval.attach(hits, chunks, "chunk_id", "text", F.col("source_name").alias("source"))
-    return full.join(retrieval.small(asked), "query_id").withColumn("vector_score", F.lit(0.0))
+    full = retrieval.attach(hybrid_hits(spark, d, asked), _chunks(spark, d), "chunk_id", "text", F.col("source_name").alias("source"))
+    return materialise(full.join(retrieval.small(asked), "query_id"), "answered")
 
 
 @query
@@ -189,6 +200,49 @@ def retrieval_confidence(spark, d):
     return insight.retrieval_confidence(_answered(spark, d)).withColumn("level", X.confidence_level(F.col("confidence")))
 
 
+@query
+def answer_path(spark, d):
+    """From question to what is shown: hybrid search, the gate, distinct snippets of the hits that pass."""
+    a = _answered(spark, d)
+    return retrieval.distinct_snippets(retrieval.confidence_gate(a, insight.retrieval_confidence(a), 0.3), limit=300, k=5)
+
+
+@query
+def search_tool(spark, d):
+    """Each turn's queries searched together, two more than are shown, gated by their best confidence, as one text of passages a turn."""
+    t = _one(spark, d, "turn_insights", "turn_id").where("turn_id % 100 = 0").select("turn_id", F.posexplode("queries").alias("i", "query_text")).where("query_text is not null and trim(query_text) <> ''")
+    asked = t.select((F.col("turn_id") * 1000 + F.col("i")).alias("query_id"), F.col("turn_id").alias("group_id"), "query_text")
+    return retrieval.search_tool(hybrid_hits(spark, d, asked, 5), asked, _chunks(spark, d), "chunk_id", k=3)
+
+
+@query
+def grounded_answers(spark, d):
+    """Transcripts held against the texts on their recording's screen, by words and by the embedder, citations aside."""
+    answers = _one(spark, d, "transcripts", "transcript_id").where("text is not null and media_id is not null")
+    frames = _one(spark, d, "keyframes", "keyframe_id").where("ocr_text is not null")
+    one = frames.withColumn("r", F.row_number().over(W.partitionBy("media_id").orderBy("frame_index", "keyframe_id"))).where("r <= 5")  # an answer is given its five first passages
+    lists = one.groupBy("media_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "ocr_text"))), lambda s: s["ocr_text"]).alias("passages"))
+    turns = answers.join(lists, "media_id").select(F.col("transcript_id").alias("turn_id"), F.col("text").alias("answer"), "passages", F.transform("passages", lambda p: F.lit("screen")).alias("sources"))
+    return insight.grounding_reports(insight.assess_grounding(turns))
+
+
+@query
+def remembered_turns(spark, d):
+    """Memory: for every hundredth question the three earlier-stored questions it is most similar to."""
+    g = _one(spark, d, "gap_records", "gap_id").where("query_text is not null")
+    stored = materialise(retrieval.hashing_embeddings(g, "gap_id", "query_text").toDF("id", "v"), "memory")
+    return ann.knn_exact(stored, stored.where("id % 100 = 0").withColumnRenamed("id", "query_id"), 3, 384).select("query_id", "id", "rank")
+
+
+@query
+def question_coverage(spark, d):
+    """How far every hundredth question's content is found in its best chunk by BM25."""
+    asked = _questions(spark, d)
+    hits = retrieval.top_k(retrieval.bm25_scores(_chunks(spark, d), asked, "chunk_id", "text").withColumn("raw", F.round("raw", 6)), 1, "raw")
+    full = retrieval.attach(hits, _chunks(spark, d), "chunk_id", "text").join(retrieval.small(asked), "query_id")
+    return full.select("query_id", F.round(insight.query_coverage("query_text", "text"), 6).alias("coverage"))
+
+
 @query
 def gated_hits(spark, d):
     a = _answered(spark, d)
@@ -342,7 +396,7 @@ def label_silhouette(spark, d):
 
 @query
 def language_keywords(spark, d):
-    docs = table(spark, d, "documents").where("lang in ('en', 'de', 'fr', 'es', 'it', 'ru')")
+    docs = table(spark, d, "documents").where("lang is not null")
     return projection.class_keywords(docs, "lang", "text", 5).select("lang", "rank", "term", F.round("score", 6).alias("score"))
 
 
@@ -367,6 +421,13 @@ def _gap_events(spark, d):
     return _one(spark, d, "gap_records", "gap_id").select(F.col("query_text").alias("query"), "confidence", F.col("last_seen").alias("ts"), F.col("lang").alias("language"), F.col("hit_count").alias("hits"))
 
 
+def answers(spark, d, questions=None):
+    """The ten best chunks of each question; of all questions, unless some are given."""
+    asked = questions if questions is not None else _one(spark, d, "gap_records", "gap_id").select(F.col("gap_id").alias("query_id"), "query_text")
+    hits = retrieval.top_k(retrieval.bm25_scores(_chunks(spark, d), asked, "chunk_id", "text").withColumn("raw", F.round("raw", 6)), 10, "raw")
+    return hits.select("query_id", F.col("id").alias("chunk_id"), "raw", "rank")
+
+
 def _gaps(spark, d):
     return insight.gap_table(_gap_events(spark, d), 0.3)
 
@@ -376,6 +437,11 @@ def merged_gaps(spark, d):
     return insight.merged_gaps(materialise(_gaps(spark, d), "gaps")).select("key", "canonical", "count")
 
 
+@query
+def joined_gaps(spark, d):
+    return insight.joined_gaps(materialise(_gaps(spark, d), "gaps")).select("key", "confidence", "count", "last_seen")
+
+
 @query
 def gap_stream(spark, d):
     """The gaps as the stream leaves them: the last update of each wording."""
@@ -456,6 +522,12 @@ def speech_sections(spark, d):
     return media.speech_sections(_segments(spark, d))
 
 
+@query
+def timeline_sections(spark, d):
+    t = media.timeline(_segments(spark, d), _scenes(spark, d))
+    return t.select("media_id", "start", "end", "on_screen", "speech")
+
+
 @query
 def media_timeline(spark, d):
     return media.section_passages(media.timeline(_segments(spark, d), _scenes(spark, d)))
@@ -476,7 +548,7 @@ def page_review(spark, d):
     w = W.partitionBy("source_name").orderBy("line_no", "citation_id")
     p = c.select(F.col("citation_id").cast("string").alias("pair_id"), "source_name", "text", F.lead("text").over(w).alias("next")).where("next is not null")
     docs = p.select("pair_id", F.lit("before").alias("side"), F.col("source_name").alias("source"), "text").union(p.select("pair_id", F.lit("after"), "source_name", "next"))
-    return review.compare(review.citations(docs))
+    return review.review(docs)
 
 
 # -- relational base ------------------------------------------------------------------------------------------------------------------------

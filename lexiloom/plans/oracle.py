@@ -160,13 +160,15 @@ m AS (SELECT vec_id, own, label, sum(d) AS s, count(*) AS n FROM d GROUP BY ALL)
 ab AS (SELECT vec_id, max(CASE WHEN own = label THEN n END) AS n, max(CASE WHEN own = label THEN s / greatest(n - 1, 1) END) AS a, min(CASE WHEN own <> label THEN s / n END) AS b FROM m GROUP BY vec_id)
 SELECT round(avg(CASE WHEN n > 1 AND greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END), 6) AS silhouette FROM ab""",
     "language_keywords": f"""
-WITH d AS (SELECT lang, unnest({content('text')}) AS term FROM documents WHERE lang IN ('en', 'de', 'fr', 'es', 'it', 'ru')),
+WITH RECURSIVE d AS (SELECT lang, unnest({content('text')}) AS term FROM documents WHERE lang IS NOT NULL),
 n AS (SELECT lang, term, count(*) AS n FROM d WHERE NOT regexp_full_match(term, '\\p{{Nd}}+') GROUP BY ALL), total AS (SELECT lang, sum(n) AS total FROM n GROUP BY lang),
 o AS (SELECT term, sum(n) AS all_n, count(*) AS classes FROM n GROUP BY term), c AS (SELECT avg(total) AS words, count(*) AS labels FROM total),
-s AS (SELECT lang, term, n / total * ln(1 + words / all_n) AS score, classes = labels AS common FROM n JOIN total USING (lang) JOIN o USING (term), c),
-cj AS (SELECT *, regexp_full_match(term, '[{CJK}]+') AS han FROM s),
-r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY common, round(score, 12) DESC, term) AS rank FROM cj)
-SELECT lang, CAST(rank AS INTEGER) AS rank, term, round(score, 6) AS score FROM r WHERE rank <= 5""",
+s AS (SELECT lang, term, n / total * ln(1 + words / all_n) AS score, classes = labels AND labels > 1 AS common FROM n JOIN total USING (lang) JOIN o USING (term), c),
+r AS (SELECT lang, term, score, CASE WHEN regexp_full_match(term, '[{CJK}]+') THEN string_split(term, '') ELSE [] END AS signs, row_number() OVER (PARTITION BY lang ORDER BY common, round(score, 12) DESC, term) AS r FROM s QUALIFY r <= 250),
+p AS (SELECT lang, CAST(0 AS BIGINT) AS r, CAST(0 AS BIGINT) AS rank, CAST('' AS VARCHAR) AS term, CAST(0 AS DOUBLE) AS score, CAST([] AS VARCHAR[]) AS used FROM total
+  UNION ALL SELECT p.lang, r.r, CASE WHEN NOT list_has_any(r.signs, p.used) THEN p.rank + 1 ELSE p.rank END, CASE WHEN NOT list_has_any(r.signs, p.used) THEN r.term END, r.score, CASE WHEN NOT list_has_any(r.signs, p.used) THEN list_concat(p.used, r.signs) ELSE p.used END
+  FROM p JOIN r ON p.lang = r.lang AND r.r = p.r + 1 WHERE p.rank < 5)
+SELECT lang, CAST(rank AS INTEGER) AS rank, term, round(score, 6) AS score FROM p WHERE term IS NOT NULL AND rank > 0""",
     "lexical_grounding": f"""
 WITH a AS (SELECT transcript_id, any_value(media_id) AS media_id, any_value(text) AS t FROM transcripts WHERE text IS NOT NULL AND media_id IS NOT NULL GROUP BY transcript_id),
 st AS (SELECT transcript_id, media_id, {sentences('t')} AS l FROM a),
@@ -219,3 +221,42 @@ ten AS (SELECT query_id, id FROM cos QUALIFY row_number() OVER (PARTITION BY que
 for _q in ("cells_recall", "graph_recall", "pq_recall", "pq_reranked_recall"):
     ORACLE[_q] = _EXACT + " SELECT count(DISTINCT query_id) AS queries, count(*) AS neighbours, TRUE AS reached FROM ten"
 ORACLE["beam_sweep"] = _EXACT + " SELECT CAST(beam AS INTEGER) AS beam, count(DISTINCT query_id) AS queries, TRUE AS no_worse FROM ten, (SELECT unnest([10, 50, 150, 400]) AS beam) GROUP BY beam"
+
+_PAIRS = f"""
+w AS (SELECT key, list_distinct({content('query')}) AS w, count FROM (SELECT lower(query) AS key, query, count FROM g)), ws AS (SELECT * FROM w WHERE len(w) > 0),
+up AS (SELECT a.key, b.key AS other, b.count AS weight, len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) AS j FROM ws a JOIN ws b ON a.key <> b.key AND (b.count > a.count OR b.count = a.count AND b.key < a.key) WHERE list_has_any(a.w, b.w)),
+near AS (SELECT key, other FROM up WHERE j >= 0.6 QUALIFY row_number() OVER (PARTITION BY key ORDER BY weight DESC, j DESC, other DESC) = 1),
+walk AS (SELECT key, other AS canonical FROM near UNION ALL SELECT walk.key, near.other FROM walk JOIN near ON walk.canonical = near.key),
+root AS (SELECT key, canonical FROM walk WHERE canonical NOT IN (SELECT key FROM near)),
+m AS (SELECT w.key, coalesce(root.canonical, w.key) AS canonical FROM w LEFT JOIN root USING (key))"""
+ORACLE["merged_gaps"] = f"WITH RECURSIVE {GAPS}, {_PAIRS} SELECT m.key, canonical, w.count FROM m JOIN w USING (key)"
+ORACLE["joined_gaps"] = f"WITH RECURSIVE {GAPS}, {_PAIRS} SELECT canonical AS key, min(confidence) AS confidence, CAST(sum(g.count) AS BIGINT) AS count, max(last_seen) AS last_seen FROM m JOIN g ON m.key = lower(g.query) GROUP BY canonical"
+
+# sections: each begins before the first segment that would end later than a minute after the section's start
+_SECTIONS = """
+o AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY start_sec, segment_id) AS k FROM said),
+st AS (SELECT media_id, k, start_sec AS first, CAST(0 AS BIGINT) AS section FROM o WHERE k = 1
+  UNION ALL SELECT o.media_id, o.k, CASE WHEN o.end_sec - st.first > 60 THEN o.start_sec ELSE st.first END, CASE WHEN o.end_sec - st.first > 60 THEN st.section + 1 ELSE st.section END FROM st JOIN o ON o.media_id = st.media_id AND o.k = st.k + 1),
+sec AS (SELECT o.*, st.section FROM o JOIN st USING (media_id, k))"""
+_SAID = "said AS (SELECT media_id, segment_id, start_sec, end_sec, coalesce(text, '') AS text FROM s WHERE start_sec IS NOT NULL AND end_sec IS NOT NULL"
+ORACLE["speech_sections"] = f"WITH RECURSIVE {SEGMENTS}, {_SAID}), {_SECTIONS} SELECT media_id, CAST(section AS INTEGER) AS section, segment_id FROM sec"
+_INSIDE = """inside AS (SELECT s.media_id, segment_id, keyframe_id FROM s JOIN k ON s.media_id = k.media_id AND ts_sec <= (start_sec + s.end_sec) / 2 AND (start_sec + s.end_sec) / 2 < greatest(coalesce(k.end_sec, ts_sec), ts_sec + 1e-6)
+  WHERE ocr_text <> '' AND start_sec IS NOT NULL AND s.end_sec IS NOT NULL QUALIFY row_number() OVER (PARTITION BY s.media_id, segment_id ORDER BY ts_sec, keyframe_id) = 1)"""
+ORACLE["timeline_sections"] = f"""
+WITH RECURSIVE {SEGMENTS}, {FRAMES}, {_INSIDE}, {_SAID} AND segment_id NOT IN (SELECT segment_id FROM inside)), {_SECTIONS},
+shown AS (SELECT i.keyframe_id, string_agg(coalesce(s.text, ''), ' ' ORDER BY start_sec, s.segment_id) AS speech FROM inside i JOIN s ON s.segment_id = i.segment_id GROUP BY i.keyframe_id)
+SELECT media_id, ts_sec AS start, coalesce(end_sec, ts_sec) AS "end", ocr_text AS on_screen, coalesce(speech, '') AS speech FROM k LEFT JOIN shown USING (keyframe_id) WHERE ocr_text <> ''
+UNION ALL SELECT media_id, min(start_sec), arg_max(end_sec, struct_pack(a := start_sec, b := segment_id)), '', string_agg(text, ' ' ORDER BY start_sec, segment_id) FROM sec GROUP BY media_id, section"""
+
+# coverage of a question by a passage: words in any inflection, Han and kana sign by sign
+_STOP = _quoted(sorted(STOPWORDS))
+_COVER = f"""
+qp AS (SELECT top.query_id, lower(qt) AS q, one.text AS p FROM top JOIN q0 USING (query_id) JOIN one ON one.id = top.chunk_id WHERE top.rank = 1),
+t AS (SELECT query_id, list_distinct({tokens('p')}) AS there, {content('q')} AS words, regexp_extract_all(q, '[{CJK}]+') AS runs FROM qp),
+w AS (SELECT query_id, unnest(list_filter(words, lambda w: NOT regexp_full_match(w, '[{CJK}]+'))) AS w, there FROM t),
+wm AS (SELECT query_id, list_contains(there, w) OR (length(w) >= 4 AND regexp_full_match(w, '\\p{{L}}+') AND len(list_filter(there, lambda o: length(o) >= 4 AND o[1:4] = w[1:4] AND len(list_filter(range(1, least(length(o), length(w)) + 1), lambda i: o[1:i] = w[1:i])) >= 0.75 * least(length(o), length(w)))) > 0) AS hit FROM w),
+ru AS (SELECT query_id, there, unnest(runs) AS run FROM t), ch AS (SELECT query_id, there, run, unnest(range(1, length(run) + 1)) AS i FROM ru),
+cp AS (SELECT query_id, there, run, i, list_filter([CASE WHEN i > 1 THEN run[i - 1:i] END, CASE WHEN i < length(run) THEN run[i:i + 1] END], lambda x: x IS NOT NULL) AS pairs FROM ch),
+cm AS (SELECT query_id, CASE WHEN length(run) = 1 THEN list_contains(there, run[i:i]) ELSE list_has_any(there, pairs) END AS hit FROM cp WHERE run[i:i] NOT IN ({_STOP}) AND len(list_filter(pairs, lambda x: x IN ({_STOP}))) = 0),
+hits AS (SELECT query_id, hit FROM wm UNION ALL SELECT query_id, hit FROM cm), cov AS (SELECT query_id, avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END) AS c FROM hits GROUP BY query_id)"""
+ORACLE["question_coverage"] = f"WITH {CHUNKS}, {QUESTIONS}, {ASK}, {BM25}, {SCORES}, {TOP}, {_COVER} SELECT qp.query_id, round(coalesce(c, 0), 6) AS coverage FROM qp LEFT JOIN cov USING (query_id)"

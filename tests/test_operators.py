@@ -297,6 +297,38 @@ def test_near_rivals_are_ambiguous(spark):
     assert [(r.kind, r.before_line, len(r.alternatives)) for r in got] == [("ambiguous", 1, 1)]
 
 
+def test_documents_over_a_limit_are_rejected_with_a_reason(spark):
+    rows = [("p", "before", "a", "x\n" * 251), ("p", "after", "b", "x"), ("q", "before", "a", "# h\n" * 300 + "x\n" * 250), ("q", "after", "b", "é" * 70_000), ("r", "before", "a", "One line.\n" * 250), ("r", "after", "b", "One line.\n" * 249), ("s", "before", "a", None), ("s", "after", "b", "")]
+    docs = spark.createDataFrame(rows, "pair_id string, side string, source string, text string")
+    assert {(r.pair_id, r.side) for r in review.rejected(docs).collect()} == {("p", "before"), ("q", "after")}
+    got = sorted((r.pair_id, r.kind, tuple(r.signals)) for r in review.review(docs).collect())
+    assert got == [("p", "rejected", ("Each document must have at most 250 non-heading lines.",)), ("q", "rejected", ("Each document must be at most 128 KiB.",)), ("r", "removed", ())]
+
+
+def test_sections_help_where_lines_are_similar_by_themselves(spark):
+    class Pointing:
+        """An embedder that knows two directions and a third between them."""
+
+        def embed(self, texts):
+            way = {"a": (1.0, 0.0), "b": (0.6, 0.8)}
+            return np.array([(1.0, 0.05) if "\n" in t else way.get(t.split()[0], (0.0, 1.0)) for t in texts])
+
+    lines = documents(spark, "# Head\na one two", "# Head\nb three four")
+    plain = documents(spark, "a one two", "b three four")
+    assert {r.kind for r in review.compare(lines, Pointing()).collect()} == {"changed"}  # 0.45 * 0.6 + 0.3 * 1.0
+    assert {r.kind for r in review.compare(plain, Pointing()).collect()} == {"removed", "added"}
+    assert {r.kind for r in review.compare(lines).collect()} == {"removed", "added"}  # hashing takes no part in it
+
+
+def test_states_of_a_review(spark):
+    f = spark.createDataFrame([("r", 0), ("r", 1), ("d", 0)], "review_id string, finding_ix int")
+    asked = spark.createDataFrame([("r", 0, "accepted"), ("r", 7, "accepted"), ("x", 0, "accepted"), ("r", 1, "maybe"), ("d", 0, "rejected")], "review_id string, finding_ix int, decision string")
+    got = {(r.review_id, r.finding_ix): r.status for r in review.decision_status(asked, f, spark.createDataFrame([("d",)], "review_id string")).collect()}
+    assert got == {("r", 0): 200, ("r", 7): 404, ("x", 0): 404, ("r", 1): 422, ("d", 0): 409}
+    decided = spark.createDataFrame([("r", "pending"), ("d", "accepted")], "review_id string, decision string")
+    assert {r.review_id: r.status for r in review.publish_status(spark.createDataFrame([("r",), ("d",), ("x",)], "review_id string"), decided).collect()} == {"r": 409, "d": 200, "x": 404}
+
+
 def test_review_lifecycle(spark):
     f = spark.createDataFrame([("r", 0, "changed", "a", "b"), ("r", 1, "removed", "c", None)], "review_id string, finding_ix int, kind string, before_text string, after_text string")
     log = [("r", 1, 0, "rejected"), ("r", 2, 0, "accepted")]
