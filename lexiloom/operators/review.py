@@ -158,7 +158,7 @@ def _scored(lines: DataFrame, embedder=None) -> DataFrame:
             p = p if held is None else pd.concat([held, p])
             last = p["pair_id"] == p["pair_id"].iloc[-1] if len(p) else pd.Series([], dtype=bool)
             held = p[last]
-            yield pd.DataFrame(scores(p[~last]) if len(p) else [], columns=[c.split()[0] for c in _SCORES.split(", ")])
+            yield pd.DataFrame(scores(p[~last]) if not last.all() else [], columns=[c.split()[0] for c in _SCORES.split(", ")])
         if held is not None and len(held):
             yield pd.DataFrame(scores(held), columns=[c.split()[0] for c in _SCORES.split(", ")])
 
