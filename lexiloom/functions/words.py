@@ -28,10 +28,11 @@ LANGUAGE_LETTERS = {"es": "ñ¿¡", "de": "ßäöü", "fr": "çœêëîïôûù
 
 # Beginnings and markers of questions.
 QUESTION_STARTS = (
-    "what|how|which|when|where|why|who|is |are |do |does |can |could |should |"
-    "что|как|какой|какая|какие|каков|сколько|когда|где|почему|зачем|кто|есть ли|можно ли|"
-    "qué|que |cuál|cuánto|cómo|dónde|cuándo|quel|quelle|combien|comment|où|quand|was |wie |welche|wann|wo |gibt es|qual|quanto|come |dove|quando"
-).split("|")
+    "what", "how", "which", "when", "where", "why", "who", "is ", "are ", "do ", "does ", "can ", "could ", "should ", "что", "как", "какой", "какая",
+    "какие", "каков", "сколько", "когда", "где", "почему", "зачем", "кто", "есть ли", "можно ли", "qué", "que ", "cuál", "cuánto", "cómo", "dónde",
+    "cuándo", "quel", "quelle", "combien", "comment", "où", "quand", "was ", "wie ", "welche", "wann", "wo ", "gibt es", "qual", "quanto", "come ",
+    "dove", "quando",
+)
 QUESTION_MARKERS = "吗 什么 多少 怎么 如何 哪 是否 能否 ですか ますか क्या कैसे कितना कितनी कौन".split()
 
 # Replies in nine languages.

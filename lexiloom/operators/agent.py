@@ -47,6 +47,38 @@ def routed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), route(t, F.coalesce(X.looks_like_question(t), F.lit(False)), X.language(t)).alias("r")).select("id", "r.*")
 
 
+def prompts(turns: DataFrame, messages: DataFrame, system: str, window: int = 12) -> DataFrame:
+    """turns (conversation, turn_id, question, context), messages (conversation, seq, role, content) -> (turn_id, prompt): the instructions,
+    the last ``window`` turns of the conversation in order, and the question with what was found for it."""
+    last = conversation_window(messages, "conversation", ["seq"], window)
+    said = last.groupBy("conversation").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "role", "content"))), lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("said"))
+    part = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    asked = F.when(F.coalesce("context", F.lit("")) != "", F.concat(F.lit("Context:\n"), "context", F.lit("\n\nQuestion: "), "question")).otherwise(F.col("question"))
+    none = F.array().cast("array<struct<role:string,content:string>>")
+    return turns.join(said, "conversation", "left").select("turn_id", F.concat(F.array(part("system", F.lit(system))), F.coalesce("said", none), F.array(part("user", asked))).alias("prompt"))
+
+
+def remember(memory: DataFrame | None, texts: DataFrame, embedder_dim: int = 384) -> DataFrame:
+    """The memory (id, text, embedding) with texts (id, text) added; a text of an id remembered before is left out."""
+    from .retrieval import hashing_embeddings
+
+    new = texts.where("id is not null and text is not null").dropDuplicates(["id"])
+    if memory is not None:
+        new = new.join(memory.select("id"), "id", "left_anti")
+    new = new.join(hashing_embeddings(new, "id", "text", embedder_dim), "id").select("id", "text", "embedding")
+    return new if memory is None else memory.select("id", "text", "embedding").unionByName(new)
+
+
+def recall(memory: DataFrame, questions: DataFrame, k: int = 3, embedder_dim: int = 384) -> DataFrame:
+    """questions (query_id, query_text) -> (query_id, rank, id, text): the k texts of the memory most similar to each."""
+    from .retrieval import hashing_embeddings
+    from .vectors import knn_exact
+
+    asked = hashing_embeddings(questions, "query_id", "query_text", embedder_dim)
+    found = knn_exact(memory.select("id", "embedding"), asked, k, embedder_dim, skip_self=False)
+    return found.join(memory.select("id", "text"), "id").select("query_id", "rank", "id", "text")
+
+
 def reply_for(lang, replies: dict[str, str]):
     """Canned reply in the language, English where there is none."""
     m = F.create_map(*[F.lit(x) for kv in replies.items() for x in kv])

@@ -193,6 +193,19 @@ def recall(found: DataFrame, exact: DataFrame, k: int) -> DataFrame:
     return exact.select("query_id").distinct().join(hit, "query_id", "left").select("query_id", (F.coalesce("count", F.lit(0)) / k).alias("recall"))
 
 
+def embedded(df: DataFrame, text_col: str, embedder) -> DataFrame:
+    """Adds ``embedding`` by any embedder (dim, id, embed(texts) -> matrix); equal texts of a batch are embedded once."""
+    @F.pandas_udf("array<float>")
+    def embed(text: pd.Series) -> pd.Series:
+        kinds, which = np.unique(text.fillna("").to_numpy(object).astype(str), return_inverse=True)
+        if not len(kinds):
+            return pd.Series([], dtype=object)
+        v = np.asarray(embedder.embed(kinds.tolist()), np.float32)
+        return pd.Series(list(v[which]))
+
+    return df.withColumn("embedding", embed(text_col))
+
+
 def hashing_embeddings(df: DataFrame, id_col: str, text_col: str, dim: int = 384) -> DataFrame:
     """(id, embedding array<float>) by the offline embedder; null text embeds as the empty one."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -409,6 +409,20 @@ def knn_graph(index: DataFrame, queries: DataFrame, k: int, dim: int, beam: int
     return best_of(out, k, spark)
 
 
+def save_graph(index: DataFrame, folder: str) -> None:
+    """An index as a snapshot: one Parquet file for each part."""
+    index.repartition("part").sortWithinPartitions("part", "id").write.mode("overwrite").parquet(folder)
+
+
+def load_graph(spark, folder: str, m: int = 16) -> DataFrame:
+    """An index from a snapshot; one that is incomplete or has broken links is refused."""
+    index = spark.read.schema(_INDEX).parquet(folder)
+    short = index.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size"), F.min("size").alias("least")).where("n <> size or size <> least").limit(1).count()
+    if short or graph_faults(index, m).limit(1).count():
+        raise ValueError(f"no complete graph index: {folder}")
+    return index
+
+
 def graph_edges(index: DataFrame) -> DataFrame:
     """(part, level, src, dst): the links of an index."""
     return index.select("part", F.col("id").alias("src"), F.posexplode("links").alias("level", "l")).select("part", "level", "src", F.explode("l").alias("dst"))

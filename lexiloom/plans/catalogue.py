@@ -370,6 +370,14 @@ def cluster_summary(spark, d):
     return projection.cluster_summary(_one(spark, d, "vectors", "vec_id"))
 
 
+@query
+def topic_chips(spark, d):
+    """Clusters with their keywords, the largest first."""
+    sizes = projection.cluster_summary(_one(spark, d, "vectors", "vec_id")).select("cluster_id", "size")
+    words = table(spark, d, "map_clusters").select("cluster_id", F.array_join("keywords", " · ").alias("chip"))
+    return sizes.join(words, "cluster_id", "left").orderBy(F.desc("size"), "cluster_id")
+
+
 @query
 def embedding_covariance(spark, d):
     _, cov, _ = projection.covariance(_labelled(spark, d).select("v"), DIM)

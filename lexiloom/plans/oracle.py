@@ -147,6 +147,9 @@ SELECT query_id, id, CAST(rank AS INTEGER) AS rank, round(s, 6) AS score FROM r
     "cluster_summary": """
 WITH o AS (SELECT vec_id, any_value(cluster_id) AS cluster_id, any_value(map_x) AS x, any_value(map_y) AS y FROM vectors GROUP BY vec_id)
 SELECT cluster_id, count(*) AS size, round(avg(x), 4) AS x, round(avg(y), 4) AS y FROM o WHERE cluster_id IS NOT NULL GROUP BY cluster_id""",
+    "topic_chips": """
+WITH o AS (SELECT vec_id, any_value(cluster_id) AS cluster_id FROM vectors GROUP BY vec_id), n AS (SELECT cluster_id, count(*) AS size FROM o WHERE cluster_id IS NOT NULL GROUP BY cluster_id)
+SELECT n.cluster_id, size, array_to_string(keywords, ' · ') AS chip FROM n LEFT JOIN map_clusters USING (cluster_id)""",
     "embedding_covariance": """
 WITH x AS (SELECT vec_id, unnest(range(1, 65)) AS i, unnest(embedding::DOUBLE[]) AS x FROM embeddings), p AS (SELECT a.i - 1 AS i, b.i - 1 AS j, covar_samp(a.x, b.x) AS c FROM x a JOIN x b USING (vec_id) GROUP BY ALL)
 SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(c, 6) + 0.0 AS c FROM p""",

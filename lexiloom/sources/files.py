@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import re
 import zipfile
 from collections.abc import Iterator
 
@@ -124,8 +125,14 @@ def publish_once(spark: SparkSession, folder: str, report: str) -> bool:
         return False
 
 
-def pdf_documents(spark: SparkSession, folder: str, parser=None, most_pages: int = 100) -> DataFrame:
-    """(source, page, line, text, warning) of .pdf files. ``parser(bytes) -> list of page texts`` defaults to pypdf where that is installed."""
+_PROTECTED = re.compile(rb"/Encrypt\s+\d+\s+\d+\s+R|/Encrypt\s*<<")
+
+
+def pdf_documents(spark: SparkSession, folder: str, parser=None, most_pages: int = 100, most_bytes: int = 128 * 1024, most_lines: int = 250) -> DataFrame:
+    """(source, page, line, text, warning) of .pdf files. ``parser(bytes) -> list of page texts`` defaults to pypdf where that is installed.
+
+    A file that is protected by a password, over a limit of pages, text or lines, unreadable or without any text has one row with the reason.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.pdf").load(folder)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -137,17 +144,26 @@ def pdf_documents(spark: SparkSession, folder: str, parser=None, most_pages: int
         for p in batches:
             rows = []
             for path, content in zip(p["path"], p["content"]):
+                said, fault = [], None
                 try:
-                    pages = (parser or default)(bytes(content))
+                    pages = [] if _PROTECTED.search(content) else (parser or default)(bytes(content))
                 except Exception as e:
-                    rows.append((path, None, None, None, f"unreadable: {type(e).__name__}"))
-                    continue
-                if len(pages) > most_pages:
-                    rows.append((path, None, None, None, "too many pages"))
-                    continue
-                for n, text in enumerate(pages, 1):
+                    pages, fault = [], f"unreadable: {type(e).__name__}"
+                for n, text in enumerate(pages[: most_pages + 1], 1):
                     lines = [x.strip() for x in text.splitlines()]
-                    rows += [(path, n, i, x, None) for i, x in enumerate(lines, 1) if x] or [(path, n, None, None, "page without text")]
+                    said += [(path, n, i, x, None) for i, x in enumerate(lines, 1) if x] or [(path, n, None, None, "page without text")]
+                told = [r for r in said if r[3] is not None]
+                if _PROTECTED.search(content):
+                    fault = "protected by a password"
+                elif len(pages) > most_pages:
+                    fault = "too many pages"
+                elif sum(len(t.encode()) for t in pages) > most_bytes:
+                    fault = "too much text"
+                elif len(told) > most_lines:
+                    fault = "too many lines"
+                elif fault is None and not told:
+                    fault = "no text"
+                rows += [(path, None, None, None, fault)] if fault else said
             yield pd.DataFrame(rows, columns=["source", "page", "line", "text", "warning"]).astype({"page": "Int32", "line": "Int32"})
 
     return raw.select("path", "content").mapInPandas(run, "source string, page int, line int, text string, warning string")

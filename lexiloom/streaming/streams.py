@@ -68,18 +68,36 @@ def run_to_end(stream: DataFrame, checkpoint: str, sink, mode: str = "update") -
     stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def ingest(spark: SparkSession, folder: str, schema: str, out: str, checkpoint: str, size: int = 800, overlap: int = 120) -> None:
-    """New document files (doc_id, text, ...) -> chunk files; readers see whole batches only, and a batch is written once."""
+def ingest(spark: SparkSession, folder: str, schema: str, out: str, checkpoint: str, size: int = 800, overlap: int = 120, embedder=None) -> None:
+    """New document files (doc_id, text, ...) -> chunks (id, chunk_ix, text, start, end[, embedding]) in a folder for each batch.
+
+    With an embedder (dim, id, embed) chunks are embedded as they come. A batch is written once, and its version, one more than the batch's
+    number, is written after it; so ``store_version`` counts whole batches only.
+    """
     from ..operators.chunking import split_documents
+    from ..operators.retrieval import embedded
 
     docs = spark.readStream.schema(schema).parquet(folder)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        split_documents(batch, size=size, overlap=overlap).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        chunks = split_documents(batch, size=size, overlap=overlap)
+        (embedded(chunks, "text", embedder) if embedder else chunks).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        version = [(batch_id + 1, embedder.id if embedder else None)]
+        spark.createDataFrame(version, "version bigint, embedder string").coalesce(1).write.mode("overwrite").json(f"{out}/_versions/v={batch_id + 1}")
 
     run_to_end(docs, checkpoint, write, "append")
 
 
+def store_version(spark: SparkSession, out: str) -> int:
+    """Version of a store that ``ingest`` writes; 0 before the first batch."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.schema("version bigint, embedder string").json(f"{out}/_versions/*").agg(F.max("version")).first()[0] or 0
+    except AnalysisException:
+        return 0
+
+
 def tumbling(events: DataFrame, width: str = "1 hour", late: str | None = None) -> DataFrame:
     """(window_start, event_type, n, total); on a stream ``late`` is the watermark."""
     e = events.withWatermark("ts", late) if late else events

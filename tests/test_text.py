@@ -4,7 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from lexiloom.functions import calculator, ocr, pytext
+from lexiloom.functions import calculator, ocr, pytext, stems
 from lexiloom.functions import text as X
 from lexiloom.operators import chunking
 
@@ -92,6 +92,37 @@ def test_snippets():
     assert len(pytext.distinct_snippets(hits, "alpha", 40, 1)) == 1
 
 
+# pairs of the sample vocabularies published with the algorithms
+SAMPLES = {
+    "en": "consistently consist|consolatory consolatori|conspiracies conspiraci|knives knive|knitting knit|hopping hop|hoping hope|generously generous|skies sky|proceed proceed|national nation|relational relat|by by|ties tie|youthful youth",
+    "de": "aufeinanderschlügen aufeinanderschlug|auffallenden auffall|kategorie kategori|kätzchen katzch|verhältnisse verhaltnis|möglichkeiten moglich|kündigungen kundig|größe gross",
+    "fr": "continuellement continuel|continuerait continu|contradictoirement contradictoir|majestueusement majestu|maïs maï|maîtresses maîtress|majeure majeur|remboursements rembours",
+    "es": "toreándolo tor|tórax torax|torpeza torpez|chiquita chiquit|tornados torn|cheques chequ",
+    "it": "abbassandole abbass|abbandonerò abbandon|pronunciarsi pronunc|propagazione propag|propagandare propagand|abbastanza abbast",
+    "ru": "важнейшими важн|важничал важнича|подавленные подавлен|подавиться подав|важностью важност|вагонах вагон|ёлка елк",
+}
+
+
+@pytest.mark.parametrize("lang", sorted(SAMPLES))
+def test_stems_of_the_published_samples(lang):
+    for pair in SAMPLES[lang].split("|"):
+        word, want = pair.split()
+        assert stems.snowball(word, lang) == want, word
+
+
+def test_stems_take_any_word():
+    rng = random.Random(8)
+    for lang, letters in {"en": "aeiouyYbstlingd'", "de": "aeuäößsctnhkeigu", "fr": "aeiouéèïëqsntmly", "es": "aeiouáéíóúñrsndgy", "it": "aeiouàèìòqhcglnrt", "ru": "аеиоуыэюяйтньсявшё"}.items():
+        for _ in range(3000):
+            w = "".join(rng.choice(letters) for _ in range(rng.randint(1, 12)))
+            assert len(stems.snowball(w, lang)) <= 2 * len(w) + 1
+
+
+@pytest.mark.parametrize(("a", "b"), [("тарифы", "тариф"), ("компании", "компания"), ("shipments", "shipment"), ("policies", "policy"), ("versements", "versement"), ("Rechnungen", "Rechnung")])
+def test_inflections_share_their_terms(a, b):
+    assert pytext.index_terms(a) == pytext.index_terms(b)
+
+
 def test_hashing_embedder():
     e = pytext.HashingEmbedder(64)
     a, b, c = e.embed(["refund policy", "refunds policies", "weather report"])
