@@ -35,6 +35,10 @@ BLOCK, LEAF, EDGE_LEAF = 160, 4000, 1024
 #: Similarity below which there is no edge, edges a node keeps in the last graph, its tables, the exponent of inflation, and the least entry.
 NO_EDGE, EDGES, TABLES, INFLATION, PRUNE = 0.3, 12, 4, 2.0, 0.01
 ROUNDS = 12
+#: Exponent of similarities as edges: flow to one heavy node of another group must not outweigh flow spread over the pieces of its own.
+POWER = 4
+#: Rows from which on a node draws flow no more strongly: in a graph that keeps each row's nearest, a large group doesn't outweigh a small one.
+NEIGHBOURS = 32
 #: Entries up to which the last graph is squared in one Arrow call.
 LOCAL_EDGES = 300_000
 #: A member's similarity to its centre is at least this share of the members' median.
@@ -56,8 +60,8 @@ def attractors(to: np.ndarray) -> np.ndarray:
 
 def flow_clusters(x: np.ndarray, weight: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
     """Markov clustering of a small dense set of unit vectors: the attractor of each."""
-    s = (x @ x.T).astype(np.float64)
-    m = np.where(s > NO_EDGE, s, 0.0) ** 2 * weight[:, None]
+    s, weight = (x @ x.T).astype(np.float64), np.minimum(weight, NEIGHBOURS)
+    m = np.where(s > NO_EDGE, s, 0.0) ** POWER * weight[:, None]
     np.fill_diagonal(m, np.maximum(weight, m.max(0)))
     m /= m.sum(0)
     for _ in range(rounds):
@@ -128,11 +132,11 @@ def similarity_edges(nodes: DataFrame, n: int, seed: int) -> DataFrame:
     """(i, j, v): each node's strongest edges j -> i over several tables, weighted by what i stands for, and a loop at each node that has any."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, t in fo.by_leaf(batches):
-            ids, w, x = np.asarray(t.column(1).combine_chunks()), np.asarray(t.column(2).combine_chunks()), matrix_of(t.column(3).combine_chunks())
+            ids, w, x = np.asarray(t.column(1).combine_chunks()), np.minimum(np.asarray(t.column(2).combine_chunks()), NEIGHBOURS), matrix_of(t.column(3).combine_chunks())
             for s in range(0, len(x), 1024):
                 c = x[s : s + 1024] @ x.T
                 c[np.arange(len(c)), s + np.arange(len(c))] = -1
-                v = np.where(c > NO_EDGE, c, 0) ** 2 * w
+                v = np.where(c > NO_EDGE, c, 0) ** POWER * w
                 k = min(EDGES, v.shape[1])
                 top = np.argpartition(-v, k - 1, axis=1)[:, :k]
                 j, at = np.nonzero(np.take_along_axis(v, top, 1) > 0)
@@ -150,6 +154,8 @@ def similarity_edges(nodes: DataFrame, n: int, seed: int) -> DataFrame:
 def _square_locally(i: np.ndarray, j: np.ndarray, v: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
     """(nodes, attractor of each) of a sparse matrix, entry by entry as ``_square_by_joins`` does it."""
     names = np.unique(np.concatenate([i, j]))
+    if not len(names):
+        return names, names
     n, i, j = len(names), np.searchsorted(names, i), np.searchsorted(names, j)
 
     def tidy(code: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -235,7 +241,7 @@ def markov_clusters(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(list(batches), pa.schema([("i", pa.int64()), ("j", pa.int64()), ("v", pa.float64())]))
-        names, to = _square_locally(*(np.asarray(c.combine_chunks()) if len(c) else np.zeros(0, k) for c, k in zip(t.columns, (np.int64, np.int64, float))), rounds)
+        names, to = _square_locally(*(np.asarray(c.combine_chunks()) if len(c) else np.zeros(0, k) for c, k in zip(t.columns, (np.int64, np.int64, np.float64))), rounds)
         yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(to)], ["node", "cluster"])
 
     return edges.coalesce(1).mapInArrow(run, "node bigint, cluster bigint")

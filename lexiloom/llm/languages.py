@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -59,10 +60,14 @@ _LABEL_OF = {n: c for c, ns in NAMES.items() for n in ns.split()}
 _CYRILLIC, _HAN, _KANA, _DEVANAGARI = (re.compile(x) for x in ("[Ѐ-ԯ]", "[㐀-䶿一-鿿豈-﫿]", "[぀-ヿㇰ-ㇿｦ-ﾟ]", "[ऀ-ॿ]"))
 _LATIN_WORD = re.compile(r"[A-Za-zÀ-ɏ]+(?:['’][A-Za-zÀ-ɏ]+)*")
 _QUOTED = re.compile(r"“[^”\n]*”|„[^“”\n]*[“”]|«[^»\n]*»|»[^«\n]*«|\"[^\"\n]*\"|「[^」\n]*」|『[^』\n]*』|‘[^’\n]{3,}’|(?<!\w)'[^'\n]{3,}'(?!\w)")
+_QUOTE = re.compile("[“”„«»\"「『‘']")
+_MAY_END = re.compile("[.!?…。！？।॥].|[\r\n/|·•—–]")
 _END = re.compile(r"(?<=[.!?…])[\"”»’)]*\s+(?=\S)|(?<=[。！？।॥])[\"”»’」』）]*\s*(?=\S)|[\r\n]+|\s+[/|·•]\s+|\s+[—–]\s+(?=[¿¡A-ZÀ-ÝА-Я])")
+_WIDE_SCRIPT, _LATIN_RUN = re.compile("[Ѐ-ԯऀ-ॿ぀-ヿ㐀-鿿]"), re.compile("[A-Za-zÀ-ɏ]")
 _ANY_LETTER = re.compile(r"(?<![0-9A-Za-z])[A-Za-zÀ-ɏ]{2,}(?![0-9])|[^\W\d_A-Za-zÀ-ɏ]")
 
 
+@lru_cache(maxsize=100_000)
 def declared(label: str | None) -> tuple[str | None, str | None]:
     """(language a label names, language its region suffix suggests)."""
     if label is None:
@@ -176,9 +181,9 @@ class TextModel:
 
 def parts_of(text: str) -> list[tuple[int, int]]:
     """[start, end) of the sentences, cut further where a long run of Latin words meets another script."""
-    masked = _QUOTED.sub(lambda m: "\x00" * len(m[0]), text)
+    masked = _QUOTED.sub(lambda m: "\x00" * len(m[0]), text) if _QUOTE.search(text) else text
     out, a = [], 0
-    for m in [*_END.finditer(masked), None]:
+    for m in [*(_END.finditer(masked) if _MAY_END.search(masked) else ()), None]:
         b = m.start() if m else len(text)
         if text[a:b].strip():
             out.append((a, b))
@@ -186,7 +191,7 @@ def parts_of(text: str) -> list[tuple[int, int]]:
     cut = []
     for a, b in out:
         s = masked[a:b]
-        if s.isascii() or not re.search("[Ѐ-ԯऀ-ॿ぀-ヿ㐀-鿿]", s):
+        if s.isascii() or not _WIDE_SCRIPT.search(s) or not _LATIN_RUN.search(s):
             cut.append((a, b))
             continue
         runs = [(m.start(), m.end()) for m in re.finditer(r"[^Ѐ-ԯऀ-ॿ぀-ヿ㐀-鿿]*[A-Za-zÀ-ɏ][^Ѐ-ԯऀ-ॿ぀-ヿ㐀-鿿]*", s) if len(_LATIN_WORD.findall(m[0])) >= 4]
@@ -204,61 +209,70 @@ def parts_of(text: str) -> list[tuple[int, int]]:
 _PARTS = "tbl string, record_id bigint, host string, named string, region string, wordless boolean, mixed boolean, loglik array<double>, post array<double>, starts array<int>, ends array<int>, langs array<string>, sure array<double>"
 
 
+_ENDS = frozenset(".!?…")
+
+
 def _softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(-1, keepdims=True))
     return e / e.sum(-1, keepdims=True)
 
 
-def read_texts(texts: list[str | None], model: TextModel) -> list[tuple]:
-    """(wordless, mixed, loglik of the whole, its text posterior, starts, ends, langs, sureness of the parts) of each text."""
-    spans: list[tuple[int, int, int]] = []
-    bares: list[str] = []
-    for k, text in enumerate(texts):
-        if not text or not _ANY_LETTER.search(text):
-            continue
-        some = len(spans)
-        for a, b in parts_of(text):
-            s = text[a:b]
-            bare = _QUOTED.sub(" ", s)
-            if not _ANY_LETTER.search(bare):
-                bare = s
-            if _ANY_LETTER.search(bare):
-                spans.append((k, a, b))
+class Read:
+    """What a batch of texts tells: arrays by text, and its parts one after the other (``offsets`` says which are whose)."""
+
+    def __init__(self, texts: list[str | None], model: TextModel):
+        n = len(texts)
+        owner: list[int] = []
+        spans: list[tuple[int, int]] = []
+        bares: list[str] = []
+        for k, text in enumerate(texts):
+            if not text or not _ANY_LETTER.search(text):
+                continue
+            some, quoted = len(spans), _QUOTE.search(text)
+            for a, b in parts_of(text):
+                s = text[a:b]
+                bare = _QUOTED.sub(" ", s) if quoted else s
+                if not _ANY_LETTER.search(bare):
+                    bare = s
+                    if not quoted or not _ANY_LETTER.search(s):
+                        continue
+                owner.append(k)
+                spans.append((a, b))
                 bares.append(bare)
-        if len(spans) == some:
-            spans.append((k, 0, len(text)))
-            bares.append(text)
-    nothing = (True, False, [0.0] * 9, [1 / 9] * 9, [], [], [], [])
-    if not spans:
-        return [nothing] * len(texts)
-    scores, words, wide, others = model.logliks(bares)
-    post = _softmax(scores)
-    best = post.argmax(1)
-    sure = post[np.arange(len(post)), best]
-    ended = np.array([b.rstrip(" \t\"'”’»)")[-1:] in tuple(".!?…") for b in bares])
-    # a sentence of two words counts where its text leaves no doubt
-    enough = np.where(best < 5, (words >= 3) | (words == 2) & ended & (sure >= FIRM), np.where((best == 6) | (best == 7), wide >= 4, others >= 2)) & (sure >= 0.9)
-    owner = np.array([k for k, _, _ in spans])
-    total = np.zeros((len(texts), 9))
-    np.add.at(total, owner, scores)
-    posts = _softmax(total)
-    merged: list[list] = []  # text, start, end, language, scores, whole
-    for (k, a, b), lang, whole, v in zip(spans, best.tolist(), enough.tolist(), scores):
-        last = merged[-1] if merged and merged[-1][0] == k else None
-        if last and (last[3] == lang or not whole):
-            last[2], last[4] = b, last[4] + v
-        elif last and not last[5]:
-            last[2:] = [b, lang, last[4] + v, whole]
-        else:
-            merged.append([k, a, b, lang, v, whole])
-    chances = _softmax(np.stack([m[4] for m in merged]))[np.arange(len(merged)), [m[3] for m in merged]].tolist()
-    out: list = [nothing] * len(texts)
-    for m, p in zip(merged, chances):
-        k = m[0]
-        if out[k] is nothing:
-            out[k] = (False, False, total[k].tolist(), posts[k].tolist(), [], [], [], [])
-        out[k][4].append(m[1]), out[k][5].append(m[2]), out[k][6].append(CODES[m[3]]), out[k][7].append(p)
-    return [(r[0], len(set(r[6])) > 1, *r[2:]) for r in out]
+            if len(spans) == some:
+                owner.append(k)
+                spans.append((0, len(text)))
+                bares.append(text)
+        self.loglik = np.zeros((n, 9))
+        merged: list[list] = []  # text, start, end, language, scores, whole
+        if spans:
+            scores, words, wide, others = model.logliks(bares)
+            post = _softmax(scores)
+            best = post.argmax(1)
+            sure = post[np.arange(len(post)), best]
+            ended = np.array([b.rstrip(" \t\"'”’»)")[-1:] in _ENDS for b in bares])
+            # a sentence of two words counts where its text leaves no doubt
+            enough = np.where(best < 5, (words >= 3) | (words == 2) & ended & (sure >= FIRM), np.where((best == 6) | (best == 7), wide >= 4, others >= 2)) & (sure >= 0.9)
+            np.add.at(self.loglik, owner, scores)
+            for k, (a, b), lang, whole, v in zip(owner, spans, best.tolist(), enough.tolist(), scores):
+                last = merged[-1] if merged and merged[-1][0] == k else None
+                if last and (last[3] == lang or not whole):
+                    last[2], last[4] = b, last[4] + v
+                elif last and not last[5]:
+                    last[2:] = [b, lang, last[4] + v, whole]
+                else:
+                    merged.append([k, a, b, lang, v, whole])
+        who = np.array([m[0] for m in merged], np.int64)
+        lang = np.array([m[3] for m in merged], np.int64)
+        self.post = _softmax(self.loglik) if n else np.zeros((0, 9))
+        self.offsets = np.concatenate([[0], np.cumsum(np.bincount(who, minlength=n))]).astype(np.int32)
+        self.starts, self.ends = (np.array([m[i] for m in merged], np.int32) for i in (1, 2))
+        self.langs = np.array(CODES, object)[lang] if len(lang) else np.zeros(0, object)
+        self.sure = _softmax(np.stack([m[4] for m in merged]))[np.arange(len(merged)), lang] if merged else np.zeros(0)
+        self.wordless = np.diff(self.offsets) == 0
+        low, high = np.full(n, 9), np.full(n, -1)
+        np.minimum.at(low, who, lang), np.maximum.at(high, who, lang)
+        self.mixed = high > low
 
 
 def _names_language(label):
@@ -296,13 +310,20 @@ def language_parts(records: DataFrame) -> DataFrame:
     one = materialise(records.select("tbl", "record_id", "host", "label", "text").dropDuplicates(["tbl", "record_id"]), "language-records")
     shared = one.sparkSession.sparkContext.broadcast(_fit(one))
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for p in batches:
-            out = [(t, r, h, *declared(x), *v) for t, r, h, x, v in zip(p["tbl"], p["record_id"], p["host"], p["label"], read_texts(p["text"].tolist(), m))]
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in _PARTS.split(", ")])
-
-    parts = materialise(one.mapInPandas(read, _PARTS), "language-parts")
+        for b in batches:
+            n, r = b.num_rows, Read(b.column(4).to_pylist(), m)
+            told = [declared(x) for x in b.column(3).to_pylist()]
+            nine = pa.array(np.arange(0, 9 * n + 1, 9), pa.int32())
+            ragged = lambda x, kind: pa.ListArray.from_arrays(pa.array(r.offsets), pa.array(x, kind))
+            yield pa.RecordBatch.from_arrays([
+                b.column(0), b.column(1), b.column(2), pa.array([x for x, _ in told], pa.string()), pa.array([x for _, x in told], pa.string()), pa.array(r.wordless), pa.array(r.mixed),
+                pa.ListArray.from_arrays(nine, pa.array(r.loglik.ravel())), pa.ListArray.from_arrays(nine, pa.array(r.post.ravel())),
+                ragged(r.starts, pa.int32()), ragged(r.ends, pa.int32()), ragged(r.langs, pa.string()), ragged(r.sure, pa.float64()),
+            ], [c.split()[0] for c in _PARTS.split(", ")])
+
+    parts = materialise(one.select(F.col("tbl").cast("string"), F.col("record_id").cast("bigint").alias("record_id"), F.col("host").cast("string").alias("host"), "label", "text").mapInArrow(read, _PARTS), "language-parts")
     # host priors: sums of text posteriors by host, smoothed towards the table's, and that towards an even one
     sums = [F.sum(F.col("post")[i]).alias(f"s{i}") for i in range(9)]
     words = parts.where("not wordless")
