@@ -271,11 +271,19 @@ def test_many_small_groups_are_all_found(spark):
 
 
 def test_the_flow_decides_the_groups(spark, monkeypatch):
-    """Without the flow no row goes anywhere, and no group is found."""
-    x = np.random.default_rng(8).normal(size=(64,)) + np.random.default_rng(9).normal(size=(400, 64)) * 0.3
+    """Rows whose chain of attractors is taken away are in no group, however near they are to one another."""
+    rng = np.random.default_rng(8)
+    x = np.repeat(rng.normal(size=(2, 64)), 100, axis=0) + rng.normal(size=(200, 64)) * 0.3
     df = spark.createDataFrame([(i, [float(v) for v in r], 1) for i, r in enumerate(x)], "vec_id bigint, embedding array<float>, cluster_id int")
-    monkeypatch.setattr(grouping, "attractors", lambda to: np.arange(len(to)))
-    assert grouping.group_vectors(df.limit(150)).where("grp is not null").count() == 0
+    assert grouping.group_vectors(df).where("grp is not null").count() == 200
+    flow = grouping.flow_chains
+
+    def without(rows, n, round_):
+        chain, centres, inflow = flow(rows, n, round_)
+        return chain.where("id < 100"), centres, inflow
+
+    monkeypatch.setattr(grouping, "flow_chains", without)
+    assert {r.id for r in grouping.group_vectors(df).where("grp is not null").collect()} == set(range(100))
 
 
 def test_squaring_by_joins_equals_the_local_one(spark, monkeypatch):
