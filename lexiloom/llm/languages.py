@@ -284,8 +284,8 @@ def _names_language(label):
 def _fit(one: DataFrame) -> TextModel:
     """Trigram counts of about ``SAMPLE`` labelled rows; only counts of features reach the driver."""
     latin = ~F.col("text").rlike("[\u0400-\u052f\u0900-\u097f\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff]")
-    labelled = one.where(_names_language(F.col("label")) & F.col("text").rlike(r"\p{L}"))
-    n = labelled.count()
+    labelled = one.where(_names_language(F.col("label")) & F.col("text").isNotNull())
+    n = labelled.count()  # texts are looked at only where they are in the sample
     if n > SAMPLE:
         labelled = labelled.where(F.pmod(F.xxhash64("tbl", "record_id"), F.lit(1 << 40)) < F.lit(int((1 << 40) * SAMPLE / n)))
 

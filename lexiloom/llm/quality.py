@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..session import materialise
 
 STATES = ("prose", "list", "table", "junk")
-OBSERVED = ("sentence", "sentences", "item_sentence", "running", "medium", "short", "item", "cells", "symbols", "mash", "heading", "number", "short_end", "aligned")
+OBSERVED = ("sentence", "sentences", "item_sentence", "running", "medium", "short", "item", "cells", "symbols", "mash", "heading", "number", "short_end")
 _O = {k: i for i, k in enumerate(OBSERVED)}
 
 #: Frequent words of the nine languages.
@@ -173,7 +173,7 @@ def starting_model() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     weight = {
         "prose": dict(sentence=8, sentences=8, item_sentence=4, running=6, medium=2, short=0.5, item=0.2, cells=0.15, heading=1, number=0.1, short_end=1.5, mash=0.05, symbols=0.05),
         "list": dict(item=9, short=5, medium=2, item_sentence=0.3, running=0.2, heading=1, short_end=0.5, number=0.3, cells=0.15),
-        "table": dict(cells=12, number=0.6, short=0.3, symbols=0.4, medium=0.1, aligned=4),
+        "table": dict(cells=12, number=0.6, short=0.3, symbols=0.4, medium=0.1),
         "junk": dict(symbols=8, mash=9, number=0.5, short=0.3, running=0.1, cells=0.4, short_end=0.3, medium=0.1, item=0.2, heading=0.1),
     }
     emit = np.array([[weight[s].get(o, 0.02) for o in OBSERVED] for s in STATES])

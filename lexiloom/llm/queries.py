@@ -143,6 +143,14 @@ def p9_packing(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumnRenamed("first_unit", "first_token").withColumnRenamed("units", "tokens")
 
 
+def p9_space(spark: SparkSession, d: str) -> DataFrame:
+    """(capacity_id, containers, filled): how many containers of each capacity are used, and the share of their space that is."""
+    caps = table(spark, d, "pack_capacities").select("capacity_id", "max_tokens")
+    each = p9_packing(spark, d).groupBy("capacity_id", "container_id").agg(F.sum("tokens").alias("used"))
+    sums = each.groupBy("capacity_id").agg(F.count(F.lit(1)).alias("containers"), F.sum("used").alias("used"))
+    return sums.join(caps, "capacity_id").select("capacity_id", "containers", (F.col("used") / (F.col("containers") * F.col("max_tokens"))).alias("filled"))
+
+
 def p10_stats(spark: SparkSession, d: str) -> DataFrame:
     from .quality import quality_statistics
 
