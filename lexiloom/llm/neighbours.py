@@ -31,9 +31,9 @@ from .forest import DIM
 
 #: Rows at home in a bucket of ``near_pairs`` and of ``query_neighbours``, tables of each.
 LEAF, TABLES = 4000, 2
-QUERY_LEAF, QUERY_TABLES = 256, 4
+QUERY_LEAF, QUERY_TABLES = 128, 4
 #: Wanted chance to bring a pair of the least cosine asked for together; the same for the k nearest of a query.
-RECALL, QUERY_RECALL = 0.96, 0.94
+RECALL, QUERY_RECALL = 0.96, 0.93
 #: What the 16-bit steps may take from a cosine; the exact one decides later.
 ROUNDING = 1e-3
 #: Rows whose similarities to a bucket are held at a time.
