@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
@@ -62,17 +64,32 @@ def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
-def release() -> None:
-    """Deletes all tables ``materialise`` wrote in this process; results not yet read are lost with them."""
+def _drop(paths: list[str]) -> None:
     gateway = SparkContext._gateway
     try:
-        if gateway is not None and _TABLES:
+        if gateway is not None and paths:
             conf = gateway.jvm.org.apache.hadoop.conf.Configuration()
-            for t in _TABLES:
+            for t in paths:
                 path = gateway.jvm.org.apache.hadoop.fs.Path(t)
                 path.getFileSystem(conf).delete(path, True)
     except Exception:  # the JVM may be gone by now
         pass
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Deletes, at its end, the tables that were written inside; for sessions that stay up. Results must be read or saved before."""
+    kept = len(_TABLES)
+    try:
+        yield
+    finally:
+        _drop(_TABLES[kept:])
+        del _TABLES[kept:]
+
+
+def release() -> None:
+    """Deletes all tables ``materialise`` wrote in this process; results not yet read are lost with them."""
+    _drop(_TABLES)
     _TABLES.clear()
     for d in _MADE:
         shutil.rmtree(d.removeprefix("file://"), ignore_errors=True)

@@ -84,3 +84,17 @@ def test_greedy_baseline_and_its_quality(spark):
     want = spark.createDataFrame([("p", 1, 1), ("p", 3, 3)], "pair_id string, before_line int, after_line int")
     q = review.match_quality(got, want, ["pair_id", "before_line", "after_line"]).first()
     assert (q.correct, q.extra, q.missed, q.precision, q.recall) == (1, 1, 1, 0.5, 0.5)
+
+
+def test_scratch_tables_go_with_their_block(spark):
+    import os
+
+    from lexiloom import session
+
+    outer = session.materialise(spark.range(3), "outer")
+    with session.scratch():
+        inner = session.materialise(spark.range(4), "inner").inputFiles()[0]
+        assert os.path.exists(inner.removeprefix("file://"))
+    assert not os.path.exists(inner.removeprefix("file://")) and outer.count() == 3
+    by = session.materialise(spark.range(6).selectExpr("id", "cast(id % 2 as int) as k"), "by", by="k")
+    assert by.columns == ["id", "k"] and by.where("k = 1").count() == 3
