@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -450,26 +451,37 @@ def joined_gaps(spark, d):
     return insight.joined_gaps(materialise(_gaps(spark, d), "gaps")).select("key", "confidence", "count", "last_seen")
 
 
+def _gap_source(spark, d):
+    """The gap records as a stream of files, each id once."""
+    schema = table(spark, d, "gap_records").schema
+    path = f"{d}/gap_records.parquet"
+    # a single file is read through its folder, which is what a file stream watches
+    src = spark.readStream.schema(schema).option("pathGlobFilter", "gap_records.parquet" if _is_file(spark, path) else "*.parquet").parquet(d if _is_file(spark, path) else path)
+    return src.dropDuplicates(["gap_id"]).select(F.col("query_text").alias("query"), "confidence", F.col("last_seen").alias("ts"), F.col("lang").alias("language"), F.col("hit_count").alias("hits"))
+
+
 @query
 def gap_stream(spark, d):
     """The gaps as the stream leaves them: the last update of each wording."""
-    import uuid
-
     from ..streaming.streams import gap_stream as stream
     from ..streaming.streams import run_to_end
 
     at = f"{shared_dir(spark)}/lexiloom/gap-stream-{uuid.uuid4().hex[:8]}"
-    schema = table(spark, d, "gap_records").schema
-    path = f"{d}/gap_records.parquet"
-    # a single file is read through its folder, which is what a file stream watches
-    src = spark.readStream.schema(schema).option("pathGlobFilter", "gap_records.parquet" if _is_file(spark, path) else "*.parquet").parquet(d if _is_file(spark, path) else path)
-    e = src.dropDuplicates(["gap_id"]).select(F.col("query_text").alias("query"), "confidence", F.col("last_seen").alias("ts"), F.col("lang").alias("language"), F.col("hit_count").alias("hits"))
-    run_to_end(stream(e), f"{at}/checkpoint", lambda b, i: b.withColumn("batch", F.lit(i)).write.mode("overwrite").parquet(f"{at}/out/b={i}"))
+    run_to_end(stream(_gap_source(spark, d)), f"{at}/checkpoint", lambda b, i: b.withColumn("batch", F.lit(i)).write.mode("overwrite").parquet(f"{at}/out/b={i}"))
     out = spark.read.parquet(f"{at}/out")
     w = W.partitionBy("key").orderBy(F.desc("batch"), F.desc("count"))
     return out.withColumn("r", F.row_number().over(w)).where("r = 1").select("query", "confidence", "count", "last_seen")
 
 
+@query
+def gap_record(spark, d):
+    """The bounded record a stream of unanswered questions leaves: similar wordings joined, the 200 most frequent kept."""
+    from ..streaming.streams import gap_radar
+
+    at = f"{shared_dir(spark)}/lexiloom/gap-record-{uuid.uuid4().hex[:8]}"
+    return gap_radar(_gap_source(spark, d), f"{at}/record", f"{at}/checkpoint").select("key", "confidence", "count", "last_seen")
+
+
 def _is_file(spark, path: str) -> bool:
     j = spark._jvm.org.apache.hadoop.fs.Path(path)
     return j.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(j).isFile()

@@ -234,6 +234,9 @@ root AS (SELECT key, canonical FROM walk WHERE canonical NOT IN (SELECT key FROM
 m AS (SELECT w.key, coalesce(root.canonical, w.key) AS canonical FROM w LEFT JOIN root USING (key))"""
 ORACLE["merged_gaps"] = f"WITH RECURSIVE {GAPS}, {_PAIRS} SELECT m.key, canonical, w.count FROM m JOIN w USING (key)"
 ORACLE["joined_gaps"] = f"WITH RECURSIVE {GAPS}, {_PAIRS} SELECT canonical AS key, min(confidence) AS confidence, CAST(sum(g.count) AS BIGINT) AS count, max(last_seen) AS last_seen FROM m JOIN g ON m.key = lower(g.query) GROUP BY canonical"
+ORACLE["gap_record"] = f"""
+WITH RECURSIVE {GAPS}, {_PAIRS}, j AS (SELECT canonical AS key, min(confidence) AS confidence, CAST(sum(g.count) AS BIGINT) AS count, max(last_seen) AS last_seen FROM m JOIN g ON m.key = lower(g.query) GROUP BY canonical)
+SELECT j.key, j.confidence, j.count, j.last_seen FROM j JOIN g ON j.key = lower(g.query) ORDER BY j.count DESC, j.last_seen DESC, g.query LIMIT 200"""
 
 # sections: each begins before the first segment that would end later than a minute after the section's start
 _SECTIONS = """
