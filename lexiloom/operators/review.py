@@ -100,7 +100,7 @@ def pair_scores(rid: tuple[list, list], text: tuple[list, list], terms: tuple[li
     Lines of different ids score nothing, or 1 if only the id differs. With ``in_section`` (cosines of the lines together with their
     headings) a pair that is similar by itself may count its sections: 0.25, 0.45 and 0.30; headings alone never make a match.
     """
-    size = np.array([[len(t) for t in side] for side in terms[:1]][0])[:, None] + np.array([len(t) for t in terms[1]])[None, :]
+    size = np.array([len(t) for t in terms[0]])[:, None] + np.array([len(t) for t in terms[1]])[None, :]
     index: dict[str, list[int]] = {}
     for j, ts in enumerate(terms[1]):
         for t in ts:
@@ -142,16 +142,22 @@ def _scored(lines: DataFrame, embedder=None) -> DataFrame:
         def scores(p: pd.DataFrame) -> list[tuple]:
             v = unit(p["m"].tolist())
             w = unit([f"{s}\n{m}" if s else m for s, m in zip(p["section"], p["m"])]) if sections else None
-            out = []
-            for pair, g in p.reset_index(drop=True).groupby("pair_id", sort=False):
-                x, y = g[g["side"] == "before"], g[g["side"] == "after"]
-                if not len(x) or not len(y):
+            cols = {c: p[c].tolist() for c in ("pair_id", "side", "line", "rid", "m", "terms", "section")}
+            out, n, at = [], len(p), 0
+            while at < n:  # rows lie by pair, then the lines after, then the lines before
+                pair, end = cols["pair_id"][at], at
+                while end < n and cols["pair_id"][end] == pair:
+                    end += 1
+                mid = next((k for k in range(at, end) if cols["side"][k] == "before"), end)
+                before, after, at = slice(mid, end), slice(at, mid), end
+                if before.start == before.stop or after.start == after.stop:
                     continue
-                both = lambda c: (x[c].tolist(), y[c].tolist())
-                inside = w[x.index] @ w[y.index].T if sections and any(x["section"]) and any(y["section"]) else None
-                s, renumbered = pair_scores(both("rid"), both("m"), both("terms"), v[x.index] @ v[y.index].T, both("section"), inside)
+                both = lambda c: (cols[c][before], cols[c][after])  # noqa: B023, E731
+                inside = w[before] @ w[after].T if sections and any(cols["section"][before]) and any(cols["section"][after]) else None
+                s, renumbered = pair_scores(both("rid"), both("m"), both("terms"), v[before] @ v[after].T, both("section"), inside)
                 i, j = np.nonzero(s > 0)
-                out += zip([pair] * len(i), x["line"].to_numpy()[i].tolist(), y["line"].to_numpy()[j].tolist(), renumbered[i, j].tolist(), s[i, j].tolist())
+                x, y = both("line")
+                out += [(pair, x[a], y[b], r, z) for a, b, r, z in zip(i.tolist(), j.tolist(), renumbered[i, j].tolist(), s[i, j].tolist())]
             return out
 
         for p in batches:

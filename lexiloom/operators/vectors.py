@@ -37,11 +37,14 @@ class BestK:
 
     def add(self, scores: np.ndarray, ids: np.ndarray, of: np.ndarray | None = None) -> None:
         """scores [queries, rows]; -inf marks a row that isn't a candidate. ``of``: the queries meant, where they aren't all."""
-        at, r = np.nonzero((scores >= (self.score if of is None else self.score[of])[:, -1:]) & (scores > -np.inf))
+        k, least = self.k, (self.score if of is None else self.score[of])[:, -1]
+        if scores.shape[1] > k and np.count_nonzero(scores >= least[:, None]) > 4 * k * len(scores):
+            least = np.maximum(least, np.partition(scores, -k, axis=1)[:, -k])  # ties with the k-th stay
+        at, r = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
         if not len(at):
             return
         q = at if of is None else of[at]
-        k, touched = self.k, np.unique(q)
+        touched = np.unique(q)
         q_all = np.concatenate([np.repeat(touched, k), q])
         s_all = np.concatenate([self.score[touched].ravel(), scores[at, r]])
         i_all = np.concatenate([self.id[touched].ravel(), ids[r]])
