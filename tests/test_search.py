@@ -81,6 +81,11 @@ def test_answer_path_answers_every_question(spark):
     assert got <= questions(spark) and any(q % 100 for q in got)
 
 
+def test_search_tool_serves_every_turn(spark):
+    got = [r[0] for r in QUERIES["search_tool"](spark, SMALL).select("query_id").collect()]
+    assert len(got) == len(set(got)) and sum(q % 100 != 0 for q in got) > 0.5 * len(got) > 10
+
+
 def test_what_holds_for_a_wording_holds_for_every_id(spark):
     asked = spark.createDataFrame([(7, "a"), (3, "a"), (5, "b")], "query_id bigint, query_text string")
     once = catalogue._once(asked)
