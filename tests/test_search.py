@@ -78,7 +78,13 @@ def questions(spark):
 
 def test_answer_path_answers_every_question(spark):
     got = {r[0] for r in QUERIES["answer_path"](spark, SMALL).select("query_id").collect()}
-    assert got <= questions(spark) and any(q % 100 for q in got)
+    sure = {r.query_id for r in QUERIES["turn_insight"](spark, SMALL).collect() if not r.gap}
+    assert got <= questions(spark) and sure <= got and any(q % 100 for q in got)
+
+
+def test_turn_insight_has_a_row_for_every_question(spark):
+    got = [r[0] for r in QUERIES["turn_insight"](spark, SMALL).select("query_id").collect()]
+    assert len(got) == len(set(got)) and set(got) == questions(spark)
 
 
 def test_search_tool_serves_every_turn(spark):
