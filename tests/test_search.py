@@ -72,6 +72,19 @@ def test_no_records_and_no_queries(spark, tables):
     assert search.Corpus(docs, "id", "text").best(asked.limit(0), 3).count() == 0
 
 
+LISTED = ["hybrid_topk"]
+
+
+@pytest.mark.parametrize("name", LISTED)
+def test_no_search_writes_every_pair(spark, monkeypatch, name):
+    """The joins, which list each pair of a query and a record that share a term, serve tiny tables with negative floors only."""
+    def never(*_, **__):
+        raise AssertionError("all pairs are listed")
+
+    monkeypatch.setattr(retrieval, "bm25_scores", never)
+    assert QUERIES[name](spark, SMALL).count() >= 0
+
+
 def questions(spark):
     return {r[0] for r in spark.read.parquet(f"{SMALL}/gap_records.parquet").select("gap_id").distinct().collect()}
 
