@@ -72,7 +72,7 @@ def test_no_records_and_no_queries(spark, tables):
     assert search.Corpus(docs, "id", "text").best(asked.limit(0), 3).count() == 0
 
 
-LISTED = ["hybrid_topk", "multi_query_merge"]
+LISTED = ["hybrid_topk", "multi_query_merge", "retrieval_passages"]
 
 
 @pytest.mark.parametrize("name", LISTED)
