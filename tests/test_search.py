@@ -72,7 +72,7 @@ def test_no_records_and_no_queries(spark, tables):
     assert search.Corpus(docs, "id", "text").best(asked.limit(0), 3).count() == 0
 
 
-LISTED = ["hybrid_topk", "multi_query_merge", "retrieval_passages", "gated_hits", "retrieval_confidence", "retrieval_snippets", "search_tool", "turn_insight"]
+LISTED = ["hybrid_topk", "multi_query_merge", "retrieval_passages", "gated_hits", "retrieval_confidence", "retrieval_snippets", "search_tool", "turn_insight", "answer_path"]
 
 
 @pytest.mark.parametrize("name", LISTED)
