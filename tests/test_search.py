@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexiloom.functions.pytext import HashingEmbedder
+from lexiloom import session
 from lexiloom.operators import retrieval, search
 from lexiloom.operators import vectors as ann
 from lexiloom.plans import catalogue
@@ -110,3 +111,32 @@ def test_what_holds_for_a_wording_holds_for_every_id(spark):
     once = catalogue._once(asked)
     assert rows(once, "query_id", "query_text") == [(3, "a"), (5, "b")]
     assert rows(catalogue._for_every(once.select("query_id", F.lit(1).alias("x")), asked, once), "query_id", "x") == [(3, 1), (5, 1), (7, 1)]
+
+
+@pytest.mark.parametrize("name", ["retrieval_passages"])
+def test_no_text_goes_on_with_its_hits(spark, monkeypatch, name):
+    """Coverage and snippets are computed where the text lies, so that no table has a chunk's text once for each of its hits."""
+    seen, real = [], session.materialise
+
+    def watched(df, *more):
+        seen.append(df.columns)
+        return real(df, *more)
+
+    for module in (catalogue, session):
+        monkeypatch.setattr(module, "materialise", watched)
+    QUERIES[name](spark, SMALL).count()
+    assert seen and not any("text" in columns for columns in seen)
+
+
+@pytest.mark.parametrize("parts, most", [(1, 500_000), (9, 500_000), (9, 0)])
+def test_each_key_once_by_its_least_row(spark, monkeypatch, tmp_path, parts, most):
+    monkeypatch.setattr(retrieval, "BROADCAST_ROWS", most)
+    made = [(i, f"t{i}", None) for i in range(40)] + [(3, "a", "z"), (3, "t3", "y"), (None, "b", None), (None, "a", "x"), (7, None, None), (7, "t7", "c")]
+    spark.createDataFrame(made, "id bigint, text string, source string").repartition(parts).write.parquet(str(tmp_path / "t"))
+    once = retrieval.each_once(spark.read.parquet(str(tmp_path / "t")), "id")
+    want = {i: (i, f"t{i}", None) for i in range(40)} | {3: (3, "a", "z"), None: (None, "a", "x"), 7: (7, None, None)}
+    got = [tuple(r) for r in once.collect()]
+    assert len(got) == len(want) and {r[0]: r for r in got} == want
+    if parts > 4 and most:
+        plan = once._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+        assert plan.count("Exchange hashpartitioning") == 1  # of the rows whose key repeats
