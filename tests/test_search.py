@@ -113,7 +113,7 @@ def test_what_holds_for_a_wording_holds_for_every_id(spark):
     assert rows(catalogue._for_every(once.select("query_id", F.lit(1).alias("x")), asked, once), "query_id", "x") == [(3, 1), (5, 1), (7, 1)]
 
 
-@pytest.mark.parametrize("name", ["retrieval_passages", "gated_hits", "retrieval_confidence", "retrieval_snippets", "search_tool"])
+@pytest.mark.parametrize("name", ["retrieval_passages", "gated_hits", "retrieval_confidence", "retrieval_snippets", "search_tool", "turn_insight"])
 def test_no_text_goes_on_with_its_hits(spark, monkeypatch, name):
     """Coverage and snippets are computed where the text lies, so that no table has a chunk's text once for each of its hits."""
     seen, real = [], session.materialise
