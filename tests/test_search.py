@@ -1,7 +1,10 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lexiloom.functions import pytext
 from lexiloom.functions.pytext import HashingEmbedder
 from lexiloom import session
 from lexiloom.operators import retrieval, search
@@ -140,3 +143,29 @@ def test_each_key_once_by_its_least_row(spark, monkeypatch, tmp_path, parts, mos
     if parts > 4 and most:
         plan = once._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
         assert plan.count("Exchange hashpartitioning") == 1  # of the rows whose key repeats
+
+
+def test_words_are_the_same_by_the_quick_ways():
+    """Latin-1 texts are split as bytes, others without Han and marks by a plainer pattern; both give what the full pattern gives."""
+    rng = np.random.default_rng(5)
+    letters = "abZ019_ é²½ß'\x1c\t\n-\xa0’०́あ漢кЁñ¿Ⅷ٣ſİ "
+    made = ["".join(rng.choice(list(letters[: int(rng.integers(5, len(letters) + 1))]), int(rng.integers(0, 30)))) for _ in range(3000)]
+    for t in [*made, "L'été, der Maß_stab 2½", "naïve\u0301 text", "Планы 2-го"]:
+        want = []
+        for x in pytext._TOKEN.findall(t.lower()):
+            want += [x[i : i + 2] for i in range(len(x) - 1)] if len(x) > 1 and pytext.is_cjk(x) else [x]
+        assert pytext.tokens(t) == want
+        words = pytext._latin_words(t.lower(), pytext._LATIN_LETTERS)
+        assert words is None or words == re.findall(r"[^\W\d_]+", t.lower())
+
+
+def test_a_vector_is_one_value_of_bytes(spark, tables):
+    """No list of positions and counts is written for each record, but a byte for each of its numbers, or four where one is large."""
+    assert search.Corpus(tables[0], "id", "text", "stems", 48).rows.columns == ["id", "terms", "tf", "dl", "vector"]
+    v = np.array([[0, -3, 127], [1, 70_000, -2], [-128, 0, 0], [0, 0, 0]], float)
+    packed = search._packed(v)
+    assert [len(x) for x in packed.to_pylist()] == [3, 12, 12, 3]
+    assert (search._unpacked(packed, 3) == v).all() and (search._unpacked(packed.slice(2), 3) == v[2:]).all() and (search._unpacked(packed.slice(3), 3) == 0).all()
+    docs = spark.createDataFrame([(0, "refund " * 300), (1, "refund limit")], "id bigint, text string")
+    asked = spark.createDataFrame([(0, "refund limit")], "query_id bigint, query_text string")
+    assert rows(search.Corpus(docs, "id", "text", "stems", 64).hybrid(asked, 2, 2), "id")
