@@ -169,3 +169,25 @@ def test_a_vector_is_one_value_of_bytes(spark, tables):
     docs = spark.createDataFrame([(0, "refund " * 300), (1, "refund limit")], "id bigint, text string")
     asked = spark.createDataFrame([(0, "refund limit")], "query_id bigint, query_text string")
     assert rows(search.Corpus(docs, "id", "text", "stems", 64).hybrid(asked, 2, 2), "id")
+
+
+def test_many_queries_meet_all_rows_in_one_task_each(spark, tables, monkeypatch):
+    """Then no task's losers are shuffled; ranks and scores are those of the tasks that share their queries."""
+    docs, asked = tables
+    corpus = search.Corpus(docs, "id", "text", "stems", 64)
+    cols = ("query_id", "rank", "id", "score", "vector_score", "lexical_score")
+    want = rows(corpus.hybrid(asked, 3, 9), *cols)
+    sent, real = [], search._pass
+
+    def watched(*a, **kw):
+        out = real(*a, **kw)
+        sent.append((out.count(), out.rdd.getNumPartitions()))
+        return out
+
+    monkeypatch.setattr(search, "_pass", watched)
+    corpus.hybrid(asked, 3, 9)
+    monkeypatch.setattr(search, "WHOLE_QUERIES", 1)
+    assert rows(corpus.hybrid(asked, 3, 9), *cols) == want
+    (shared, _), (whole, tasks) = sent
+    assert tasks >= spark.sparkContext.defaultParallelism and len(want) <= whole < 0.5 * shared
+    assert corpus.hybrid(asked.limit(0), 3, 9).count() == 0
