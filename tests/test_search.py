@@ -191,3 +191,12 @@ def test_many_queries_meet_all_rows_in_one_task_each(spark, tables, monkeypatch)
     (shared, _), (whole, tasks) = sent
     assert tasks >= spark.sparkContext.defaultParallelism and len(want) <= whole < 0.5 * shared
     assert corpus.hybrid(asked.limit(0), 3, 9).count() == 0
+
+
+@pytest.mark.parametrize("name", ["retrieval_confidence"])
+def test_no_query_writes_lists_of_positions(spark, monkeypatch, name):
+    """A record's vector is one value in the table each record is analysed into."""
+    seen = {}
+    monkeypatch.setattr(search, "materialise", lambda df, made: seen.update({made: df.columns}) or session.materialise(df, made))
+    QUERIES[name](spark, SMALL).count()
+    assert seen["analysed"] == ["id", "terms", "tf", "dl", "vector"]
