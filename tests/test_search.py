@@ -193,7 +193,7 @@ def test_many_queries_meet_all_rows_in_one_task_each(spark, tables, monkeypatch)
     assert corpus.hybrid(asked.limit(0), 3, 9).count() == 0
 
 
-@pytest.mark.parametrize("name", ["retrieval_confidence", "retrieval_snippets"])
+@pytest.mark.parametrize("name", ["retrieval_confidence", "retrieval_snippets", "search_tool"])
 def test_no_query_writes_lists_of_positions(spark, monkeypatch, name):
     """A record's vector is one value in the table each record is analysed into."""
     seen = {}
