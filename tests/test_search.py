@@ -1,4 +1,5 @@
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -8,6 +9,7 @@ from lexiloom.functions import pytext
 from lexiloom.functions.pytext import HashingEmbedder
 from lexiloom import session
 from lexiloom.operators import retrieval, search
+from lexiloom.operators.insight import retrieval_confidence
 from lexiloom.operators import vectors as ann
 from lexiloom.plans import catalogue
 from lexiloom.plans.catalogue import QUERIES
@@ -200,3 +202,47 @@ def test_no_query_writes_lists_of_positions(spark, monkeypatch, name):
     monkeypatch.setattr(search, "materialise", lambda df, made: seen.update({made: df.columns}) or session.materialise(df, made))
     QUERIES[name](spark, SMALL).count()
     assert seen["analysed"] == ["id", "terms", "tf", "dl", "vector"]
+
+
+def test_search_tool_keeps_no_analysed_texts_and_shuffles_none(spark, monkeypatch):
+    """The analysed chunks are gone once their hits are found; parts of the hits are sent to the texts, and many more than that are shuffled with the same rows."""
+    want, plans, real = rows(QUERIES["search_tool"](spark, SMALL), "query_id", "passages"), [], session.materialise
+    folder = Path(session.shared_dir(spark).removeprefix("file://"), "lexiloom")
+
+    def watched(df, name, *more):
+        out = real(df, name, *more)
+        if name == "tool-snippets":
+            assert {x.name for x in folder.iterdir() if x.name.startswith(("analysed-", "asked-", "idf-"))} <= before
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(session, "materialise", watched)
+    monkeypatch.setattr(retrieval, "BROADCAST_ROWS", 10)
+    conf = "spark.sql.autoBroadcastJoinThreshold"
+    kept = spark.conf.get(conf)
+    spark.conf.set(conf, "-1")
+    try:
+        for at_once in (20, 1):
+            before = {x.name for x in folder.iterdir()}
+            monkeypatch.setattr(retrieval, "PASS_ROWS", at_once, raising=False)
+            monkeypatch.setattr(retrieval, "PASSES", 1_000 if at_once > 1 else 1, raising=False)
+            plans.clear()
+            assert rows(QUERIES["search_tool"](spark, SMALL), "query_id", "passages") == want
+            joined = ["SortMergeJoin [id" in p for p in plans]
+            assert len(plans) > 1 and not any(joined) if at_once > 1 else joined == [True]
+    finally:
+        spark.conf.set(conf, kept)
+
+
+@pytest.mark.parametrize("k, threshold", [(3, 0.3), (1, 0.0), (9, 0.9)])
+def test_gated_passages_are_those_of_the_steps(spark, k, threshold):
+    """Gate, distinct snippets and blocks in one shuffle of snippets, and no Python call for each query."""
+    rng = np.random.default_rng(3)
+    words = ["Refunds take days", "refunds  TAKE days", "take", "", "Limits", "l'été"]
+    made = [(q, r, q * 10 + r, [None, "a.md", ""][int(rng.integers(3))], words[int(rng.integers(6))], float(rng.random()), [None, 0.4, 1.5][int(rng.integers(3))]) for q in range(30) for r in range(1, 1 + int(rng.integers(1, 6)))]
+    hits = spark.createDataFrame(made, "query_id bigint, rank int, id bigint, source string, snippet string, coverage double, vector_score double").repartition(5)
+    want = retrieval.formatted_hits(retrieval.distinct_snippets(retrieval.confidence_gate(hits, retrieval_confidence(hits), threshold), limit=300, k=k))
+    got = retrieval.gated_passages(hits, k, threshold)
+    assert rows(got, "query_id", "passages") == rows(want, "query_id", "passages")
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert "FlatMapGroups" not in plan and plan.count("Exchange hashpartitioning") == 1
